@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +44,11 @@ def drop(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower (never raise) the session's Arrow batch length to ARROW_ROWS: batches of whole texts must stay small."""
+    """Lower (never raise) the session's Arrow batch length to ARROW_ROWS: batches of whole texts must stay small.
+
+    Workers on the driver's machine also find this package where the driver found it; a cluster gets it by --py-files.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(ARROW_ROWS))
