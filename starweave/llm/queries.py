@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, pii, quality, urls
+from . import decontaminate, neardup, pii, ppm, quality, urls
 from .oracles import OP6
 from .scratch import table
 
@@ -15,6 +15,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op10_url_filter)}
+    return {f.__name__: f for f in (op2_quality, op3_ppm, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

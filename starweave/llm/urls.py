@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-BUCKETS, GRAMS, MAX_LABELLED, MIN_BLOCK = 2048, (3, 4, 5), 2000, 0.5
+BUCKETS, GRAMS, MAX_LABELLED, MIN_BLOCK = 2048, (3, 4, 5), 2000, 0.75
 
 # A small labelled table, made up for this library: 1 is a site to block.
 _BLOCKED_HOSTS = (
