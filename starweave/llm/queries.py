@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, pii, ppm, quality, urls
+from . import decontaminate, neardup, pii, ppm, quality, toxicity, urls
 from .oracles import OP6
 from .scratch import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_ppm, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_ppm, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
