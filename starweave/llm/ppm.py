@@ -122,8 +122,9 @@ class _Lookup:
         hit = self.keys[got] == keys  # an empty slot's -1 reads the last key; told apart below
         np.copyto(out, got, where=hit & (got >= 0))
         todo = np.flatnonzero(~hit & (got >= 0))
+        at = at[todo]
         while len(todo):
-            at = (self._hash(keys[todo]) + 1) & ((1 << self.bits) - 1) if len(at) == len(keys) else (at + 1) & ((1 << self.bits) - 1)
+            at = (at + 1) & ((1 << self.bits) - 1)
             got = self.slots[at]
             hit = (got >= 0) & (self.keys[got] == keys[todo])
             out[todo[hit]] = got[hit]

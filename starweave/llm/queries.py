@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, pii, ppm, quality, token_counts, tokens, toxicity, urls
+from . import decontaminate, neardup, pii, ppm, quality, segment, token_counts, tokens, toxicity, urls
 from .oracles import OP6
 from .scratch import table
 
@@ -47,12 +47,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return segment.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_ppm, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op7_arrow_ids, op8_token_counts, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_ppm, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op7_arrow_ids, op8_token_counts, op9_sentencepiece, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
