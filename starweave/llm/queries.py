@@ -57,8 +57,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_ppm, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op7_arrow_ids, op8_token_counts, op9_sentencepiece, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_ppm, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op7_arrow_ids, op8_token_counts, op9_sentencepiece, op10_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
