@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .scratch import small_batches
 from .words import _POWERS, mix
 
-SAMPLES, SEED, RANK_SHIFT, CHUNK_CHARS = 2, 13, 10.0, 1 << 20
+SAMPLES, SEED, RANK_SHIFT, CHUNK_CHARS = 2, 13, 10.0, 1 << 21
 _SPACE = 0x2581
 _LONGEST = 16
 _INF = float("inf")
@@ -113,39 +113,46 @@ class _Lattices:
                 break
             piece = vocab.piece_at[node]
             self.piece[start + k, k] = piece
+        # the columns up to the longest piece found
+        self.width = width = 1 + max((k for k in range(_LONGEST) if (self.piece[:, k] >= 0).any()), default=0)
+        self.piece = np.ascontiguousarray(self.piece[:, :width])
         bare = self.piece[:, 0] < 0
         self.n_bytes = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
         self.piece[bare, 0] = -2  # bytes
-        weight = np.where(self.piece >= 0, vocab.weight[self.piece], -_INF)
+        weight = np.where(self.piece >= 0, vocab.weight[self.piece], -_INF).astype(np.float32)
         weight[bare, 0] = vocab.byte_weight * self.n_bytes[bare]
         alpha = np.full(n, -_INF)
         rows = np.arange(len(lengths))
-        place, span = 0, np.arange(_LONGEST)
+        place, span = 0, np.arange(width)
         while True:
             rows = rows[lengths[rows] > place]
             if not len(rows):
                 break
             end = self.first[rows] + place
-            width = min(_LONGEST, place + 1)
-            before = np.where(span[:width] == place, 0.0, alpha[np.maximum(end[:, None] - span[:width] - 1, 0)])
-            score = weight[end, :width] + before
+            n_k = min(width, place + 1)
+            before = alpha[np.maximum(end[:, None] - span[:n_k] - 1, 0)]
+            if n_k == place + 1:
+                before[:, place] = 0.0
+            score = weight[end, :n_k] + before
             top = score.max(1)
             alpha[end] = top + np.log(np.exp(score - top[:, None]).sum(1))
-            weight[end, :width] = score - alpha[end][:, None]
+            weight[end, :n_k] = score - alpha[end][:, None]
             place += 1
         self.log_p = weight  # log probability of each last piece, given the end
         self.cum = np.cumsum(np.exp(weight), axis=1)
 
-    def draw(self, word: np.ndarray, doc_key: np.ndarray, place: np.ndarray, sample: int, seed: int):
-        """One segmentation of each word occurrence: (log probability, number of steps, ends and lengths of the pieces in order)."""
+    def draw(self, word: np.ndarray, base: np.ndarray, sample: int):
+        """One segmentation of each word occurrence, from its base random number: (log probability, number of steps, ends and lengths of the pieces in order)."""
         n = len(word)
         log_p, steps = np.zeros(n), np.zeros(n, dtype=np.int64)
         active, left = np.arange(n), self.lengths[word].astype(np.int64)
         records, step = [], 0
         while len(active):
             end = self.first[word[active]] + left - 1
-            u = _uniform(np.uint64(seed), doc_key[active], place[active], np.uint64(sample), np.uint64(step))
-            k = (self.cum[end] < u[:, None] * self.cum[end, -1][:, None]).sum(1)
+            h = mix(base[active] + np.uint64((sample * 0x9E3779B97F4A7C15 + step * 0xC2B2AE3D27D4EB4F) % (1 << 64)))
+            u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+            cum = self.cum[end]
+            k = (cum < (u * cum[:, -1]).astype(np.float32)[:, None]).sum(1)
             log_p[active] += self.log_p[end, k]
             steps[active] += 1
             records.append((active, end, k))
@@ -181,7 +188,7 @@ class _Lattices:
         step = 0
         while left:
             end = int(self.first[word]) + left - 1
-            p = np.exp(self.log_p[end])
+            p = np.exp(self.log_p[end].astype(np.float64))
             for x in alive:  # take the excluded path's own mass from its next piece
                 mass, rest = 1.0, left
                 for k in x[step:]:
@@ -189,7 +196,7 @@ class _Lattices:
                     rest -= k + 1
                 p[x[step]] = max(0.0, p[x[step]] - mass)
             total = p.sum()
-            k = int(min((np.cumsum(p) < uniform(step) * total).sum(), _LONGEST - 1)) if total > 0 else int(np.argmax(self.log_p[end]))
+            k = int(min((np.cumsum(p) < uniform(step) * total).sum(), self.width - 1)) if total > 0 else int(np.argmax(self.log_p[end]))
             while k and p[k] <= 0 and total > 0:
                 k -= 1
             out.append((end, k))
@@ -305,7 +312,8 @@ def sample_texts(vocab: Vocabulary, keys: list[int], texts: list[str], k: int, s
         lat = _Lattices(vocab, chars, own_len)
         key_of = np.repeat(np.array(keys, dtype=np.int64), np.diff(first_word)).astype(np.uint64)
         at = (np.arange(len(word)) - np.repeat(first_word[:-1], np.diff(first_word))).astype(np.uint64)
-        draws = [lat.draw(word, key_of, at, s, seed) for s in range(k)]
+        base = mix(mix(key_of + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))) + at)
+        draws = [lat.draw(word, base, s) for s in range(k)]
         all_ids = [lat.ids(vocab, chars, d[1], d[2], d[3]) for d in draws]
     out = []
     for i in range(len(texts)):
