@@ -30,17 +30,18 @@ def repeat_flag(df: DataFrame, by: list[str], order: list[str], out: str) -> Dat
     return df.withColumn(out, F.row_number().over(_by(by, order)) > 1)
 
 
-def quartile(df: DataFrame, column: str, tie: str, out: str) -> DataFrame:
-    """ntile(4) by column over all rows, from distributed ranks: no task gets all rows.
-
-    Rows are numbered within range partitions of the sort key; partition sizes (one row each) give the offsets.
-    """
-    spread = df.repartitionByRange(F.col(column).asc_nulls_first(), F.col(tie)).sortWithinPartitions(F.col(column).asc_nulls_first(), tie)
-    spread = spread.withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(F.col(column).asc_nulls_first(), tie)
-    ranked = spread.withColumn("_rn", F.row_number().over(w))
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+def quartile(df: DataFrame, column: str, tie: str, out: str, parts: int = 32) -> DataFrame:
+    """ntile(4) by (column, tie) over all rows, without one task for all: rows are ranked within value ranges, whose bounds
+    are approximate quantiles (parts numbers on the driver), and the ranges' exact sizes give the offsets."""
+    bounds = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.005)))
+    part = F.lit(0)
+    for bound in bounds:
+        part = part + F.when(F.col(column) > bound, 1).otherwise(0)
+    spread = df.withColumn("_part", part)
+    ranked = spread.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(column).asc_nulls_first(), tie)))
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     rank = F.col("_rn") + F.col("_before")
     size, rest = F.floor(F.col("_all") / 4), F.col("_all") % 4
     head = rest * (size + 1)  # the first groups have one row more
