@@ -8,9 +8,11 @@ HALF_HASHES hashes. A pair of similarity 0.75 shares no table key with probabili
 2. Half keys that only one class has are dropped, which loses nothing; pairs of the rest are the table keys.
 3. In every table bucket each member is compared with one centre only, the member whose half keys are the most shared: as
    many candidates as rows. Exact Jaccard similarity on whole sets confirms links.
-4. Components of the confirmed links. Buckets that now lie in one component are done. In the rest, pairs across components
-   whose sizes allow 0.75 and whose signatures agree in at least MIN_AGREE places (lost at 0.75: under 1e-5) are confirmed
-   by their sets too, then components are formed anew. No bucket, group or candidate list has a cap.
+4. Components of the confirmed links. Buckets that now lie in one component are done. In the rest (the open ones), pairs
+   across components are confirmed by their sets too, and components formed anew. Such a pair shares a shingle with at most
+   RARE holders, and is found by it, or its intersection has common shingles only, and must fit into what either side has
+   of those: copies of one line or passage in else different texts end there. Signatures of both must agree in at least
+   MIN_AGREE places (lost at 0.75: under 3e-5). No bucket, group or candidate list has a cap.
 
 Edge cases: lower-casing touches A-Z only. A text with 1 to 4 words is one shingle, its whole sequence. Texts without
 words, and nulls, are empty: n_shingles 0, linked with nothing, kept. Repeated rows of one id are one document (the id's
@@ -32,6 +34,8 @@ from .words import chunks, mix, shingle_sets, text_bytes
 
 SHINGLE = 5
 HALVES, HALF_HASHES = 24, 3
+#: Shingles with at most so many holders among the open documents are looked up one by one.
+RARE = 16
 #: Of the 72 four-bit places of two signatures, at least so many agree.
 MIN_AGREE = 40
 _N = HALVES * HALF_HASHES
@@ -92,6 +96,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to one row a distinct shingle."""
+    for batch in batches:
+        raw, offsets = text_bytes(batch.column(1))
+        for a, b in chunks(offsets):
+            gram, first = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SHINGLE)
+            ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(first))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(gram.astype(np.int64))], names=["rep", "gram"])
+
+
 def signatures(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
     small_batches(docs.sparkSession)
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sign, _SIGNED)
@@ -119,8 +133,8 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id."""
     signed = materialize(signatures(docs, doc_col, text_col), "signatures")
     key = ["fp1", "fp2", "n_shingles"]
-    some = signed.where("n_shingles > 0")
-    reps = materialize(some.groupBy(key).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "classes")
+    filled = signed.where("n_shingles > 0")
+    reps = materialize(filled.groupBy(key).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "classes")
 
     half = reps.select("rep", "n_shingles", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
@@ -140,19 +154,39 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
 
     named = buckets.join(label, buckets["rep"] == label["node"], "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = named.join(open_keys, "key", "left_semi").join(reps.select("rep", "sketch"), "rep")
-    x = rest.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n_shingles", "comp", "sketch")))
-    y = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n_shingles", "comp", "sketch")))
+    rest = materialize(named.join(open_keys, "key", "left_semi"), "open")
+    # how many holders among the open documents a shingle has: up to RARE, pairs come from the shingle itself; what a
+    # document has of the others bounds every other intersection
+    grams = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_grams, "rep long, gram long")
+    rare = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("rep").alias("one")).where(F.col("n") <= RARE), "rare")
+    alone = rare.where("n = 1").groupBy(F.col("one").alias("rep")).agg(F.count("*").cast("int").alias("alone"))
+    held = materialize(grams.join(rare.where("n > 1").select("gram"), "gram"), "rare")
+    some = held.groupBy("rep").agg(F.count("*").cast("int").alias("held"))
+    about = rest.select("rep", "n_shingles", "comp").distinct().join(alone, "rep", "left").join(some, "rep", "left").join(reps.select("rep", "sketch"), "rep").join(own.select("rep", "h"), "rep")
+    about = materialize(about.withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.coalesce("held", F.lit(0))).drop("alone", "held"), "open")
+
+    def side(rows: DataFrame, key: str, tag: str) -> DataFrame:
+        return rows.select(key, *(F.col(c).alias(f"{c}_{tag}") for c in ("rep", "n_shingles", "comp", "sketch", "common", "h")))
+
     near = (
         (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b"))
         & (100 * F.least("n_shingles_a", "n_shingles_b") >= 75 * F.greatest("n_shingles_a", "n_shingles_b"))
-        & (_agree("sketch_a", "sketch_b") >= MIN_AGREE)
     )
-    across = x.join(y, (x["key"] == y["key"]) & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    # without a rare shingle in common: 175 * intersection >= 75 * (size + size) must fit into what is common
+    fits = near & (175 * F.least("common_a", "common_b") >= 75 * (F.col("n_shingles_a") + F.col("n_shingles_b"))) & (_agree("sketch_a", "sketch_b") >= MIN_AGREE)
+    both = F.array_intersect("h_a", "h_b")
+    first = F.xxhash64(both[0], both[1])  # of the keys that a pair shares, only the first makes a row
+    wide = rest.select("key", "rep").join(about.where("100 * common >= 75 * n_shingles"), "rep")
+    x, y = side(wide, "key", "a"), side(wide, "key", "b")
+    across = x.join(y, (x["key"] == y["key"]) & fits & (first == x["key"])).select("rep_a", "rep_b")
+    shared = held.join(about, "rep")
+    x, y = side(shared, "gram", "a"), side(shared, "gram", "b")
+    across = across.union(x.join(y, (x["gram"] == y["gram"]) & near & (_agree("sketch_a", "sketch_b") >= MIN_AGREE)).select("rep_a", "rep_b"))
+    across = across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(_links(across.join(tried, ["a", "b"], "left_anti"), texts), "confirmed")
     # repeated rows of one id with different texts are one document
-    same_id = some.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.collect_set(F.struct(*key)).alias("k")).where(F.size("k") > 1).select("doc_id", F.explode("k").alias("k")).select("doc_id", "k.*")
+    same_id = filled.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.collect_set(F.struct(*key)).alias("k")).where(F.size("k") > 1).select("doc_id", F.explode("k").alias("k")).select("doc_id", "k.*")
     same_id = same_id.join(reps.select(*key, "rep"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     label = materialize(components(links.union(more).union(same_id), "a", "b"), "labels")
 
