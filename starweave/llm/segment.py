@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import small_batches
 from .words import _POWERS, mix
@@ -393,5 +394,5 @@ def _decoder(path: str, at: int):
 def decode(encoded: DataFrame, path: str, ids_col="ids") -> DataFrame:
     """encoded with the decoded text of its ids."""
     small_batches(encoded.sparkSession)
-    schema = encoded.schema.add("text", "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())])
     return encoded.mapInArrow(_decoder(path, encoded.columns.index(ids_col)), schema)
