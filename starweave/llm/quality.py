@@ -2,8 +2,8 @@
 
 Each document's histogram of character classes and of common words is compared with its language's reference by the
 Jensen-Shannon distance; short documents are guarded by minimum lengths. References come from all documents of the language
-that pass the base rules, in one aggregation of fixed width: character classes, and words in WORD_BINS hash bins of which
-the WORD_TOP fullest are the language's common words.
+that pass the base rules and hold at most one symbol in 50 word characters, in one aggregation of fixed width: character
+classes, and words in WORD_BINS hash bins of which the WORD_TOP fullest are the language's common words.
 
 Edge cases: null and empty texts have no words and fail the base rules. A null language is a language of its own ('').
 Texts under MIN_CHARS characters or MIN_WORDS words skip the comparison that needs them. A language with no document that

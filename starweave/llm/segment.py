@@ -12,7 +12,7 @@ so on: the first k paths are k distinct segmentations sampled without replacemen
 of the inclusion scores. All random numbers are hashes of (seed, row key, place), so results depend on nothing else.
 
 Edge cases: null and empty texts have one segmentation, of no pieces, with score 1. A text with fewer segmentations than k
-emits them all, with score 1. Repeated keys with equal texts get equal samples. U+2581 in a text decodes to a space. Other
+(those beyond hold under 1e-12 of a word's mass) emits them all, with score 1. Repeated keys with equal texts get equal samples. U+2581 in a text decodes to a space. Other
 columns are not read.
 """
 
@@ -34,6 +34,8 @@ SAMPLES, SEED, RANK_SHIFT, CHUNK_CHARS = 2, 13, 10.0, 1 << 21
 _SPACE = 0x2581
 _LONGEST = 16
 _INF = float("inf")
+#: Mass that rounding may leave where nothing is left.
+_NOTHING = 1e-12
 
 
 def _uniform(*parts) -> np.ndarray:
@@ -120,7 +122,7 @@ class _Lattices:
         bare = self.piece[:, 0] < 0
         self.n_bytes = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
         self.piece[bare, 0] = -2  # bytes
-        weight = np.where(self.piece >= 0, vocab.weight[self.piece], -_INF).astype(np.float32)
+        weight = np.where(self.piece >= 0, vocab.weight[self.piece], -_INF)
         weight[bare, 0] = vocab.byte_weight * self.n_bytes[bare]
         alpha = np.full(n, -_INF)
         rows = np.arange(len(lengths))
@@ -140,7 +142,7 @@ class _Lattices:
             weight[end, :n_k] = score - alpha[end][:, None]
             place += 1
         self.log_p = weight  # log probability of each last piece, given the end
-        self.cum = np.cumsum(np.exp(weight), axis=1)
+        self.cum = np.cumsum(np.exp(weight), axis=1, dtype=np.float32)
 
     def draw(self, word: np.ndarray, base: np.ndarray, sample: int):
         """One segmentation of each word occurrence, from its base random number: (log probability, number of steps, ends and lengths of the pieces in order)."""
@@ -183,22 +185,24 @@ class _Lattices:
             out[start[i] : start[i + 1]] = vocab.byte_ids[np.frombuffer(raw, dtype=np.uint8)]
         return start[first], out
 
-    def draw_other(self, word: int, excluded: list[list[int]], uniform) -> tuple[list[tuple[int, int]], float]:
-        """A segmentation of one word other than the excluded ones (their piece lengths from the last to the first)."""
+    def draw_other(self, word: int, excluded: list[list[int]], uniform) -> tuple[list[tuple[int, int]], float] | None:
+        """A segmentation of one word other than the excluded ones (their piece lengths from the last to the first), if any."""
         left, out, log_p, alive = int(self.lengths[word]), [], 0.0, list(excluded)
         step = 0
         while left:
             end = int(self.first[word]) + left - 1
-            p = np.exp(self.log_p[end].astype(np.float64))
+            p = np.exp(self.log_p[end])
             for x in alive:  # take the excluded path's own mass from its next piece
                 mass, rest = 1.0, left
                 for k in x[step:]:
                     mass *= float(np.exp(self.log_p[int(self.first[word]) + rest - 1, k]))
                     rest -= k + 1
-                p[x[step]] = max(0.0, p[x[step]] - mass)
+                p[x[step]] = 0.0 if p[x[step]] - mass < _NOTHING else p[x[step]] - mass
             total = p.sum()
-            k = int(min((np.cumsum(p) < uniform(step) * total).sum(), self.width - 1)) if total > 0 else int(np.argmax(self.log_p[end]))
-            while k and p[k] <= 0 and total > 0:
+            if total <= 0:
+                return None
+            k = int(min((np.cumsum(p) < uniform(step) * total).sum(), self.width - 1))
+            while k and p[k] <= 0:
                 k -= 1
             out.append((end, k))
             log_p += float(self.log_p[end, k])
@@ -221,11 +225,14 @@ def _truncated(phi: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
 def _log_rest(p: np.ndarray) -> np.ndarray:
     """log(1 - exp(p)); an only segmentation leaves nothing."""
     with np.errstate(divide="ignore"):
-        return np.where(p > -1e-12, -_INF, np.log(-np.expm1(np.minimum(p, -1e-300))))
+        return np.where(p > -_NOTHING, -_INF, np.log(-np.expm1(np.minimum(p, -1e-300))))
 
 
 def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
-    """[(ids, log probability, Gumbel value)] of one text's words lo to hi, and the threshold."""
+    """[(ids, log probability, Gumbel value)] of one text's words lo to hi, and the threshold.
+
+    A path is made of draws: path n takes draw n for the words after its branch, so no two share random numbers there.
+    """
     u0 = float(_uniform(np.uint64(seed), key, np.uint64(1 << 40)))
     paths = []  # [segments, log_p by word, value, branch values, branch offset, excluded at the first branch]
 
@@ -234,7 +241,7 @@ def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
         rest = _log_rest(log_p[start:])
         if excluded is not None and len(rest):
             m = excluded_mass + float(np.exp(log_p[start]))
-            rest[0] = np.log(1 - m) if m < 1 - 1e-12 else -_INF
+            rest[0] = np.log(1 - m) if m < 1 - _NOTHING else -_INF
         u = _uniform(np.uint64(seed), key, np.uint64((1 << 41) + number), np.arange(start, start + len(rest)).astype(np.uint64))
         paths.append([segments, log_p, value, _truncated(before + rest, value, u), start, excluded, excluded_mass])
 
@@ -255,9 +262,11 @@ def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
         excluded = [*(parent[5] or []), own] if at == 0 and parent[5] is not None else [own]
         mass = (parent[6] if at == 0 and parent[5] is not None else 0.0) + float(np.exp(parent[1][w]))
         number = len(paths)
-        pieces, lp = lat.draw_other(int(word[lo + w]), excluded, lambda s: float(_uniform(np.uint64(seed), key, np.uint64((1 << 42) + number), np.uint64(s))))
-        head = [(d, a, min(b, lo + w)) for d, a, b in parent[0] if d is not None and a < lo + w] if all(d is not None for d, *_ in parent[0]) else _head(parent[0], lo + w)
-        segments = [*head, (None, lo + w, pieces), (number, lo + w + 1, hi)]
+        drawn = lat.draw_other(int(word[lo + w]), excluded, lambda s: float(_uniform(np.uint64(seed), key, np.uint64((1 << 42) + number), np.uint64(s))))
+        if drawn is None:
+            continue  # all of the word's segmentations are out already
+        pieces, lp = drawn
+        segments = [*_head(parent[0], lo + w), (None, lo + w, pieces), (number, lo + w + 1, hi)]
         add(segments, np.concatenate([parent[1][:w], [lp], draws[number][0][lo + w + 1 : hi]]), value, w, excluded, mass, number)
     out = []
     for segments, log_p, value, *_ in paths:
@@ -274,6 +283,7 @@ def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
 
 
 def _head(segments, upto: int):
+    """The segments before a word: (draw, from, to), or (None, word, pieces) for a word of its own."""
     out = []
     for d, a, b in segments:
         if a >= upto:

@@ -467,6 +467,16 @@ def test_sampling_without_replacement_has_the_right_odds(paths):
         assert abs(k / n - p) < 4 * math.sqrt(p / n)
 
 
+def test_short_texts_run_out_of_segmentations(paths):
+    vocab = segment.Vocabulary(paths("piece_bpe_32k.model"))
+    for text, k in (("abc de fgh", 6), ("ab", 50), ("a", 5), ("I ", 9)):
+        for row in segment.sample_texts(vocab, list(range(150)), [text] * 150, k, 5):
+            assert len({tuple(r[0]) for r in row}) == len(row) <= k
+            assert all(segment.decode_ids(vocab, r[0].tolist()) == text for r in row)
+    # _ab, _a b, _ ab; the fourth, _ a b, holds less than the mass that counts as nothing
+    assert len(segment.sample_texts(vocab, [1], ["ab"], 50, 5)[0]) == 3
+
+
 def test_segment_edges(edge, paths):
     path = paths("piece_bpe_32k.model")
     rows = segment.digest(edge, path).collect()
