@@ -180,3 +180,40 @@ def test_compaction_and_profile(spark, tmp_path):
     assert checks.fingerprint(spark.read.parquet(path)) == before
     assert checks.file_profile(spark, path).count() == 1
     assert {r.format for r in checks.compare_formats(spark, spark.range(100).toDF("k"), str(tmp_path / "f")).collect()} == {"zstd", "snappy", "csv"}
+
+
+def test_catalogue_and_declared_tables(spark, tmp_path):
+    folder = str(tmp_path / "gold")
+    io.create_tables(spark, folder, {"a": "k int", "log": "k int"})
+    spark.range(2).selectExpr("cast(id as int) k").write.mode("append").parquet(f"{folder}/log")
+    io.create_tables(spark, folder, {"a": "k int, v string", "log": "k int"}, keep=("log",))
+    assert spark.read.parquet(f"{folder}/log").count() == 2 and spark.read.parquet(f"{folder}/a").columns == ["k", "v"]
+    io.register(spark, "starweave_log", f"{folder}/log")
+    io.register(spark, "starweave_log", f"{folder}/log")
+    assert spark.table("starweave_log").count() == 2
+    spark.sql("DROP TABLE starweave_log")
+    io.write_json_sidecar(spark.range(2), f"{folder}/json")
+    assert {r.value for r in spark.read.text(f"{folder}/json").collect()} == {'{"id":0}', '{"id":1}'}
+    assert io.cap(spark.range(100), 10).count() == 10
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    from starweave.plans import catalog
+
+    names, folder = ("asof_last", "quartile", "note_concat", "obt_encounter"), "/root/testdata/sf0.001"
+    seen = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append([sorted(map(str, catalog.queries()[q](spark, folder).collect())) for q in names])
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert seen[0] == seen[1]
+
+
+def test_two_source_merge_keeps_the_rest(spark, tmp_path):
+    path = str(tmp_path / "m")
+    make = lambda d, n: lambda keys: d.join(keys, "k", "left_semi").withColumn("v", F.lit(n))
+    src = spark.createDataFrame([(1,), (2,)], "k int")
+    refresh.merge_two_sources(spark, path, src, "k", make(src, 1))
+    refresh.merge_two_sources(spark, path, src.where("k = 2"), "k", make(src, 2))
+    spark.catalog.refreshByPath(path)
+    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, 1), (2, 2)}
