@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialize, small_batches
+from .scratch import drop, materialize, small_batches
 from .words import chunks, mix, shingle_sets, text_bytes
 
 SHINGLE = 5
@@ -190,6 +190,8 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
     same_id = same_id.join(reps.select(*key, "rep"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     label = materialize(components(links.union(more).union(same_id), "a", "b"), "labels")
 
+    for table in (own, buckets, texts, links, rest, rare, held, about, more):
+        drop(table)  # the result reads signatures, classes and labels only
     named = signed.join(reps.select(*key, "rep"), key, "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     return named.join(label, named["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 

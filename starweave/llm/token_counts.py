@@ -114,4 +114,6 @@ def count_tokens(docs: DataFrame, path: str, separator: int = SEPARATOR, doc_col
     order = write_flat(docs, path, separator, folder, doc_col, text_col)
     files = order.groupBy("name").agg(F.first("n_ids").alias("n_ids"), F.first("width").alias("width"))
     counts = scan_flat(files, folder, separator, block_ids)
+    store, root = open_store(folder)
+    store.delete_dir(root)  # the blocks' edges are a written table by now
     return order.select("name", "ordinal", "doc_id").join(counts, ["name", "ordinal"]).select("doc_id", "n_tokens")

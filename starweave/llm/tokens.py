@@ -184,7 +184,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, path = open_store(folder)
             with store.open_input_file(f"{path}/{name}.index.arrow") as f:
                 index = pa.ipc.open_file(f).read_all()
-            doc_id, at, n = (index.column(c).to_numpy() for c in ("doc_id", "at", "n"))
+            doc_id = index.column("doc_id").combine_chunks()
+            at, n = index.column("at").to_numpy(), index.column("n").to_numpy()
             crc = np.zeros(len(n), dtype=np.int64)
             with store.open_input_file(f"{path}/{name}.arrow") as f:
                 file = pa.ipc.open_file(f)
@@ -201,7 +202,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     flat, base = flat[cut:], base + cut
             for a in range(0, len(n), 4096):
                 s = slice(a, a + 4096)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id[s]), pa.array(at[s] + start), pa.array(n[s]), pa.array(crc[s])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([doc_id[s], pa.array(at[s] + start), pa.array(n[s]), pa.array(crc[s])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_batches(manifest: DataFrame) -> DataFrame:

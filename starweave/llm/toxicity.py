@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, small_batches
+from .scratch import drop, materialize, small_batches
 
 TRAIN_ROWS, MAX_TERMS, THRESHOLD = 4000, 120, 0.7
 MIN_POSITIVE, MIN_LOG_ODDS, MIN_Z = 4, 1.5, 3.5
@@ -195,5 +195,6 @@ def score(docs: DataFrame, labels: DataFrame, doc_col="doc_id", text_col="text",
         w = np.zeros(len(FEATURES) + 1)
         w[0], w[1 + FEATURES.index("log_direct")], w[1 + FEATURES.index("log_targeted")] = -3.0, 2.0, 3.0
         model = (np.zeros(len(FEATURES)), np.ones(len(FEATURES)), w)
+    drop(sample)
     scored = rows.mapInArrow(_scorer(grammar, spark.sparkContext.broadcast(model)), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

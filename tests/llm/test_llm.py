@@ -502,6 +502,17 @@ def test_url_rules_and_model(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_null_ids_pass(spark, paths):
+    df = spark.createDataFrame([(None, "some words here"), (2, "some words here"), (None, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    bench = spark.createDataFrame([(None, "some words"), (1, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(None, 1)], "doc_id long, toxic int")
+    assert tokens.read_batches(tokens.write_batches(df, paths("byte_bpe_50k.json"))).count() == 3
+    assert token_counts.count_tokens(df, paths("byte_bpe_50k.json")).count() == 3
+    for out in (quality.judge(df), ppm.score(df), neardup.near_duplicates(df), pii.digest(pii.find(df)), decontaminate.scan(df, bench), toxicity.score(df, labels)):
+        assert out.count() == 3
+    assert segment.encode(df, paths("piece_bpe_32k.model")).select("doc_id").distinct().count() == 2
+
+
 # pipeline
 
 
