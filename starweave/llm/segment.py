@@ -12,7 +12,7 @@ so on: the first k paths are k distinct segmentations sampled without replacemen
 of the inclusion scores. All random numbers are hashes of (seed, row key, place), so results depend on nothing else.
 
 Edge cases: null and empty texts have one segmentation, of no pieces, with score 1. A text with fewer segmentations than k
-(those beyond hold under 1e-12 of a word's mass) emits them all, with score 1. Repeated keys with equal texts get equal samples. U+2581 in a text decodes to a space. Other
+(those beyond hold under 1e-5 of a word's mass) emits them all, with score 1. Repeated keys with equal texts get equal samples. U+2581 in a text decodes to a space. Other
 columns are not read.
 """
 
@@ -34,8 +34,10 @@ SAMPLES, SEED, RANK_SHIFT, CHUNK_CHARS = 2, 13, 10.0, 1 << 21
 _SPACE = 0x2581
 _LONGEST = 16
 _INF = float("inf")
-#: Mass that rounding may leave where nothing is left.
-_NOTHING = 1e-12
+#: Mass that rounding (single precision) may leave where nothing is left.
+_NOTHING = 1e-5
+#: Log mass by which a branch must trail to be left out of the search: Gumbel noise in double precision spans less.
+_FAR = 80.0
 
 
 def _uniform(*parts) -> np.ndarray:
@@ -47,6 +49,17 @@ def _uniform(*parts) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def _one_uniform(*parts: int) -> float:
+    """The same kind of number for single places, without array overhead."""
+    m, h = (1 << 64) - 1, 0x13198A2E03707344
+    for p in parts:
+        h = (h + p * 0x9E3779B97F4A7C15 + 1) & m
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & m
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & m
+        h ^= h >> 31
+    return ((h >> 11) + 0.5) / (1 << 53)
+
+
 class Vocabulary:
     """The pieces of a SentencePiece model as a trie in hash form."""
 
@@ -122,7 +135,7 @@ class _Lattices:
         bare = self.piece[:, 0] < 0
         self.n_bytes = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
         self.piece[bare, 0] = -2  # bytes
-        weight = np.where(self.piece >= 0, vocab.weight[self.piece], -_INF)
+        weight = np.where(self.piece >= 0, vocab.weight[self.piece], -_INF).astype(np.float32)
         weight[bare, 0] = vocab.byte_weight * self.n_bytes[bare]
         alpha = np.full(n, -_INF)
         rows = np.arange(len(lengths))
@@ -142,7 +155,7 @@ class _Lattices:
             weight[end, :n_k] = score - alpha[end][:, None]
             place += 1
         self.log_p = weight  # log probability of each last piece, given the end
-        self.cum = np.cumsum(np.exp(weight), axis=1, dtype=np.float32)
+        self.cum = np.cumsum(np.exp(weight), axis=1)
 
     def draw(self, word: np.ndarray, base: np.ndarray, sample: int):
         """One segmentation of each word occurrence, from its base random number: (log probability, number of steps, ends and lengths of the pieces in order)."""
@@ -191,7 +204,7 @@ class _Lattices:
         step = 0
         while left:
             end = int(self.first[word]) + left - 1
-            p = np.exp(self.log_p[end])
+            p = np.exp(self.log_p[end].astype(np.float64))
             for x in alive:  # take the excluded path's own mass from its next piece
                 mass, rest = 1.0, left
                 for k in x[step:]:
@@ -233,16 +246,18 @@ def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
 
     A path is made of draws: path n takes draw n for the words after its branch, so no two share random numbers there.
     """
-    u0 = float(_uniform(np.uint64(seed), key, np.uint64(1 << 40)))
+    u0 = _one_uniform(seed, key, 1 << 40)
     paths = []  # [segments, log_p by word, value, branch values, branch offset, excluded at the first branch]
 
     def add(segments, log_p, value, start, excluded, excluded_mass, number):
         before = np.concatenate(([0.0], np.cumsum(log_p)))[:-1][start:]
-        rest = _log_rest(log_p[start:])
+        # a branch's mass is below its prefix's: those under exp(-_FAR) of the first cannot come before it
+        before = before[: int(np.searchsorted(-before, _FAR - (before[0] if len(before) else 0.0)))]
+        rest = _log_rest(log_p[start : start + len(before)])
         if excluded is not None and len(rest):
             m = excluded_mass + float(np.exp(log_p[start]))
             rest[0] = np.log(1 - m) if m < 1 - _NOTHING else -_INF
-        u = _uniform(np.uint64(seed), key, np.uint64((1 << 41) + number), np.arange(start, start + len(rest)).astype(np.uint64))
+        u = _uniform(np.uint64(_one_key(seed, key, number)), np.arange(start, start + len(rest)).astype(np.uint64))
         paths.append([segments, log_p, value, _truncated(before + rest, value, u), start, excluded, excluded_mass])
 
     add([(0, lo, hi)], draws[0][0][lo:hi], -np.log(-np.log(u0)), 0, None, 0.0, 0)
@@ -262,7 +277,7 @@ def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
         excluded = [*(parent[5] or []), own] if at == 0 and parent[5] is not None else [own]
         mass = (parent[6] if at == 0 and parent[5] is not None else 0.0) + float(np.exp(parent[1][w]))
         number = len(paths)
-        drawn = lat.draw_other(int(word[lo + w]), excluded, lambda s: float(_uniform(np.uint64(seed), key, np.uint64((1 << 42) + number), np.uint64(s))))
+        drawn = lat.draw_other(int(word[lo + w]), excluded, lambda s: _one_uniform(seed, key, (1 << 42) + number, s))
         if drawn is None:
             continue  # all of the word's segmentations are out already
         pieces, lp = drawn
@@ -282,6 +297,10 @@ def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
     return out, threshold
 
 
+def _one_key(seed: int, key: int, number: int) -> int:
+    return int(_one_uniform(seed, key, (1 << 41) + number) * (1 << 53))
+
+
 def _head(segments, upto: int):
     """The segments before a word: (draw, from, to), or (None, word, pieces) for a word of its own."""
     out = []
@@ -332,7 +351,7 @@ def sample_texts(vocab: Vocabulary, keys: list[int], texts: list[str], k: int, s
         if lo == hi:
             out.append([(np.zeros(0, np.int32), 0.0, 1.0)])
             continue
-        found, threshold = _search(lat, vocab, chars, word, lo, hi, draws, all_ids, np.uint64(keys[i] & (2**64 - 1)), k, seed)
+        found, threshold = _search(lat, vocab, chars, word, lo, hi, draws, all_ids, int(keys[i]) & (2**64 - 1), k, seed)
         out.append([(ids, lp, 1.0 if threshold == -_INF else float(-np.expm1(-np.exp(min(lp - threshold, 700.0))))) for ids, lp, _ in found])
     return out
 
