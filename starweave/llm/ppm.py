@@ -5,10 +5,12 @@ shorter one (method C: escapes count as often as distinct symbols), where the sy
 below order 0 all bytes not yet excluded are equally likely. The trie is pretrained: it scores every document, and code
 lengths add up per document. Texts are lower-cased (A-Z); byte 0xFF, which no text holds, ends a text and pads its start.
 
-Counts come from all training texts, in one aggregation that grows with them. The model that tasks get is bounded:
-contexts' symbols with at least total / TRIE_NODES occurrences, so at most TRIE_NODES per order. Pruned symbols escape, so
-the model stays a probability. Word counts likewise: at most WORD_NODES words, those with at least N / WORD_NODES
-occurrences, are broadcast; the other words of each document meet their exact counts in a join.
+Counts come from all training texts, in one aggregation that grows with them, and every symbol counts at every size. What
+tasks get is bounded: the whole trie where it has at most TRIE_NODES symbols an order, else the exact scores of the most
+frequent TRIE_NODES longest symbols. The other symbols of each document then meet the trie in blocks of contexts: a block
+holds all contexts that end in the same order - 2 bytes, so at most 2^24 longest symbols for one such end, and the shorter
+contexts (at most 2^16 symbols at order 4) go to every block. Word counts likewise: at most WORD_NODES words, those with at
+least N / WORD_NODES occurrences, are broadcast; the other words of each document meet their exact counts in a join.
 
 Edge cases: null and empty texts have one token, the end. With no training document all counts are 0 and the base score
 is log10(1) = 0 a token; the trie is empty and all bytes are equally likely. Repeated rows are scored each; other columns
@@ -28,6 +30,8 @@ from .scratch import materialize, small_batches
 from .words import _FOLD, chunks, hash_words, split_words, text_bytes
 
 ORDER, TRIE_NODES, WORD_NODES = 4, 1 << 21, 1 << 22
+#: Longest symbols in one block of contexts, about.
+BLOCK_NODES = 1 << 19
 _END = 0xFF
 _FLUSH = 1 << 22
 
@@ -198,10 +202,49 @@ class Trie:
         return out
 
 
+class _Known:
+    """The exact scores of the most frequent longest grams; NaN for all others."""
+
+    def __init__(self, grams: np.ndarray, scores: np.ndarray):
+        self.grams, self.scores = _Lookup(grams), np.append(scores, np.nan)
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        return self.scores[self.grams.find(grams)]  # absent is -1: the NaN
+
+
+def _suffix_levels(grams: np.ndarray, counts: np.ndarray, orders) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By order, (sorted grams, counts): each order's counts are sums over the longest grams."""
+    levels = []
+    for k in orders:
+        g, at = np.unique(grams & np.uint64((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        levels.append((g, np.bincount(at, weights=counts, minlength=len(g)).astype(np.int64)))
+    return levels
+
+
+def _block_scorer(short, order: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (uid, gram, n): first the block's training grams (uid null), then grams to score; sums by uid."""
+        keys, counts, trie = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+        for batch in batches:
+            asked = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            gram, n = batch.column(1).to_numpy().astype(np.uint64), batch.column(2).to_numpy()
+            if not asked.all():
+                keys.append(gram[~asked])
+                counts.append(n[~asked])
+            if asked.any():
+                if trie is None:
+                    trie = Trie([*short.value, *_suffix_levels(np.concatenate(keys), np.concatenate(counts), range(len(short.value), order + 1))])
+                uid, at = np.unique(batch.column(0).drop_null().to_numpy(), return_inverse=True)
+                sums = np.bincount(at, weights=trie.score(gram[asked]) * n[asked], minlength=len(uid))
+                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(sums)], names=["uid", "s"])
+
+    return score
+
+
 def _scorer(model, words, order: int, end_count: int, tokens: int, vocabulary: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, (known, known_counts) = model.value, words.value
-        trie, common = Trie(levels), _Lookup(known)
+        (whole, parts), (known, known_counts) = model.value, words.value
+        trie, common = (Trie if whole else _Known)(*parts), _Lookup(known)
         scale = np.log10(tokens + 0.5 * (vocabulary + 1))
         log_known = np.log10(known_counts + 0.5)
         end = np.log10(end_count + 0.5) - scale
@@ -210,7 +253,11 @@ def _scorer(model, words, order: int, end_count: int, tokens: int, vocabulary: i
             for a, b in chunks(offsets):
                 part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 grams, first = _streams(part, off, order)
-                ppm = np.add.reduceat(trie.score(grams), first) if len(first) else np.zeros(0)
+                scores = trie.score(grams)
+                other = np.flatnonzero(np.isnan(scores))
+                scores[other] = 0.0
+                ppm = np.add.reduceat(scores, first) if len(first) else np.zeros(0)
+                other_ends = np.searchsorted(other, np.append(first, len(grams))).astype(np.int32)
                 w = split_words(part, off)
                 h = hash_words(part, w)
                 at = common.find(h)
@@ -225,13 +272,31 @@ def _scorer(model, words, order: int, end_count: int, tokens: int, vocabulary: i
                         batch.column(0).slice(a, n).cast(pa.int64()), pa.array(n_words + 1),
                         pa.array(np.bincount(w.doc[hit], minlength=n).astype(np.int64) + int(end_count > 0)),
                         pa.array(base), pa.array(ppm), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)),
+                        pa.ListArray.from_arrays(pa.array(other_ends), pa.array(grams[other].astype(np.int64))),
                     ],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
+                    names=["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "other"],
                 )
 
     return score
 
 
+def _counted(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = grams.select("key", "n").toArrow()
+    return got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy()
+
+
+def _least(grams: DataFrame, most: int) -> int:
+    """A count that at most `most` grams reach, out of eight steps a power of two."""
+    steps = grams.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("v"), F.max("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    least, seen = (steps[0]["n"] + 1 if steps else 1), 0
+    for r in steps:
+        seen += r["v"]
+        if seen > most:
+            break
+        least = r["least"]
+    return least
+
+
 def _held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1
 
@@ -247,30 +312,44 @@ def score(docs: DataFrame, doc_col="doc_id", text_col="text", order: int = ORDER
     n_docs = sums[2]["n"] if 2 in sums else 0
     tokens = (sums[0]["n"] if 0 in sums else 0) + n_docs
     vocabulary = (sums[0]["v"] if 0 in sums else 0) + int(n_docs > 0)
-    least = -(-(sums[1]["n"] if 1 in sums else 0) // TRIE_NODES) or 1
     least_word = -(-tokens // WORD_NODES) or 1
 
-    # the trie: each order's counts are sums over the longest grams; every kept one has total / TRIE_NODES or more
-    grams = counts.where("kind = 1")
-    of = [F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")) for k in range(order + 1)]
-    kept = grams.select(F.explode(F.array(*of)).alias("g"), "n").groupBy("g.k", "g.gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    k, gram, n = (kept.column(c).to_numpy() for c in range(3))
-    levels = []
-    for at in range(order + 1):
-        g, c = gram[k == at].astype(np.uint64), n[k == at].astype(np.int64)
-        by = np.argsort(g)
-        levels.append((g[by], c[by]))
+    grams = counts.where("kind = 1").select("key", "n")
+    distinct = sums[1]["v"] if 1 in sums else 0
+    whole = distinct <= TRIE_NODES  # shorter contexts never have more symbols
+    if whole:
+        model = (_suffix_levels(*_counted(grams), range(order + 1)),)
+    else:
+        # a gram seen in the longest context needs only that context's totals: n / (occurrences + distinct symbols)
+        node = F.shiftrightunsigned("key", 8)
+        totals = grams.groupBy(node.alias("node")).agg((F.sum("n") + F.count("*")).alias("total"))
+        frequent = grams.where(F.col("n") >= _least(grams, TRIE_NODES)).withColumn("node", node).join(totals, "node")
+        known = frequent.select("key", (F.log10("n") - F.log10("total")).alias("p")).toArrow()
+        model = (known.column(0).to_numpy().astype(np.uint64), known.column(1).to_numpy())
     common = counts.where((F.col("kind") == 0) & (F.col("n") >= least_word)).select("key", "n").toArrow()
     words = (common.column(0).to_numpy().astype(np.uint64), common.column(1).to_numpy().astype(np.int64))
 
     broadcast = spark.sparkContext.broadcast
-    scored = rows.mapInArrow(_scorer(broadcast(levels), broadcast(words), order, n_docs, tokens, vocabulary), "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+    scored = rows.mapInArrow(_scorer(broadcast((whole, model)), broadcast(words), order, n_docs, tokens, vocabulary), "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, other array<long>")
     scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
     rare_counts = counts.where((F.col("kind") == 0) & (F.col("n") < least_word)).select(F.col("key").alias("h"), "n")
     scale = float(np.log10(tokens + 0.5 * (vocabulary + 1)))
     uncommon = scored.select("uid", F.explode("rare").alias("h")).join(rare_counts, "h", "left")
     more = uncommon.groupBy("uid").agg(F.count("n").alias("k"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5) - scale).alias("s"))
+    if whole:
+        scored = scored.withColumn("by_block", F.lit(0.0))
+    else:
+        end = max(0, order - 2)
+        shorter = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * end)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+        short = broadcast(_suffix_levels(*_counted(shorter), range(end)))
+        asked = scored.select("uid", F.explode("other").alias("key"), F.lit(1).cast("long").alias("n"))
+        rows = grams.select(F.lit(None).cast("long").alias("uid"), "key", "n").unionByName(asked)
+        block = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * end)) - 1))
+        n_blocks = max(-(-distinct // BLOCK_NODES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        blocks = rows.repartition(n_blocks, block).sortWithinPartitions(F.col("uid").asc_nulls_first())
+        sums_of = blocks.mapInArrow(_block_scorer(short, order), "uid long, s double").groupBy("uid").agg(F.sum("s").alias("by_block"))
+        scored = scored.join(sums_of, "uid", "left")
     return scored.join(more, "uid", "left").select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("s", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("s", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("by_block", F.lit(0.0))).alias("score"),
     )

@@ -209,6 +209,27 @@ def test_ppm_pruned_trie_and_rare_words(docs, monkeypatch):
     assert all(r.score < 0 for r in rows)
 
 
+@pytest.mark.parametrize("which", ["docs", "edge"])
+@pytest.mark.parametrize("nodes", [0, 500])
+def test_ppm_bounded_broadcast_keeps_every_gram(request, which, nodes, monkeypatch):
+    df = request.getfixturevalue(which)
+    rows = [(r.doc_id, r.text or "") for r in df.collect()]
+    log_p = _ppm_brute([t for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1], ppm.ORDER)
+    exact = collections.defaultdict(list)
+    for r in ppm.score(df).collect():
+        exact[r.doc_id].append(r.score)
+    monkeypatch.setattr(ppm, "TRIE_NODES", nodes)
+    monkeypatch.setattr(ppm, "BLOCK_NODES", 1000)
+    got = collections.defaultdict(list)
+    for r in ppm.score(df).collect():
+        got[r.doc_id].append(r.score)
+    assert got.keys() == exact.keys()
+    for k in exact:
+        assert sorted(got[k]) == pytest.approx(sorted(exact[k]), rel=1e-9)
+    for k, t in rows[:20]:
+        assert any(x == pytest.approx(log_p(t), rel=1e-9) for x in got[k])
+
+
 def test_ppm_distributions_sum_to_one():
     rng = np.random.default_rng(5)
     raw = rng.integers(97, 101, 3000).astype(np.uint8)
