@@ -12,7 +12,7 @@ so on: the first k paths are k distinct segmentations sampled without replacemen
 of the inclusion scores. All random numbers are hashes of (seed, row key, place), so results depend on nothing else.
 
 Edge cases: null and empty texts have one segmentation, of no pieces, with score 1. A text with fewer segmentations than k
-(those beyond hold under 1e-5 of a word's mass) emits them all, with score 1. Repeated keys with equal texts get equal samples. U+2581 in a text decodes to a space. Other
+emits them all, with score 1. Repeated keys with equal texts get equal samples. U+2581 in a text decodes to a space. Other
 columns are not read.
 """
 
@@ -34,8 +34,8 @@ SAMPLES, SEED, RANK_SHIFT, CHUNK_CHARS = 2, 13, 10.0, 1 << 21
 _SPACE = 0x2581
 _LONGEST = 16
 _INF = float("inf")
-#: Mass that rounding (single precision) may leave where nothing is left.
-_NOTHING = 1e-5
+#: Mass off a word's path below which it is summed piece by piece, as rounding would blur 1 - exp(log_p).
+_NEAR = 1e-6
 #: Log mass by which a branch must trail to be left out of the search: Gumbel noise in double precision spans less.
 _FAR = 80.0
 
@@ -154,6 +154,7 @@ class _Lattices:
             alpha[end] = top + np.log(np.exp(score - top[:, None]).sum(1))
             weight[end, :n_k] = score - alpha[end][:, None]
             place += 1
+        self.rests: dict[tuple, float] = {}
         self.log_p = weight  # log probability of each last piece, given the end
         self.cum = np.cumsum(np.exp(weight), axis=1)
 
@@ -198,28 +199,58 @@ class _Lattices:
             out[start[i] : start[i + 1]] = vocab.byte_ids[np.frombuffer(raw, dtype=np.uint8)]
         return start[first], out
 
-    def draw_other(self, word: int, excluded: list[list[int]], uniform) -> tuple[list[tuple[int, int]], float] | None:
-        """A segmentation of one word other than the excluded ones (their piece lengths from the last to the first), if any."""
-        left, out, log_p, alive = int(self.lengths[word]), [], 0.0, list(excluded)
-        step = 0
+    def off_paths(self, word: int, excluded: list[list[int]]):
+        """What is left of one word beside the excluded segmentations (piece lengths from the last to the first).
+
+        Returns the tree of their beginnings (node 0: none drawn yet), as children by piece length, and each node's mass
+        off them, given that it was reached: a sum of positive terms, so exact to rounding however small, and 0 only where
+        no other segmentation exists.
+        """
+        children: list[dict[int, int]] = [{}]
+        lefts = [int(self.lengths[word])]
+        for path in excluded:
+            at = 0
+            for k in path:
+                if k not in children[at]:
+                    children[at][k] = len(children)
+                    children.append({})
+                    lefts.append(lefts[at] - k - 1)
+                at = children[at][k]
+        rest, first = [0.0] * len(children), int(self.first[word])
+        for at in range(len(children) - 1, -1, -1):
+            if lefts[at]:
+                p = np.exp(self.log_p[first + lefts[at] - 1].astype(np.float64))
+                for k, to in children[at].items():
+                    p[k] *= rest[to]
+                rest[at] = float(p.sum())
+        return children, rest
+
+    def off_path(self, word: int, path: list[int]) -> float:
+        """The mass off one segmentation of a word; kept for the word's other occurrences."""
+        key = (word, *path)
+        if key not in self.rests:
+            self.rests[key] = self.off_paths(word, [path])[1][0]
+        return self.rests[key]
+
+    def draw_other(self, word: int, tree, uniform) -> tuple[list[tuple[int, int]], float] | None:
+        """A segmentation of one word off the paths of its tree, if any."""
+        children, rest = tree
+        if rest[0] <= 0:
+            return None
+        left, out, log_p, at, step = int(self.lengths[word]), [], 0.0, 0, 0
         while left:
             end = int(self.first[word]) + left - 1
             p = np.exp(self.log_p[end].astype(np.float64))
-            for x in alive:  # take the excluded path's own mass from its next piece
-                mass, rest = 1.0, left
-                for k in x[step:]:
-                    mass *= float(np.exp(self.log_p[int(self.first[word]) + rest - 1, k]))
-                    rest -= k + 1
-                p[x[step]] = 0.0 if p[x[step]] - mass < _NOTHING else p[x[step]] - mass
-            total = p.sum()
-            if total <= 0:
-                return None
-            k = int(min((np.cumsum(p) < uniform(step) * total).sum(), self.width - 1))
+            for k, to in (children[at] if at >= 0 else {}).items():
+                p[k] *= rest[to]
+            k = int(min((np.cumsum(p) < uniform(step) * p.sum()).sum(), self.width - 1))
             while k and p[k] <= 0:
                 k -= 1
+            while p[k] <= 0:
+                k += 1
             out.append((end, k))
             log_p += float(self.log_p[end, k])
-            alive = [x for x in alive if x[step] == k]
+            at = children[at].get(k, -1) if at >= 0 else -1
             left -= k + 1
             step += 1
         return out[::-1], log_p
@@ -235,10 +266,8 @@ def _truncated(phi: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
         return -np.log(np.exp(-bound) - np.log(u) * np.exp(-phi))
 
 
-def _log_rest(p: np.ndarray) -> np.ndarray:
-    """log(1 - exp(p)); an only segmentation leaves nothing."""
-    with np.errstate(divide="ignore"):
-        return np.where(p > -_NOTHING, -_INF, np.log(-np.expm1(np.minimum(p, -1e-300))))
+def _log(mass: float) -> float:
+    return float(np.log(mass)) if mass > 0 else -_INF
 
 
 def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
@@ -247,20 +276,25 @@ def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
     A path is made of draws: path n takes draw n for the words after its branch, so no two share random numbers there.
     """
     u0 = _one_uniform(seed, key, 1 << 40)
-    paths = []  # [segments, log_p by word, value, branch values, branch offset, excluded at the first branch]
+    paths = []  # [segments, log_p by word, value, branch values, branch offset, excluded at the first branch, its tree]
 
-    def add(segments, log_p, value, start, excluded, excluded_mass, number):
+    def add(segments, log_p, value, start, excluded, number):
         before = np.concatenate(([0.0], np.cumsum(log_p)))[:-1][start:]
         # a branch's mass is below its prefix's: those under exp(-_FAR) of the first cannot come before it
         before = before[: int(np.searchsorted(-before, _FAR - (before[0] if len(before) else 0.0)))]
-        rest = _log_rest(log_p[start : start + len(before)])
+        p, tree = log_p[start : start + len(before)], None
+        with np.errstate(divide="ignore"):
+            rest = np.log(-np.expm1(np.minimum(p, 0.0)))
+        for i in np.flatnonzero(p > -_NEAR):
+            rest[i] = _log(lat.off_path(int(word[lo + start + i]), _own_lengths(lat, draws, segments, lo + start + int(i))))
         if excluded is not None and len(rest):
-            m = excluded_mass + float(np.exp(log_p[start]))
-            rest[0] = np.log(1 - m) if m < 1 - _NOTHING else -_INF
+            excluded = [*excluded, _own_lengths(lat, draws, segments, lo + start)]
+            tree = lat.off_paths(int(word[lo + start]), excluded)
+            rest[0] = _log(tree[1][0])
         u = _uniform(np.uint64(_one_key(seed, key, number)), np.arange(start, start + len(rest)).astype(np.uint64))
-        paths.append([segments, log_p, value, _truncated(before + rest, value, u), start, excluded, excluded_mass])
+        paths.append([segments, log_p, value, _truncated(before + rest, value, u), start, excluded, tree])
 
-    add([(0, lo, hi)], draws[0][0][lo:hi], -np.log(-np.log(u0)), 0, None, 0.0, 0)
+    add([(0, lo, hi)], draws[0][0][lo:hi], -np.log(-np.log(u0)), 0, None, 0)
     threshold = -_INF
     while True:
         best, at, value = -1, -1, -_INF
@@ -273,16 +307,18 @@ def _search(lat, vocab, cps, word, lo, hi, draws, all_ids, key, k, seed):
         parent = paths[best]
         parent[3][at] = -_INF
         w = parent[4] + at
-        own = _own_lengths(lat, draws, parent[0], lo + w)
-        excluded = [*(parent[5] or []), own] if at == 0 and parent[5] is not None else [own]
-        mass = (parent[6] if at == 0 and parent[5] is not None else 0.0) + float(np.exp(parent[1][w]))
+        if at == 0 and parent[5] is not None:
+            excluded, tree = parent[5], parent[6]
+        else:
+            excluded = [_own_lengths(lat, draws, parent[0], lo + w)]
+            tree = lat.off_paths(int(word[lo + w]), excluded)
         number = len(paths)
-        drawn = lat.draw_other(int(word[lo + w]), excluded, lambda s: _one_uniform(seed, key, (1 << 42) + number, s))
+        drawn = lat.draw_other(int(word[lo + w]), tree, lambda s: _one_uniform(seed, key, (1 << 42) + number, s))
         if drawn is None:
             continue  # all of the word's segmentations are out already
         pieces, lp = drawn
         segments = [*_head(parent[0], lo + w), (None, lo + w, pieces), (number, lo + w + 1, hi)]
-        add(segments, np.concatenate([parent[1][:w], [lp], draws[number][0][lo + w + 1 : hi]]), value, w, excluded, mass, number)
+        add(segments, np.concatenate([parent[1][:w], [lp], draws[number][0][lo + w + 1 : hi]]), value, w, excluded, number)
     out = []
     for segments, log_p, value, *_ in paths:
         ids = []

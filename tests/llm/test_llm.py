@@ -498,6 +498,27 @@ def test_short_texts_run_out_of_segmentations(paths):
     assert len(segment.sample_texts(vocab, [1], ["ab"], 50, 5)[0]) == 2
 
 
+def test_every_segmentation_of_short_texts_is_found(paths):
+    vocab = segment.Vocabulary(paths("piece_bpe_32k.model"))
+    pieces = {vocab.sp.id_to_piece(i) for i in range(vocab.sp.get_piece_size()) if not (vocab.sp.is_control(i) or vocab.sp.is_unknown(i) or vocab.sp.is_byte(i) or vocab.sp.is_unused(i))}
+
+    def count(word):
+        ways = [1] + [0] * len(word)
+        for b in range(1, len(word) + 1):
+            ways[b] = sum(ways[a] for a in range(b) if word[a:b] in pieces) + (ways[b - 1] if word[b - 1] not in pieces else 0)
+        return ways[-1]
+
+    for text in ("ab", "a", "the", "I ", "of", "abc de", "漢"):
+        n = math.prod(count("▁" + w) if w else 1 for w in text.split(" "))
+        for key in range(20):
+            for k in (n - 1, n, n + 5):
+                row = segment.sample_texts(vocab, [key], [text], k, 5)[0] if k else []
+                assert len({tuple(r[0]) for r in row}) == len(row) == min(k, n), (text, k)
+                if k >= n:
+                    assert all(r[2] == 1 for r in row) and sum(math.exp(r[1]) for r in row) == pytest.approx(1, abs=1e-6)
+    assert len(segment.sample_texts(vocab, [1], ["ab"], 50, 5)[0]) == 4
+
+
 def test_segment_edges(edge, paths):
     path = paths("piece_bpe_32k.model")
     rows = segment.digest(edge, path).collect()
