@@ -8,6 +8,7 @@ of the documents table other than id and text are neither read nor returned by `
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import materialize, small_batches
 from .words import ALNUM, chunks, hash_words, split_words, text_bytes, whole_windows, windows
 
 WINDOW = 10
 #: Most benchmark words in one broadcast block (about 24 bytes each); a larger benchmark is scanned in several blocks.
 BLOCK_WORDS = 4_000_000
 
+#: Column of the row keys that bring a row's blocks together.
+_ROW = "_row_key"
 _SCAN = "doc_id long, n_words long, n_hit long, hit_from array<int>, hit_to array<int>, items array<string>"
 
 
@@ -71,10 +74,12 @@ class _Windows:
 
 
 def _scanner(blocks, size: int):
+    """Scans (row key, id, text), or (id, text); the row key, where there is one, passes through."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Windows(blocks.value, size)
         for batch in batches:
-            ids, (raw, offsets) = batch.column(0), text_bytes(batch.column(1))
+            keys, ids, (raw, offsets) = batch.columns[:-2], batch.column(batch.num_columns - 2), text_bytes(batch.column(batch.num_columns - 1))
             for a, b in chunks(offsets):
                 part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 words = split_words(part, off, ALNUM)
@@ -95,6 +100,7 @@ def _scanner(blocks, size: int):
                     to[row].append(int(y - words.first[row]) + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        *(k.slice(a, b - a) for k in keys),
                         ids.slice(a, b - a).cast(pa.int64()),
                         pa.array(np.diff(words.first)),
                         pa.array(np.bincount(doc, minlength=b - a).astype(np.int64)),
@@ -102,7 +108,7 @@ def _scanner(blocks, size: int):
                         pa.array(to, pa.list_(pa.int32())),
                         pa.array([sorted(s) for s in items], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "n_hit", "hit_from", "hit_to", "items"],
+                    names=[*batch.schema.names[:-2], "doc_id", "n_words", "n_hit", "hit_from", "hit_to", "items"],
                 )
 
     return scan
@@ -129,20 +135,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_col="doc_id", text_col="text
     spark = docs.sparkSession
     small_batches(spark)
     narrow = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = [narrow.mapInArrow(_scanner(spark.sparkContext.broadcast(b), size), _SCAN) for b in _item_blocks(benchmark, item_col, text_col, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    # more than one block: the spans of a document meet again by its id; only counts and spans travel
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+    blocks = _item_blocks(benchmark, item_col, text_col, block_words)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return narrow.mapInArrow(_scanner(spark.sparkContext.broadcast(first), size), _SCAN)
+    rows = materialize(narrow.select(F.monotonically_increasing_id().alias(_ROW), "doc_id", "text"), "rows")
+    return _scan_blocks(rows, itertools.chain([first, second], blocks), size).drop(_ROW)
+
+
+def _scan_blocks(rows: DataFrame, blocks, size: int) -> DataFrame:
+    """The scan of rows (row key, doc_id, text) over several blocks: a row's spans meet again by its key."""
+    spark, both = rows.sparkSession, None
+    for block in blocks:
+        part = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(block), size), f"{_ROW} long, {_SCAN}")
+        both = part if both is None else both.unionByName(part)
     places = F.array_distinct(F.flatten(F.transform(F.arrays_zip("hit_from", "hit_to"), lambda s: F.sequence(s["hit_from"], s["hit_to"] - 1))))
     return (
         both.withColumn("places", places)
-        .groupBy("doc_id")
-        .agg(F.max("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("p"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        .groupBy(_ROW)
+        .agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("p"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         .select(
-            "doc_id", "n_words", F.size("p").cast("long").alias("n_hit"),
+            _ROW, "doc_id", "n_words", F.size("p").cast("long").alias("n_hit"),
             F.filter("p", lambda x: ~F.array_contains("p", x - 1)).alias("hit_from"),
             F.transform(F.filter("p", lambda x: ~F.array_contains("p", x + 1)), lambda x: x + 1).alias("hit_to"),
             "items",

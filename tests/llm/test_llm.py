@@ -406,6 +406,14 @@ def test_removal_leaves_no_window(spark, docs):
     assert all(r.text == text[r.doc_id] for r in out.collect() if not before[r.doc_id].n_hit)
 
 
+def test_blocks_keep_repeated_and_null_ids_apart(spark):
+    items = [" ".join(f"w{j}" for j in range(i * 12, i * 12 + 12)) for i in range(8)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame([(k, t) for k in (7, None) for t in (items[0], items[3] + " end", "clean", None, items[0])], "doc_id long, text string")
+    whole, cut = (collections.Counter((r.doc_id, r.n_words, r.n_hit, *map(tuple, (r.hit_from, r.hit_to, r["items"]))) for r in decontaminate.scan(df, bench, block_words=b).collect()) for b in (4_000_000, 20))
+    assert whole == cut and sum(whole.values()) == 10
+
+
 # 7 and 8 tokens
 
 
