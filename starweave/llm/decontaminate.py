@@ -172,16 +172,25 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def _cutter(blocks, size: int, text_at: int):
+    """Cuts the hits of one block, or with blocks None those that the last two columns (hit_from, hit_to) name."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Windows(blocks.value, size)
+        table = None if blocks is None else _Windows(blocks.value, size)
         for batch in batches:
             column = batch.column(text_at)
+            spans = None if blocks is not None else [c.to_pylist() for c in batch.columns[-2:]]
             raw, offsets = text_bytes(column)
             out: list[str | None] = []
             for a, b in chunks(offsets):
                 part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 words = split_words(part, off, ALNUM)
-                inside, _ = table.hits(part, words, hash_words(part, words))
+                if spans is None:
+                    inside, _ = table.hits(part, words, hash_words(part, words))
+                else:
+                    inside = np.zeros(len(words.doc), dtype=bool)
+                    for row in range(b - a):
+                        for x, y in zip(spans[0][a + row] or (), spans[1][a + row] or (), strict=True):
+                            inside[words.first[row] + x : words.first[row] + y] = True
                 dirty = np.zeros(b - a, dtype=bool)
                 dirty[words.doc[inside]] = True
                 for row in range(b - a):
@@ -196,9 +205,10 @@ def _cutter(blocks, size: int, text_at: int):
                             frm = words.ends[i - 1] if i > first and inside[i - 1] else words.starts[i]
                             keep[frm - off[row] : words.ends[i] - off[row]] = False
                     out.append(whole[keep].tobytes().decode())
-            columns = batch.columns
+            fields = list(batch.schema)[: None if spans is None else -2]
+            columns = batch.columns[: len(fields)]
             columns[text_at] = pa.array(out, batch.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     return cut
 
@@ -206,12 +216,19 @@ def _cutter(blocks, size: int, text_at: int):
 def remove(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with every hit word cut from its text; all columns stay, clean texts and nulls are returned as they are.
 
-    A benchmark larger than one block is cut block by block; words join after a cut, so a window is only sought in texts
-    that still hold it whole.
+    Hits are those of the texts as given, whatever the number of blocks: with several, all blocks are scanned first, the
+    spans of a row are united by a row key and cut once. Words that become neighbours by a cut are not searched again.
     """
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index(text_col)
-    for block in _item_blocks(benchmark, item_col, text_col, block_words):
-        docs = docs.mapInArrow(_cutter(spark.sparkContext.broadcast(block), size, at), docs.schema)
-    return docs
+    blocks = _item_blocks(benchmark, item_col, text_col, block_words)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_cutter(spark.sparkContext.broadcast(first), size, at), docs.schema)
+    rows = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(_ROW, F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    hits = _scan_blocks(texts, itertools.chain([first, second], blocks), size).where("n_hit > 0")
+    found = rows.join(hits.select(_ROW, F.col("hit_from").alias("_hit_from"), F.col("hit_to").alias("_hit_to")), _ROW, "left")
+    return found.select(*docs.columns, "_hit_from", "_hit_to").mapInArrow(_cutter(None, size, at), docs.schema)

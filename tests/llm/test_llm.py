@@ -414,6 +414,18 @@ def test_blocks_keep_repeated_and_null_ids_apart(spark):
     assert whole == cut and sum(whole.values()) == 10
 
 
+def test_removal_is_the_same_in_blocks(spark, docs, edge):
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(words[i * 4 : i * 4 + 12])) for i in range(12)] + [(90, "before after"), (91, "")], "item_id long, text string")
+    texts = ["before " + ", ".join(words) + " after.", " ".join(words[3:30]), "é " + " ".join(words[:12]) + " x", None, "", "clean one", " ".join(words[:12])]
+    df = spark.createDataFrame([(k, t, "en") for k in (1, None) for t in texts], "doc_id long, text string, lang string")
+    real = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    for rows, items, block in ((df, bench, 20), (docs, real, 300), (edge, bench, 20)):
+        one, many = (decontaminate.remove(rows, items, block_words=b) for b in (4_000_000, block))
+        assert many.columns == rows.columns
+        assert collections.Counter(map(tuple, one.collect())) == collections.Counter(map(tuple, many.collect()))
+
+
 # 7 and 8 tokens
 
 
