@@ -3,7 +3,8 @@
 `Encoder` gives what the tokenizers library gives for the whole text. Byte-level pre-tokenization never joins text over
 some places, so the pieces between them are encoded on their own, and each distinct piece once per worker: in plain Latin
 texts the places are those between letters, other signs and white space (a single space goes with what follows); in others
-only the single spaces between two characters that are not white space.
+only the single spaces between two characters that are not white space. A text that holds an added token of the tokenizer
+(a string like <|endoftext|>) is encoded whole by the library, unless special tokens count as ordinary text.
 
 `write_batches` / `read_batches`: Arrow files of fixed-size-list batches: rows of SEQUENCE ids with a mask, plus an index
 batch file of (doc_id, place, n). Ids lie in one flat buffer, so any range of the stream is a slice without a copy.
@@ -49,18 +50,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.known: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (plain and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them with add_special_tokens=False."""
-        split = [self._pieces(t) for t in texts]
+        dtype = np.uint32 if self.wide else np.uint16
+        whole = {i for i, t in enumerate(texts) if self.added.search(t)} if self.added else set()
+        split = [[] if i in whole else self._pieces(t) for i, t in enumerate(texts)]
         known = self.known
         new = list({p for pieces in split for p in pieces if p not in known})
         for a in range(0, len(new), 4096):
             part = new[a : a + 4096]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, dtype=np.uint32 if self.wide else np.uint16).tobytes()
-        out = [np.frombuffer(b"".join([known[p] for p in pieces]), dtype=np.uint32 if self.wide else np.uint16) for pieces in split]
+                known[piece] = np.array(got.ids, dtype=dtype).tobytes()
+        out = [np.frombuffer(b"".join([known[p] for p in pieces]), dtype=dtype) for pieces in split]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=dtype)
         if len(known) > CACHE_PIECES:
             known.clear()
         return out

@@ -429,6 +429,21 @@ def test_removal_is_the_same_in_blocks(spark, docs, edge):
 # 7 and 8 tokens
 
 
+def test_encoder_keeps_added_tokens(paths):
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(4), paths("byte_bpe_50k.json")
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "see", " here", "\n", "é", "ж", "'s", "."]
+    texts = ["see <|endoftext|> here", "<|endoftext|>", *("".join(rng.choice(parts) for _ in range(9)) for _ in range(600))]
+    for plain in (False, True):
+        library, own = Tokenizer.from_file(path), tokens.Encoder(path, plain)
+        library.encode_special_tokens = plain
+        for t, ids in zip(texts, own.encode(texts), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_encoder_is_the_library(paths):
     import random
 
