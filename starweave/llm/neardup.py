@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataF
 
 
 def dedup(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
-    """docs with one document of each component; all columns stay."""
+    """docs with one document of each component; all columns stay. Rows with a null id have no component and all stay."""
     kept = classes(docs, doc_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(doc_col) == F.col("_kept"), "left_semi")
+    named = docs.join(kept, F.col(doc_col) == F.col("_kept"), "left_semi")
+    return named.unionAll(docs.where(F.col(doc_col).isNull()))

@@ -307,6 +307,11 @@ def test_dedup_keeps_columns_and_empty_tables(spark, edge):
     assert neardup.near_duplicates(empty(edge)).count() == 0
 
 
+def test_dedup_keeps_rows_with_null_ids(spark):
+    df = spark.createDataFrame([(None, "some words here"), (2, "some words here"), (3, "some words here"), (None, "others"), (None, None)], "doc_id long, text string")
+    assert collections.Counter((r.doc_id, r.text) for r in neardup.dedup(df).collect()) == {(None, "some words here"): 1, (2, "some words here"): 1, (None, "others"): 1, (None, None): 1}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 60), (7, 7), (60, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
