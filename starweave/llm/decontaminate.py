@@ -1,8 +1,11 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word windows, scanned over every text.
 
 Edge cases: a null or empty text (or item) has no words: n_words 0, no hits, not contaminated. An item with fewer words
-than the window is one window of its own length. Repeated items and repeated rows keep their own ids and results. Columns
-of the documents table other than id and text are neither read nor returned by `scan`; `remove` passes them through.
+than the window is one window of its own length. Repeated items and repeated rows keep their own ids and results. The
+windows of items without an id hit words as others do; in items they are one null, first in order, which counts as an item
+and is left out of the checksum. Texts of any length are scanned whole; an empty table gives an empty one, an empty
+benchmark hits nothing. Columns of the documents table other than id and text are neither read nor returned by `scan`;
+`remove` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, small_batches
+from .scratch import free_names, materialize, small_batches
 from .words import ALNUM, chunks, hash_words, split_words, text_bytes, whole_windows, windows
 
 WINDOW = 10
-#: Most benchmark words in one broadcast block (about 24 bytes each); a larger benchmark is scanned in several blocks.
+#: Most benchmark words in one broadcast block; a larger benchmark is scanned in several blocks. A worker's table takes about
+#: 55 bytes a word and as much again while it is built.
 BLOCK_WORDS = 4_000_000
 
 #: Column of the row keys that bring a row's blocks together.
@@ -29,47 +33,50 @@ _SCAN = "doc_id long, n_words long, n_hit long, hit_from array<int>, hit_to arra
 
 
 class _Windows:
-    """The windows of one block of items: sorted hashes, the word sequence and the items of each."""
+    """The windows of one block of items in flat arrays: by window length, sorted hashes and the first word of each."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
-        self.by_length: dict[int, dict] = {}
-        for item, words in items:
-            if not words:
-                continue
-            n = min(size, len(words))
-            known = self.by_length.setdefault(n, {})
-            for i in range(len(words) - n + 1):
-                known.setdefault(tuple(words[i : i + n]), set()).add(item)
+    def __init__(self, items: list[str | None], texts: list[str | None], size: int):
+        raw, offsets = text_bytes(pa.array(texts, pa.string()))
+        self.items, self.raw, self.words = items, raw, split_words(raw, offsets, ALNUM)
+        hashes, counts = hash_words(raw, self.words), np.diff(self.words.first)
         self.tables = []
-        for n, known in sorted(self.by_length.items()):
-            seqs = list(known)
-            joined = [b" ".join(s) for s in seqs]
-            raw, offsets = text_bytes(pa.array([j.decode() for j in joined]))
-            w = split_words(raw, offsets, ALNUM)
-            hashes = windows(hash_words(raw, w), n)[whole_windows(w, n)]
-            order = np.argsort(hashes, kind="stable")
-            self.tables.append((n, hashes[order], [joined[i] for i in order], [sorted(known[seqs[i]]) for i in order]))
-        del self.by_length
-
-    def hits(self, raw, words, hashes) -> tuple[np.ndarray, list[tuple[int, list[str]]]]:
+        for n in np.unique(np.minimum(counts[counts > 0], size)).tolist():
+            first = whole_windows(self.words, n) if n == size else self.words.first[:-1][counts == n]
+            table = windows(hashes, n)[first]
+            order = np.argsort(table, kind="stable")
+            self.tables.append((n, table[order], first[order].astype(np.int32), {}))
+
+    @staticmethod
+    def _text(raw, words, first: int, n: int) -> bytes:
+        return b" ".join([raw[a:b].tobytes() for a, b in zip(words.starts[first : first + n].tolist(), words.ends[first : first + n].tolist(), strict=True)]).lower()
+
+    def _of_hash(self, n: int, table, first, seen: dict, place: int) -> dict[bytes, list]:
+        """{window: items} of the windows that share the hash at a place; read once a worker."""
+        if place not in seen:
+            found: dict[bytes, set] = {}
+            for p in range(place, int(np.searchsorted(table, table[place], side="right"))):
+                found.setdefault(self._text(self.raw, self.words, int(first[p]), n), set()).add(self.items[self.words.doc[first[p]]])
+            seen[place] = {text: list(items) for text, items in found.items()}
+        return seen[place]
+
+    def hits(self, raw, words, hashes) -> tuple[np.ndarray, list[tuple[int, list]]]:
         """(mask of the words inside a verified window, [(row, items)])."""
         mask = np.zeros(len(hashes) + 1, dtype=np.int64)
-        found: list[tuple[int, list[str]]] = []
-        for n, table, texts, items in self.tables:
+        found: list[tuple[int, list]] = []
+        for n, table, starts, seen in self.tables:
             at = whole_windows(words, n)
             if not len(at):
                 continue
             h = windows(hashes, n)[at]
             place = np.searchsorted(table, h)
-            for k in np.flatnonzero(table[np.minimum(place, len(table) - 1)] == h):
-                first, p = int(at[k]), int(place[k])
-                text = b" ".join(raw[words.starts[i] : words.ends[i]].tobytes() for i in range(first, first + n)).lower()
-                while p < len(table) and table[p] == h[k]:  # verify: equal words, not only equal hashes
-                    if texts[p] == text:
-                        mask[first] += 1
-                        mask[first + n] -= 1
-                        found.append((int(words.doc[first]), items[p]))
-                    p += 1
+            for k in np.flatnonzero(table[np.minimum(place, len(table) - 1)] == h).tolist():
+                first = int(at[k])
+                # verify: equal words, not only equal hashes
+                items = self._of_hash(n, table, starts, seen, int(place[k])).get(self._text(raw, words, first, n))
+                if items:
+                    mask[first] += 1
+                    mask[first + n] -= 1
+                    found.append((int(words.doc[first]), items))
         return np.cumsum(mask[:-1]) > 0, found
 
 
@@ -77,7 +84,7 @@ def _scanner(blocks, size: int):
     """Scans (row key, id, text), or (id, text); the row key, where there is one, passes through."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Windows(blocks.value, size)
+        table = _Windows(*blocks.value, size)
         for batch in batches:
             keys, ids, (raw, offsets) = batch.columns[:-2], batch.column(batch.num_columns - 2), text_bytes(batch.column(batch.num_columns - 1))
             for a, b in chunks(offsets):
@@ -106,7 +113,7 @@ def _scanner(blocks, size: int):
                         pa.array(np.bincount(doc, minlength=b - a).astype(np.int64)),
                         pa.array(frm, pa.list_(pa.int32())),
                         pa.array(to, pa.list_(pa.int32())),
-                        pa.array([sorted(s) for s in items], pa.list_(pa.string())),
+                        pa.array([sorted(s, key=lambda x: (x is not None, x)) for s in items], pa.list_(pa.string())),
                     ],
                     names=[*batch.schema.names[:-2], "doc_id", "n_words", "n_hit", "hit_from", "hit_to", "items"],
                 )
@@ -122,12 +129,8 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words
     count = max(1, -(-int(total) // block_words))
     for k in range(count):
         part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(count)) == k)
-        out = []
-        for item, text in part.select("item", "text").toLocalIterator():
-            raw, offsets = text_bytes(pa.array([text], pa.string()))
-            w = split_words(raw, offsets, ALNUM)
-            out.append((item, [raw[a:b].tobytes().lower() for a, b in zip(w.starts, w.ends, strict=True)]))
-        yield out
+        got = part.where("n > 0").select("item", "text").toArrow()
+        yield got.column(0).to_pylist(), got.column(1).to_pylist()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, doc_col="doc_id", text_col="text", item_col="item_id", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -172,10 +175,10 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def _cutter(blocks, size: int, text_at: int):
-    """Cuts the hits of one block, or with blocks None those that the last two columns (hit_from, hit_to) name."""
+    """Cuts the hits of one block, or with blocks None those that the last two columns (from and to) name."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None if blocks is None else _Windows(blocks.value, size)
+        table = None if blocks is None else _Windows(*blocks.value, size)
         for batch in batches:
             column = batch.column(text_at)
             spans = None if blocks is not None else [c.to_pylist() for c in batch.columns[-2:]]
@@ -227,8 +230,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="ite
     second = next(blocks, None)
     if second is None:
         return docs.mapInArrow(_cutter(spark.sparkContext.broadcast(first), size, at), docs.schema)
-    rows = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-    texts = rows.select(_ROW, F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own, hit_from, hit_to = free_names(docs.columns, _ROW, "hit_from", "hit_to")
+    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(own).alias(_ROW), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hits = _scan_blocks(texts, itertools.chain([first, second], blocks), size).where("n_hit > 0")
-    found = rows.join(hits.select(_ROW, F.col("hit_from").alias("_hit_from"), F.col("hit_to").alias("_hit_to")), _ROW, "left")
-    return found.select(*docs.columns, "_hit_from", "_hit_to").mapInArrow(_cutter(None, size, at), docs.schema)
+    found = rows.join(hits.select(F.col(_ROW).alias(own), F.col("hit_from").alias(hit_from), F.col("hit_to").alias(hit_to)), own, "left")
+    return found.select(*docs.columns, hit_from, hit_to).mapInArrow(_cutter(None, size, at), docs.schema)

@@ -14,9 +14,13 @@ HALF_HASHES hashes. A pair of similarity 0.75 shares no table key with probabili
    of those: copies of one line or passage in else different texts end there. Signatures of both must agree in at least
    MIN_AGREE places (lost at 0.75: under 3e-5). No bucket, group or candidate list has a cap.
 
+Words and shingles are compared by 64-bit hashes, in which all bytes of a word count, however long it is.
+
 Edge cases: lower-casing touches A-Z only. A text with 1 to 4 words is one shingle, its whole sequence. Texts without
-words, and nulls, are empty: n_shingles 0, linked with nothing, kept. Repeated rows of one id are one document (the id's
-classes meet in one component). Extra columns are not read; `dedup` passes them through.
+words, and nulls, are empty: n_shingles 0, linked with nothing, kept. Very long texts give their whole sets. Repeated rows
+of one id are one document (the id's classes meet in one component); `dedup` keeps one row of it, the one with the least
+text. Equal similarities are no ties: all links count, and a component is named after its least id. An empty table gives
+an empty one. Extra columns are not read; `dedup` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .scratch import drop, materialize, small_batches
+from .scratch import drop, free_names, materialize, small_batches
 from .words import chunks, mix, shingle_sets, text_bytes
 
 SHINGLE = 5
@@ -38,6 +43,8 @@ HALVES, HALF_HASHES = 24, 3
 RARE = 16
 #: Of the 72 four-bit places of two signatures, at least so many agree.
 MIN_AGREE = 40
+#: Members of an open bucket that one task compares with as many others.
+BLOCK_ROWS = 4096
 _N = HALVES * HALF_HASHES
 _rng = np.random.default_rng(4711)
 _A = _rng.integers(1, 1 << 63, _N, dtype=np.uint64) | np.uint64(1)
@@ -129,7 +136,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
-def classes(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
+def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id."""
     signed = materialize(signatures(docs, doc_col, text_col), "signatures")
     key = ["fp1", "fp2", "n_shingles"]
@@ -177,8 +184,14 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
     both = F.array_intersect("h_a", "h_b")
     first = F.xxhash64(both[0], both[1])  # of the keys that a pair shares, only the first makes a row
     wide = rest.select("key", "rep").join(about.where("100 * common >= 75 * n_shingles"), "rep")
-    x, y = side(wide, "key", "a"), side(wide, "key", "b")
-    across = x.join(y, (x["key"] == y["key"]) & fits & (first == x["key"])).select("rep_a", "rep_b")
+    # a large bucket is dealt out in blocks: each pair of blocks meets in a task of its own
+    large = wide.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
+    wide = wide.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    wide = wide.select("*", every.alias("other"))
+    x = side(wide.withColumn("cell", F.struct("key", F.col("block").alias("i"), F.col("other").alias("j"))), "cell", "a")
+    y = side(wide.withColumn("cell", F.struct("key", F.col("other").alias("i"), F.col("block").alias("j"))), "cell", "b")
+    across = x.join(y, (x["cell"] == y["cell"]) & fits & (first == x["cell"]["key"])).select("rep_a", "rep_b")
     shared = held.join(about, "rep")
     x, y = side(shared, "gram", "a"), side(shared, "gram", "b")
     across = across.union(x.join(y, (x["gram"] == y["gram"]) & near & (_agree("sketch_a", "sketch_b") >= MIN_AGREE)).select("rep_a", "rep_b"))
@@ -196,13 +209,17 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
     return named.join(label, named["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept."""
-    return classes(docs, doc_col, text_col).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return classes(docs, doc_col, text_col, block_rows).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def dedup(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
-    """docs with one document of each component; all columns stay. Rows with a null id have no component and all stay."""
-    kept = classes(docs, doc_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col(doc_col) == F.col("_kept"), "left_semi")
-    return named.unionAll(docs.where(F.col(doc_col).isNull()))
+    """docs with one row of one document of each component; all columns stay. Rows with a null id have no component and all stay."""
+    kept_id, place = free_names(docs.columns, "kept_id", "place")
+    kept = classes(docs, doc_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    named = docs.join(kept, F.col(doc_col) == F.col(kept_id), "left_semi")
+    hashed = [f.name for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+    order = Window.partitionBy(F.col(doc_col)).orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*hashed))
+    one = named.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return one.unionAll(docs.where(F.col(doc_col).isNull()))

@@ -13,10 +13,13 @@ ARROW_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the setting is missing (tests on one machine) a temporary one is set."""
+    """The cluster's shared folder. Where the setting is missing, a temporary one is made if driver and executors are one
+    machine (a local master, as in tests); on a cluster that would lose files, so it raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext.getCheckpointDir()
+        if known is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = known or "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         if known is None:
             spark.sparkContext.setCheckpointDir(folder)
@@ -43,6 +46,12 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for columns of one's own that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    return [next(n for n in (w, *(f"{w}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken) for w in wanted]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lower (never raise) the session's Arrow batch length to ARROW_ROWS: batches of whole texts must stay small.
 

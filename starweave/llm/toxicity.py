@@ -1,23 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the words of a clause and are composed: insults (a seed list and terms learned from labels)
-and threats emit weights; a target near an emitted pattern, a negation before it and a reporting word before it move the
-weight to another output tape. A text's features are the sums of its clauses' weights by tape; a logistic regression,
-fitted on labelled rows, turns them into a score. Words are never scored outside their clause.
+A lexical transducer turns the words of a clause into classes, with a weight for insults (a seed list and terms learned
+from labels). Four more are composed to one machine that reads the classes: threats (a threat word in the scope of an
+intent), negation and reported speech (which turn a hit in their scope into another one), and targets (which may come
+before or after a hit, so this one guesses and a wrong guess ends in no final state). A clause's best path, by weight,
+says how much it adds to which output tape; the sums by tape are a text's features, and a logistic regression fitted on
+labelled rows turns them into a score. A hit without a target is the clause's weakest pattern; no word scores by itself.
 
 Learning uses a bounded sample: at most TRAIN_ROWS labelled rows of the training fold, those with the least hash of
-doc_id (a documented parameter); labels, language, source and id are no inputs of a score.
+doc_id (a documented parameter); labels, language, source and id are no inputs of a score. All terms of the sample that
+pass the thresholds are kept.
 
-Edge cases: null and empty texts, and texts in which no transducer emits, get the regression's score for no clause. Without
-labelled training rows, the fixed start weights score. Repeated rows are scored each; a document with several labels counts
-each of them. Other columns are not read.
+Edge cases: null and empty texts, and texts in which no transducer emits, get the regression's score for no clause. Texts
+and clauses of any length are read to their ends. Ties between paths of one weight go to the first in order of states. No
+labelled training rows: fixed start weights score. Repeated rows are scored each; a document with several labels counts
+each of them. An empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .scratch import drop, materialize, small_batches
 
-TRAIN_ROWS, MAX_TERMS, THRESHOLD = 4000, 120, 0.7
+TRAIN_ROWS, THRESHOLD = 4000, 0.7
 MIN_POSITIVE, MIN_LOG_ODDS, MIN_Z = 4, 1.5, 3.5
 STEMS = (5, 6, 7, 8)
 
@@ -40,13 +45,123 @@ REPORTS = frozenset("said says wrote quoted called reported claims sagte schrieb
 NEGATION_SCOPE, REPORT_SCOPE, INTENT_SCOPE, TARGET_SCOPE = 3, 6, 3, 3
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE_END = ".,;:!?\n|"
+_ENDS = ".,;:!?\n|"
+_CLAUSE_END = re.compile(f"[{_ENDS}]")
 TAPES = ("direct", "targeted", "negated", "reported", "threat")
 FEATURES = (*(f"log_{t}" for t in TAPES), "any", "rate", "distinct", "log_words")
+#: Factor of a hit's weight by tape; a threat without a target counts half.
+FACTORS = {"direct": 0.5, "targeted": 1.0, "negated": 1.0, "reported": 1.0, "threat": 1.0, "threat_alone": 0.5}
+#: Weight of a threat word that is no insult.
+THREAT_WEIGHT = 2.0
+
+#: Input classes of the composed machine; BOTH is a threat word that is an insult as well.
+OTHER, INSULT, THREAT, BOTH, INTENT, TARGET, NEGATION, REPORT = "other", "insult", "threat", "both", "intent", "target", "negation", "report"
+
+
+class Transducer:
+    """arcs: {(state, input): [(output, factor, next state)]}. An arc emits its output with factor times the weight of what it
+    reads; factors multiply along composed arcs."""
+
+    def __init__(self, start, arcs: dict[tuple, list[tuple]], finals: set):
+        self.start, self.arcs, self.finals = start, arcs, finals
+
+    def compose(self, other: Transducer) -> Transducer:
+        """The machine that feeds this one's output to other; only states that can be reached."""
+        inputs: dict = {}
+        for (state, x), out in self.arcs.items():
+            inputs.setdefault(state, []).append((x, out))
+        start = (self.start, other.start)
+        arcs, seen, todo = {}, {start}, [start]
+        while todo:
+            a, b = state = todo.pop()
+            for x, out in inputs.get(a, ()):
+                for y, factor, to_a in out:
+                    for z, more, to_b in other.arcs.get((b, y), ()):
+                        to = (to_a, to_b)
+                        arcs.setdefault((state, x), []).append((z, factor * more, to))
+                        if to not in seen:
+                            seen.add(to)
+                            todo.append(to)
+        return Transducer(start, arcs, {s for s in seen if s[0] in self.finals and s[1] in other.finals})
+
+    def numbered(self) -> Transducer:
+        """The same with numbers for states, the start first."""
+        number = {self.start: 0}
+        for (state, _), out in self.arcs.items():
+            for s in (state, *(to for *_, to in out)):
+                number.setdefault(s, len(number))
+        arcs = {(number[s], x): [(z, f, number[to]) for z, f, to in out] for (s, x), out in self.arcs.items()}
+        return Transducer(0, arcs, {number[s] for s in self.finals if s in number})
+
+    def best(self, word_classes: Iterable[tuple[str, float]]) -> tuple[float, dict[str, float]]:
+        """(weight, sums by output) of the heaviest path that ends in a final state."""
+        active: dict = {self.start: (0.0, None)}
+        for x, weight in word_classes:
+            new: dict = {}
+            for state in sorted(active):
+                total, path = active[state]
+                for out, factor, to in self.arcs.get((state, x), ()):
+                    now = total + factor * weight
+                    if to not in new or now > new[to][0]:
+                        new[to] = (now, path if out == OTHER else (path, out, factor * weight))
+            active = new
+        done = [(total, path) for state, (total, path) in sorted(active.items()) if state in self.finals]
+        if not done:
+            return 0.0, {}
+        total, path = max(done, key=lambda d: d[0])
+        sums: dict[str, float] = {}
+        while path is not None:
+            path, out, weight = path
+            sums[out] = sums.get(out, 0.0) + weight
+        return total, sums
+
+
+def _scoped(opener: str, scope: int, inputs: dict[str, str], inside: dict[str, str]) -> Transducer:
+    """A machine whose state counts the words left of a scope that opener opens: inputs pass as they map, but as inside maps
+    them within the scope; opener itself is read as other."""
+    arcs = {}
+    for left in range(scope + 1):
+        for x, y in inputs.items():
+            out = inside.get(x, y) if left else y
+            arcs[left, x] = [(out, float(out != OTHER), max(0, left - 1))]
+        arcs[left, opener] = [(OTHER, 0.0, scope)]
+    return Transducer(0, arcs, set(range(scope + 1)))
+
+
+def _targets() -> Transducer:
+    """States: (words left in which a target before still counts, words left in which a guessed one must come; 0: none)."""
+    arcs: dict[tuple, list] = {}
+    kinds = {"insult": ("targeted", "direct", FACTORS["targeted"], FACTORS["direct"]), "threat": ("threat", "threat", FACTORS["threat"], FACTORS["threat_alone"])}
+    for near in range(TARGET_SCOPE + 1):
+        for due in range(TARGET_SCOPE + 1):
+            state, later, waits = (near, due), max(0, near - 1), max(0, due - 1)
+            arcs[state, TARGET] = [(OTHER, 0.0, (TARGET_SCOPE, 0))]
+            if due == 1:
+                continue  # anything but a target breaks the guess
+            for x in (OTHER, "negated", "reported"):
+                arcs[state, x] = [(x, FACTORS.get(x, 0.0), (later, waits))]
+            for x, (aimed, bare, more, less) in kinds.items():
+                if near:
+                    arcs[state, x] = [(aimed, more, (later, waits))]
+                else:
+                    arcs[state, x] = [(bare, less, (later, waits)), (aimed, more, (later, waits or TARGET_SCOPE))]
+    return Transducer((0, 0), arcs, {(n, 0) for n in range(TARGET_SCOPE + 1)})
+
+
+@functools.cache
+def grammar() -> Transducer:
+    """The composed machine, from word classes to tapes."""
+    threats = _scoped(INTENT, INTENT_SCOPE, {OTHER: OTHER, INSULT: INSULT, THREAT: OTHER, BOTH: INSULT, TARGET: TARGET, NEGATION: NEGATION, REPORT: REPORT}, {THREAT: THREAT, BOTH: THREAT})
+    negations = _scoped(NEGATION, NEGATION_SCOPE, {x: x for x in (OTHER, INSULT, THREAT, TARGET, REPORT)}, {INSULT: "negated", THREAT: "negated"})
+    reports = _scoped(REPORT, REPORT_SCOPE, {x: x for x in (OTHER, INSULT, THREAT, TARGET, "negated")}, {x: "reported" for x in (INSULT, THREAT, "negated")})
+    return threats.compose(negations).compose(reports).compose(_targets()).numbered()
+
+
+_SAID = {**dict.fromkeys(INTENTS, INTENT), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(REPORTS, REPORT)}
 
 
 class Grammar:
-    """terms: {word or stem*: weight}."""
+    """The lexical transducer of some terms ({word or stem*: weight}), in front of the composed machine."""
 
     def __init__(self, terms: dict[str, float]):
         self.words = {t: w for t, w in terms.items() if not t.endswith("*")}
@@ -56,6 +171,7 @@ class Grammar:
         parts = [rf"{re.escape(w)}(?![^\W\d_])" for w in seeds] + [rf"{re.escape(s)}[^\W\d_]+" for s in stems]
         self.pattern = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(parts)})")
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
+        self.machine = grammar()
 
     def weight(self, word: str) -> float:
         if word in self.words:
@@ -65,44 +181,32 @@ class Grammar:
                 return w
         return 0.0
 
-    def _compose(self, clause: list[str], tapes: list[float], seen: set[str]) -> None:
-        """One clause through the transducers; each state is the words left of its scope."""
-        negated = reported = intent = 0
-        targets = [i for i, w in enumerate(clause) if w in TARGETS]
-        for i, word in enumerate(clause):
-            insult = self.weight(word)
-            threat = intent > 0 and word in THREATS
-            if insult or threat:
-                seen.add(word)
-                near = any(abs(i - t) <= TARGET_SCOPE for t in targets)
-                if reported:
-                    tapes[3] += insult or 1.0
-                elif negated:
-                    tapes[2] += insult or 1.0
-                elif threat:
-                    tapes[4] += 2.0 if near else 1.0
-                elif near:
-                    tapes[1] += insult
-                else:
-                    tapes[0] += insult
-            negated = NEGATION_SCOPE if word in NEGATIONS else max(0, negated - 1)
-            reported = REPORT_SCOPE if word in REPORTS else max(0, reported - 1)
-            intent = INTENT_SCOPE if word in INTENTS else max(0, intent - 1)
+    def read(self, word: str) -> tuple[str, float]:
+        """The class and weight of a word. Words of the grammar itself keep their class."""
+        if word in _SAID:
+            return _SAID[word], 0.0
+        weight = self.weight(word)
+        if word in THREATS:
+            return (BOTH, weight) if weight else (THREAT, THREAT_WEIGHT)
+        return (INSULT, weight) if weight else (OTHER, 0.0)
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
-        tapes, seen, done = [0.0] * len(TAPES), set(), -1
-        for m in self.pattern.finditer(low):
-            if m.start() < done:
-                continue  # in a clause that was read
-            begin = max(low.rfind(c, 0, m.start()) for c in _CLAUSE_END) + 1 if done < 0 else max(low.rfind(c, done, m.start()) for c in _CLAUSE_END) + 1
-            begin = max(begin, done, 0)
-            ends = [e for c in _CLAUSE_END if (e := low.find(c, m.end(), m.end() + 400)) >= 0]
-            done = min(ends) if ends else min(len(low), m.end() + 400)
-            self._compose(_WORD.findall(low, max(begin, m.start() - 400), done), tapes, seen)
+        tapes, seen, at = dict.fromkeys(TAPES, 0.0), set(), 0
+        while (m := self.pattern.search(low, at)) is not None:
+            # the clause around a match, from its real begin to its real end
+            begin = max(at, *(low.rfind(c, at, m.start()) + 1 for c in _ENDS))
+            end = _CLAUSE_END.search(low, m.end())
+            at = end.end() if end else len(low)
+            read = [(w, *self.read(w)) for w in _WORD.findall(low, begin, at)]
+            total, sums = self.machine.best((c, x) for _, c, x in read)
+            for tape, x in sums.items():
+                tapes[tape] += x
+            if total:
+                seen.update(w for w, c, _ in read if c in (INSULT, THREAT, BOTH))
         n_words = low.count(" ") + low.count("\n") + 1
-        total = sum(tapes)
-        return [*(math.log1p(t) for t in tapes), float(total > 0), min(20.0, 100 * total / (n_words + 20)), math.log1p(len(seen)), math.log1p(n_words)]
+        total = sum(tapes.values())
+        return [*(math.log1p(t) for t in tapes.values()), float(total > 0), math.log1p(100 * total / (n_words + 20)), math.log1p(len(seen)), math.log1p(n_words)]
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +228,7 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
     rows = sample.select("text", "toxic").mapInArrow(_terms, "term string, toxic int").groupBy("term").agg(pos.alias("pos"), neg.alias("neg"))
     odds = F.log(F.col("pos") / (p + 1.0)) - F.log(F.col("neg") / (q + 1.0))
     rows = rows.where(F.col("pos") >= MIN_POSITIVE).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / F.col("pos") + 1 / F.col("neg")))
-    rows = rows.where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
+    rows = rows.where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("z") >= MIN_Z)).select("term", "odds").collect()
     found = {r["term"]: r["odds"] for r in rows}
     out: dict[str, float] = {}
     for term in sorted(found, key=lambda t: (len(t.rstrip("*")), t)):

@@ -46,6 +46,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def place_weights(place: np.ndarray, longest: int) -> np.ndarray:
+    """The hash weight of each place in a word; beyond 65,536 places the block counts too, so that none repeats."""
+    weights = _POWERS[place & 0xFFFF]
+    if longest > 1 << 16:
+        weights = weights ^ (mix((place >> 16).astype(np.uint64)) << np.uint64(1))  # nothing changes in the first block
+    return weights
+
+
+def hash_bytes(raw: np.ndarray, fold: bool = False) -> np.ndarray:
+    """One odd random number a byte; with fold A-Z count as a-z."""
+    return (_BYTE[_FOLD] if fold else _BYTE)[raw]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -99,8 +112,7 @@ def hash_words(raw: np.ndarray, words: Words, fold: bool = True) -> np.ndarray:
     lengths = words.ends - words.starts
     at = np.repeat(words.starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(int(lengths.sum()))
     place = at - np.repeat(words.starts, lengths)
-    table = _BYTE[_FOLD] if fold else _BYTE
-    values = table[raw[at]] * _POWERS[place & 0xFFFF]
+    values = hash_bytes(raw[at], fold) * place_weights(place, int(lengths.max()))
     sums = np.add.reduceat(values, np.concatenate(([0], np.cumsum(lengths)[:-1])))
     return mix(sums + lengths.astype(np.uint64))
 
