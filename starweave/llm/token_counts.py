@@ -7,7 +7,8 @@ run over any number of blocks are counted whole.
 
 Edge cases: two separators in a row are an empty document (count 1, its separator). Ids after the last separator of a file
 are one more document, without a separator. A document longer than many blocks passes through them by the scan. Empty
-files have no documents. Null texts are empty.
+files have no documents, an empty table has no files. Null texts are empty. Repeated rows and null ids are counted row by
+row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,44 +22,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize, new_path, small_batches
-from .tokens import encoder, open_store
+from .tokens import FILE_IDS, encoder, open_store
 
 #: The separator is a special token of the vocabulary; texts are encoded as ordinary text, so none of them holds it.
 SEPARATOR, BLOCK_IDS = 50256, 1 << 20
 
 
-def _flat_writer(path: str, folder: str, separator: int):
+def _flat_writer(path: str, folder: str, separator: int, file_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, plain=True)
         store, root = open_store(folder)
-        name, out, n_ids = uuid.uuid4().hex, None, 0
-        end = np.array([separator], dtype=np.uint32 if enc.wide else np.uint16)
-        order: list[pa.RecordBatch] = []
+        name, out, n_ids, order = "", None, 0, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            out.close()
+            at = 0
+            for ids in order:
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at, at + n)), ids.cast(pa.int64()), pa.array([n_ids] * n), pa.array([np.dtype(enc.dtype).itemsize] * n, pa.int32())], names=["name", "ordinal", "doc_id", "n_ids", "width"])
+                at += n
+
         for batch in batches:
             if out is None:
+                name, n_ids, order = uuid.uuid4().hex, 0, []
                 out = store.open_output_stream(f"{root}/{name}.bin")
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for a in range(0, len(texts), 64):
-                for ids in enc.encode(texts[a : a + 64]):
-                    out.write(np.concatenate([ids, end]).tobytes())
-                    n_ids += len(ids) + 1
-            order.append(pa.record_batch([batch.column(0).cast(pa.int64())], names=["doc_id"]))
+            ids, _ = enc.encode_ended(batch.column(1), separator)
+            out.write(ids.tobytes())
+            n_ids += len(ids)
+            order.append(batch.column(0))
+            if n_ids >= file_ids:
+                yield from close()
+                out = None
         if out is not None:
-            out.close()
-            at = 0
-            for b in order:
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at, at + n)), b.column(0), pa.array([n_ids] * n), pa.array([end.itemsize] * n, pa.int32())], names=["name", "ordinal", "doc_id", "n_ids", "width"])
-                at += n
+            yield from close()
 
     return write
 
 
-def write_flat(docs: DataFrame, path: str, separator: int, folder: str, doc_col="doc_id", text_col="text") -> DataFrame:
-    """Write flat files, one a partition. Returns which document is which of its file: name, ordinal, doc_id, n_ids, width."""
+def write_flat(docs: DataFrame, path: str, separator: int, folder: str, doc_col="doc_id", text_col="text", file_ids: int = FILE_IDS) -> DataFrame:
+    """Write flat files, one a partition or several of about file_ids ids. Returns which document is which of its file: name, ordinal, doc_id, n_ids, width."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInArrow(_flat_writer(path, folder, separator), "name string, ordinal long, doc_id long, n_ids long, width int"), "flat")
+    return materialize(rows.mapInArrow(_flat_writer(path, folder, separator, file_ids), "name string, ordinal long, doc_id long, n_ids long, width int"), "flat")
 
 
 def _ids(folder: str, name: str, block: int, n_ids: int, width: int, block_ids: int) -> np.ndarray:
@@ -108,10 +113,10 @@ def scan_flat(files: DataFrame, folder: str, separator: int, block_ids: int = BL
     return done.union(rest)
 
 
-def count_tokens(docs: DataFrame, path: str, separator: int = SEPARATOR, doc_col="doc_id", text_col="text", block_ids: int = BLOCK_IDS) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, separator: int = SEPARATOR, doc_col="doc_id", text_col="text", block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS) -> DataFrame:
     """Per document row: doc_id, n_tokens with the separator, by writing flat files and scanning them."""
     folder = new_path(docs.sparkSession, "flat")
-    order = write_flat(docs, path, separator, folder, doc_col, text_col)
+    order = write_flat(docs, path, separator, folder, doc_col, text_col, file_ids)
     files = order.groupBy("name").agg(F.first("n_ids").alias("n_ids"), F.first("width").alias("width"))
     counts = scan_flat(files, folder, separator, block_ids)
     store, root = open_store(folder)
