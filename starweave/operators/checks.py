@@ -76,19 +76,27 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["s"])
 
 
-def compact(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> int:
-    """Rewrite a table to files of about target_bytes; the new copy is checked row by hash before it replaces the old."""
+def compact(spark: SparkSession, path: str, target_bytes: int = 128 << 20, partition: str | None = None) -> int:
+    """Rewrite a table to files of about target_bytes; the new copy is checked row by hash before it replaces the old.
+    A partitioned table keeps its partitions: each gets the files that its own bytes need, as its rows are dealt out by
+    partition and a random part of it."""
     files = file_profile(spark, path)
     total = files.agg(F.sum("bytes")).first()[0] or 0
     parts = max(1, -(-int(total) // target_bytes))
     df = spark.read.parquet(path)
     before = fingerprint(df)
     staged = f"{path}_compact_{uuid.uuid4().hex}"
-    write_table(df.repartition(parts), staged)
+    if partition:
+        sizes = files.select(F.regexp_extract("file", rf"/{partition}=([^/]*)/", 1).alias("_value"), "bytes").groupBy("_value").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / target_bytes)).cast("int").alias("_files"))
+        dealt = df.join(sizes, F.coalesce(F.col(partition).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")) == F.col("_value"), "left").withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1))))
+        dealt = dealt.repartition(max(parts, 8), partition, "_part").sortWithinPartitions(partition).select(df.columns)
+        write_table(dealt, staged, partition=partition)
+    else:
+        write_table(df.repartition(parts), staged)
     copy = spark.read.parquet(staged)
     if fingerprint(copy) != before:
         raise RuntimeError("compaction would change rows")
-    write_table(copy.coalesce(parts), path)
+    write_table(copy if partition else copy.coalesce(parts), path, partition=partition)
     p = spark._jvm.org.apache.hadoop.fs.Path(staged)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     return parts

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,6 @@ def asof_last(events: DataFrame, facts: DataFrame, key: str, ts: str, fact_ts: s
     left = events.select("*", F.col(ts).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("struct<at:timestamp_ntz,v:double>").alias("_fact"), F.lit(None).cast("long").alias("_tie"))
     right = facts.select(F.col(key), F.col(fact_ts).alias("_at"), F.lit(1).alias("_side"), F.struct(F.col(fact_ts).cast("timestamp_ntz").alias("at"), F.col(value).cast("double").alias("v")).alias("_fact"), F.col(tie).cast("long").alias("_tie"))
     both = left.unionByName(right, allowMissingColumns=True)
-    from pyspark.sql import Window
-
     # at one time events come before facts, so a fact at the event's own time is not "before" it
     w = Window.partitionBy(key).orderBy(F.col("_at").asc_nulls_first(), "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("_last", F.last("_fact", ignorenulls=True).over(w)).where("_side = 0")
@@ -32,15 +30,28 @@ def asof_last(events: DataFrame, facts: DataFrame, key: str, ts: str, fact_ts: s
 
 
 def range_last(events: DataFrame, facts: DataFrame, key: str, ts: str, fact_ts: str, value: str, tie: str, days: int) -> DataFrame:
-    """The same by an interval join: equal key, fact within days before the event, then the latest."""
-    e = events.select(*events.columns)
-    f = facts.select(F.col(key).alias("_k"), F.col(fact_ts).alias("_t"), F.col(value).alias("_v"), F.col(tie).alias("_tie"))
-    on = (F.col(key) == F.col("_k")) & (F.col("_t") < F.col(ts)) & (F.col("_t") >= F.col(ts) - F.make_dt_interval(F.lit(days)))
-    return e.join(f, on, "left").groupBy(*events.columns).agg(F.max_by("_v", F.struct("_t", "_tie")).alias("last_value"))
+    """The same by an interval join: equal key, fact within days before the event, then the latest.
+
+    Time is cut into bins of `days`: an event meets the facts of its own bin and of the one before, so a key with many rows is
+    dealt out by time, and facts of a bin shrink to what the interval can reach. Rows of events that are equal are one.
+    """
+    width = days * 86400
+    bin_of = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
+    e = events.withColumn("_bin", F.explode_outer(F.array(bin_of(ts) - 1, bin_of(ts))))
+    f = facts.select(F.col(key).alias("_k"), bin_of(fact_ts).alias("_b"), F.col(fact_ts).alias("_t"), F.col(value).alias("_v"), F.col(tie).alias("_tie"))
+    on = (F.col(key) == F.col("_k")) & (F.col("_bin") == F.col("_b")) & (F.col("_t") < F.col(ts)) & (F.col("_t") >= F.col(ts) - F.make_dt_interval(F.lit(days)))
+    return e.join(f, on, "left").groupBy(*events.columns).agg(F.max_by("_v", F.when(F.col("_k").isNotNull(), F.struct("_t", "_tie"))).alias("last_value"))
 
 
 def first_after(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: str, event_ts: str, out: str = "first_ts", condition: Column | None = None) -> DataFrame:
-    """anchors with the earliest event at or after each anchor; condition may name columns of both sides."""
+    """anchors with the earliest event at or after each anchor. condition may name columns of both sides and then makes pairs;
+    without it, both sides go once through one window by key."""
+    if condition is None:
+        side = anchors.select("*", F.col(anchor_ts).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(events.schema[event_ts].dataType).alias("_event"))
+        both = side.unionByName(events.select(F.col(key), F.col(event_ts).alias("_at"), F.lit(1).alias("_side"), F.col(event_ts).alias("_event")).where("_at IS NOT NULL"), allowMissingColumns=True)
+        w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        found = F.when(F.col(key).isNotNull() & F.col(anchor_ts).isNotNull(), F.first("_event", ignorenulls=True).over(w))
+        return both.withColumn(out, found).where("_side = 0").drop("_at", "_side", "_event")
     e = events.withColumnRenamed(key, "_k")
     on = (F.col(key) == F.col("_k")) & (F.col(event_ts) >= F.col(anchor_ts))
     if condition is not None:

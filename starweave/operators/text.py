@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starweave.functions.measures import first_match
+
 MAX_CHARS, CLEAN_CHARS = 100_000, 2_500
 
 
@@ -63,9 +65,9 @@ def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")).alias("sentence_no", "sentence"))
 
 
-def lexicon_pattern(phrases: list[str]) -> str:
-    """Longest phrase first, on word bounds."""
-    return r"(?i)\b(" + "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + r")\b"
+def lexicon_pattern(phrases: list[str], flags: str = "iU") -> str:
+    """Longest phrase first, on the bounds of words in any script (flag U is the JVM's; Python's patterns need no flag)."""
+    return rf"(?{flags})(?<!\w)(" + "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + r")(?!\w)"
 
 
 def lexicon_hits(df: DataFrame, key: str, text: str, lexicon: dict[str, list[str]]) -> DataFrame:
@@ -104,7 +106,7 @@ def tag_entities(df: DataFrame, key: str, text: str, lexicon: dict[str, list[str
     flags = ", ".join(f"{a} boolean" for a in ASSERTIONS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = {label: re.compile(lexicon_pattern(p)) for label, p in lexicon.items()}
+        patterns = {label: re.compile(lexicon_pattern(p, "i")) for label, p in lexicon.items()}
         cut = re.compile(r"(?<=[.!?])\s+|\n+")
         for frame in frames:
             rows = []
@@ -143,10 +145,65 @@ def severity(text: Column) -> Column:
     return F.when((value >= 40) | F.lower(text).rlike(r"\bmorbid(?:ly)? obes"), "MORBID").when((value >= 30) | F.lower(text).rlike(r"\bobes"), "OBESE").otherwise("NONE")
 
 
+# Rules of the published radiology model, tried in this order.
+MODALITIES = [
+    ("CT", r"(?i)\b(ct|computed tomograph|cta|ctu|cect|mdct|multidetector)\b"),
+    ("MR", r"(?i)\b(mr|mri|mra|mrcp|magnetic resonance)\b"),
+    ("US", r"(?i)\b(us|ultrasound|sonogra|doppler|echo)\b"),
+    ("MAMMO", r"(?i)\b(mammogra|tomosynthesis)\b"),
+    ("FLUORO", r"(?i)\b(fluorosc|barium|esophagram|upper gi|small bowel follow|cystogram|voiding)\b"),
+    ("NM", r"(?i)\b(nuclear|scintigraph|hida|v/?q scan|bone scan|spect)\b"),
+    ("PET", r"(?i)\bpet\b"),
+    ("ANGIO", r"(?i)\b(angiogra|arteriogram|venogram|embolization)\b"),
+    ("XR", r"(?i)\b(x-?ray|radiograph|chest pa|portable|kub|plain film|\bxr\b|frontal|lateral view|two views|single view|pa and lat|chest film|ap (chest|abdomen|pelvis|view))\b"),
+]
+BODY_REGIONS = [
+    ("chest", r"(?i)\b(chest|thorax|thoracic|lung|pulmonary|pa and lat)\b"),
+    ("abdomen", r"(?i)\b(abdom|liver|gallbladder|pancrea|renal|kidney|pelvi|paracentesis)\b"),
+    ("head", r"(?i)\b(head|brain|skull|cranial|intracranial)\b"),
+    ("neck", r"(?i)\b(neck|carotid|cervical spine|thyroid)\b"),
+    ("spine", r"(?i)\b(spine|spinal|lumbar|thoracic spine|vertebr)\b"),
+    ("extremity", r"(?i)\b(extremity|femur|tibia|humerus|hand|foot|ankle|knee|shoulder|hip|wrist|elbow)\b"),
+    ("cardiac", r"(?i)\b(cardiac|coronary|echocardiogram)\b"),
+]
+PROCEDURES = (
+    r"(?i)\b(paracentesis|thoracentesis|thoracostomy|biopsy|aspiration|drainage|drain placement|catheter placement|picc|central line|line placement|angioplasty|embolization|thrombectomy|"
+    r"nephrostomy|cholecystostomy|lumbar puncture|myelogram|arthrogram|ablation|stent placement|gastrostomy|g-?tube|j-?tube|port placement|vertebroplasty|kyphoplasty)\b"
+)
+CITED_CODE = r"\b([A-TV-Z][0-9][0-9AB](?:\.[0-9A-Z]{1,4})?)\b"
+REASON_CUES = r"(?i)//|\bfor eval\b|\beval(?:uate)? for\b|\brule out\b|\br/o\b|\bassess for\b|\bconcern for\b"
+
+
+def modality(text: Column) -> Column:
+    """The first kind of examination that the text names, else OTHER."""
+    return first_match(text, MODALITIES, "OTHER")
+
+
+def body_region(text: Column) -> Column:
+    return first_match(text, BODY_REGIONS)
+
+
+def procedure_terms(text: Column) -> Column:
+    """Distinct procedures named, in lower case, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PROCEDURES), F.lit(1)), lambda t: F.lower(t))))
+
+
+def cited_codes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row a code that a text cites."""
+    return df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(CITED_CODE), F.lit(1)))).alias("code"))
+
+
+def payload(entities: DataFrame, key: str) -> DataFrame:
+    """Per key its entities in order of place, as one JSON array of (label, term, start, end, assertions)."""
+    fields = ["sentence_no", "start_char", "end_char", "label", "term", *ASSERTIONS]
+    rows = entities.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
+    return rows.select(key, F.size("e").alias("n_entities"), F.to_json("e").alias("entities"))
+
+
 def reasons(text: Column, cue: str = r"(?i)\b(?:reason for exam|indication|history)\s*:") -> Column:
-    """The first three pieces of 3 to 200 characters after the cue."""
+    """The first three pieces of 3 to 200 characters after the cue, cut at ends of sentences and at cues within."""
     tail = F.element_at(F.split(text, cue, 2), -1)
-    parts = F.filter(F.transform(F.split(tail, r"[.;\n]"), lambda p: F.trim(p)), lambda p: F.length(p).between(3, 200))
+    parts = F.filter(F.transform(F.split(tail, REASON_CUES + r"|[.;\n]"), lambda p: F.trim(p)), lambda p: F.length(p).between(3, 200))
     return F.when(text.rlike(cue), F.slice(parts, 1, 3)).otherwise(F.array().cast("array<string>"))
 
 

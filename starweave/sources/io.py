@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +15,7 @@ from starweave.functions.measures import all_equal_own_names
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = False, pattern: str | None = None) -> DataFrame:
     """Delimited text (plain or gzip) with a declared schema. multiline: quoted fields may hold newlines and doubled quotes.
     pattern: read every matching file below path."""
-    reader = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    reader = spark.read.schema(schema).option("maxCharsPerColumn", -1).option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
     if multiline:
         reader = reader.option("multiLine", True)
     if pattern:
@@ -62,6 +65,17 @@ def date_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
     )
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; without the setting only a local master has one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-work-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cluster_for_write(df: DataFrame, column: str, n: int) -> DataFrame:
     """All rows of one partition value in one task, sorted, so each value gets one file."""
     return df.repartition(n, column).sortWithinPartitions(column)
@@ -84,7 +98,8 @@ def for_csv(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    for_csv(df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("compression", "gzip").csv(path)
+    w = for_csv(df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("compression", "gzip")
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json_sidecar(df: DataFrame, path: str) -> None:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starweave.operators.refresh import carry_forward
+from starweave.operators.refresh import carry_forward, delete
 from starweave.sources.io import exists, overwrite_partitions, write_table
 
 
@@ -23,9 +24,15 @@ def stream_refresh(spark: SparkSession, folder: str, schema, path: str, checkpoi
         if not exists(spark, path):
             write_table(new, path, partition=partition)
             return
-        staged = f"{path}_stream_staging"
-        write_table(carry_forward(new, spark.read.parquet(path), touched, key, partition, of_key), staged, partition=partition)
-        overwrite_partitions(spark.read.parquet(staged), path, partition)
+        staged = f"{path}_staging_{uuid.uuid4().hex}"
+        out = carry_forward(new, spark.read.parquet(path), touched, key, partition, of_key)
+        write_table(out, staged, partition=partition)
+        kept = spark.read.schema(out.schema).parquet(staged)
+        emptied = touched.select(of_key(F.col(key)).alias(partition)).distinct().join(kept.select(partition).distinct(), partition, "left_anti")
+        overwrite_partitions(kept, path, partition)
+        for row in emptied.collect():  # partitions of the batch's keys that hold no row any more
+            delete(spark, f"{path}/{partition}={row[0]}")
+        delete(spark, staged)
 
     stream = spark.readStream.schema(schema).parquet(folder)
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
