@@ -20,11 +20,12 @@ DATE_BUCKETS = 64
 
 def agg_daily(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Per day and kind: ordered, finished (by the order's day), and shipped lines (by their own day)."""
-    o = M.add_date_keys(orders, [("date_key", "o_orderdate")]).withColumnRenamed("o_orderpriority", "kind")
-    lines = M.add_date_keys(lineitem.join(orders.select("o_orderkey", C("o_orderpriority").alias("kind")), C("l_orderkey") == C("o_orderkey")), [("date_key", "l_shipdate")])
-    count = lambda df, n: df.where("date_key IS NOT NULL").groupBy("date_key", "kind").agg(F.count("*").cast("int").alias(n))
-    frames = {"a": count(o, "ordered"), "b": count(o.where("o_orderstatus = 'F'"), "finished"), "c": count(lines, "shipped")}
-    out = joins.full_merge(frames, ["date_key", "kind"], ["ordered", "finished", "shipped"])
+    # each source becomes rows of (day, kind, three counts), already summed per day, and one aggregation merges them
+    o = M.add_date_keys(orders, [("date_key", "o_orderdate")]).groupBy("date_key", C("o_orderpriority").alias("kind"))
+    placed = o.agg(F.count("*").alias("ordered"), F.count_if(C("o_orderstatus") == "F").alias("finished"), F.lit(0).cast("long").alias("shipped"))
+    by_order = M.add_date_keys(lineitem.select("l_orderkey", "l_shipdate"), [("date_key", "l_shipdate")]).join(orders.select("o_orderkey", C("o_orderpriority").alias("kind")), C("l_orderkey") == C("o_orderkey"))
+    shipped = by_order.groupBy("date_key", "kind").agg(F.lit(0).cast("long").alias("ordered"), F.lit(0).cast("long").alias("finished"), F.count("*").alias("shipped"))
+    out = placed.unionByName(shipped).where("date_key IS NOT NULL").groupBy("date_key", "kind").agg(*(F.sum(c).cast("int").alias(c) for c in ("ordered", "finished", "shipped")))
     return out.withColumn("date_bucket", F.pmod("date_key", F.lit(DATE_BUCKETS)))
 
 
@@ -66,13 +67,13 @@ def obt_encounter(orders: DataFrame, customer: DataFrame, lineitem: DataFrame, p
     base = joins.lookup(base, customer, "o_custkey", "c_custkey", ["c_mktsegment", "c_nationkey"])
     base = joins.lookup(base, nation, "c_nationkey", "n_nationkey", ["n_name"]).withColumnRenamed("o_orderkey", "k")
     back = C("l_returnflag") == "R"
-    lines = (lineitem, "l_orderkey", [
+    sized = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_discount", "l_shipdate").join(part.select("p_partkey", "p_size", "p_brand"), C("l_partkey") == C("p_partkey"), "left")
+    lines = (sized, "l_orderkey", [
         F.count("*").alias("line_count"), F.round(F.sum("l_quantity"), 6).alias("total_qty"), F.sum(back.cast("int")).alias("returned_count"), F.max("l_discount").alias("top_discount"),
         F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("first_part"), F.min("l_shipdate").alias("first_ship"),
+        F.count_distinct("p_brand").alias("brand_count"), F.max("p_size").alias("top_size"),
     ])
-    sized = lineitem.join(part.select("p_partkey", "p_size", "p_brand"), C("l_partkey") == C("p_partkey"))
-    parts = (sized, "l_orderkey", [F.count_distinct("p_brand").alias("brand_count"), F.max("p_size").alias("top_size")])
-    out = joins.star_rollup(base, {"lines": lines, "parts": parts}, "k", {"line_count": 0, "total_qty": 0.0, "returned_count": 0, "brand_count": 0})
+    out = joins.star_rollup(base, {"lines": lines}, "k", {"line_count": 0, "total_qty": 0.0, "returned_count": 0, "brand_count": 0})
     return out.select(
         C("k").alias("o_orderkey"), "o_custkey", "c_mktsegment", "n_name", "o_orderstatus", "is_repeat", "gap_days", "line_count", "total_qty", "brand_count", "returned_count",
         "first_part", "top_size", "top_discount", F.round(M.share(C("returned_count"), C("line_count")), 8).alias("return_rate"), (C("line_count") > 0).alias("has_lines"),
@@ -98,10 +99,11 @@ def _(t):
         out = rows.groupBy("o_custkey").agg(M.year_month(M.date_key(F.min("o_orderdate"))).alias("first_month"), F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
         return out
 
-    old = build(t.orders.where("o_orderkey % 50 <> 7"))
+    old = build(t.orders.where("o_orderkey % 50 <> 7"))  # the target as it was written
     touched = refresh.touched_keys([(t.orders.where("o_orderkey % 50 = 7"), "o_custkey")], "o_custkey")
-    months = build(t.orders).join(touched, "o_custkey", "left_semi").select("first_month").union(old.join(touched, "o_custkey", "left_semi").select("first_month")).distinct()
-    members = build(t.orders).join(months, "first_month", "left_semi").select("o_custkey").union(touched).distinct()
+    now = build(t.orders.join(touched, "o_custkey", "left_semi"))
+    months = now.select("first_month").union(old.join(touched, "o_custkey", "left_semi").select("first_month")).distinct()
+    members = old.join(months, "first_month", "left_semi").select("o_custkey").union(touched).distinct()
     new = build(t.orders.join(members, "o_custkey", "left_semi"))
     return new.unionByName(old.join(members, "o_custkey", "left_anti"))
 

@@ -13,7 +13,7 @@ from starweave.sources import io
 R = Registry()
 q = R.query
 
-NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "benchmark", "pages", "labels", "conversations")
+NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark", "pages", "labels", "conversations")
 _COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in NAMES)
 
 
@@ -210,15 +210,16 @@ def _(t):
     old = build(rows.where("o_orderkey % 10 <> 3")).withColumn("bucket", of_key(F.col("date_key")))
     touched = rows.where("o_orderkey % 10 = 3").select("date_key").distinct()
     new = build(rows.join(touched, "date_key", "left_semi")).withColumn("bucket", of_key(F.col("date_key")))
-    return refresh.carry_forward(new, old, touched, "date_key", "bucket", of_key)
+    return refresh.overlay(refresh.carry_forward(new, old, touched, "date_key", "bucket", of_key), old, touched, "date_key", "bucket", of_key)
 
 
 @q("partition_overwrite", "SELECT bucket, count(*) AS n_rows, CAST(sum(CASE WHEN bucket = 3 THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM (SELECT c_custkey % 8 AS bucket FROM customer) GROUP BY bucket")
 def _(t):
-    # the rule of a partition-scoped overwrite: partitions that have new rows are replaced, the others stay (files: tests)
-    rows = t.customer.select((F.col("c_custkey") % 8).alias("bucket"), F.lit(1).alias("w"))
-    new = rows.where("bucket = 3").withColumn("w", F.lit(2))
-    out = rows.join(new.select("bucket").distinct(), "bucket", "left_anti").unionByName(new)
+    # the table is written by bucket, then the files of one bucket are replaced
+    rows, path = t.customer.select((F.col("c_custkey") % 8).alias("bucket"), F.lit(1).alias("w")), io.work_path(t._spark, "partitions")
+    io.write_table(rows, path, partition="bucket")
+    io.overwrite_partitions(rows.where("bucket = 3").withColumn("w", F.lit(2)), path, "bucket", 8)
+    out = t._spark.read.schema(rows.schema).parquet(path)
     return out.groupBy("bucket").agg(F.count("*").alias("n_rows"), F.sum("w").alias("weight"))
 
 
@@ -227,9 +228,24 @@ def _(t):
     return t.orders.groupBy(refresh.bucket("o_orderkey", 16).alias("bucket")).agg(F.count("*").alias("n_orders"))
 
 
-@q("codec_roundtrip", "SELECT count(*) AS n_rows, CAST(sum(p_size) AS BIGINT) AS sizes FROM part")
+@q("codec_roundtrip", "SELECT codec, count(*) AS n_rows, CAST(sum(p_size) AS BIGINT) AS sizes, CAST(sum(length(p_name)) AS BIGINT) AS letters FROM part, (VALUES ('zstd'), ('snappy'), ('gzip')) c(codec) GROUP BY codec")
 def _(t):
-    return t.part.agg(F.count("*").alias("n_rows"), F.sum("p_size").alias("sizes"))
+    out = None
+    for codec in ("zstd", "snappy", "gzip"):
+        path = io.work_path(t._spark, codec)
+        io.write_table(t.part, path, codec=codec)
+        rows = t._spark.read.schema(t.part.schema).parquet(path)
+        rows = rows.agg(F.lit(codec).alias("codec"), F.count("*").alias("n_rows"), F.sum("p_size").alias("sizes"), F.sum(F.length("p_name")).alias("letters"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@q("csv_roundtrip", r"SELECT doc_id, md5(replace(replace(text, chr(13), '\r'), chr(10), '\n')) AS text_md5, lang FROM documents")
+def _(t):
+    path = io.work_path(t._spark, "csv")
+    io.write_csv(t.documents.select("doc_id", "text", "lang"), path)
+    back = io.read_csv(t._spark, path, "doc_id long, text string, lang string")
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang")
 
 
 @q("csv_escape", r"SELECT doc_id, length(replace(replace(text, chr(13), '\r'), chr(10), '\n')) AS n_escaped FROM documents")
@@ -312,9 +328,10 @@ def _(t):
     return found.select("conv_id", "section", F.size(F.split("body", "\n")).cast("long").alias("n_parts"))
 
 
-@q("text_clean", r"SELECT doc_id, length(substr(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')), 1, 2500)) AS n_clean, length(substr(text, 1, 100000)) AS n_guarded FROM documents")
+@q("text_clean", r"SELECT doc_id, length(substr(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')), 1, 2500)) AS n_clean, length(substr(text, 1, 100000)) AS n_guarded, length(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS n_whole FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.length(text.clean("text")).cast("long").alias("n_clean"), F.length(text.guard("text")).cast("long").alias("n_guarded"))
+    whole = F.length(text.clean("text", 1 << 30)).cast("long")
+    return t.documents.select("doc_id", F.length(text.clean("text")).cast("long").alias("n_clean"), F.length(text.guard("text")).cast("long").alias("n_guarded"), whole.alias("n_whole"))
 
 
 @q("first_match_class", "SELECT doc_id, CASE WHEN regexp_matches(text, 'Apache License|Licensed under') THEN 'license' WHEN regexp_matches(text, '[|] ') THEN 'table' WHEN regexp_matches(text, '%%%|&&&') THEN 'symbols' ELSE 'prose' END AS class FROM documents")
@@ -323,12 +340,20 @@ def _(t):
 
 
 _LEX = {"with": ["with", "with the"], "place": ["on the", "at", "in"]}
-_HIT = "SELECT doc_id, '{0}' AS label, CAST(len(h) AS INTEGER) AS n_hits, CAST(len(list_distinct(h)) AS INTEGER) AS n_terms FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '(?i)\\b({1})\\b', 1), lambda x: lower(x)) AS h FROM documents WHERE lang = 'en') WHERE len(h) > 0"
+# RE2 has no look-around: every sign that ends a word is doubled, so that each of two neighbouring words keeps one
+_DOUBLED = r"(' ' || regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g') || ' ')"
+
+
+def _whole(words: str) -> str:
+    return r"'(?i)[^\p{L}\p{N}_](" + words.replace(" ", "  ") + r")[^\p{L}\p{N}_]'"
+
+
+_HIT = "SELECT doc_id, '{0}' AS label, CAST(len(h) AS INTEGER) AS n_hits, CAST(len(list_distinct(h)) AS INTEGER) AS n_terms FROM (SELECT doc_id, list_transform(regexp_extract_all({2}, {1}, 1), lambda x: lower(x)) AS h FROM documents) WHERE len(h) > 0"
 
 
-@q("lexicon_hits", _HIT.format("with", "with the|with") + " UNION ALL " + _HIT.format("place", "on the|at|in"))
+@q("lexicon_hits", _HIT.format("with", _whole("with the|with"), _DOUBLED) + " UNION ALL " + _HIT.format("place", _whole("on the|at|in"), _DOUBLED))
 def _(t):
-    return text.lexicon_hits(t.documents.where("lang = 'en'"), "doc_id", "text", _LEX)
+    return text.lexicon_hits(t.documents, "doc_id", "text", _LEX)
 
 
 @q("sentences", r"SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(1), 'g'), '[' || chr(1) || '\n]+'), lambda x: trim(x) <> '')) AS BIGINT) AS n_sentences FROM conversations WHERE text IS NOT NULL AND trim(text) <> ''")
@@ -339,16 +364,18 @@ def _(t):
 
 @q("tag_entities")
 def _(t):
-    return text.tag_entities(t.documents.where("lang = 'en'"), "doc_id", "text", {"insult": ["idiot", "moron", "scum"], "secret": ["token"]})
+    return text.tag_entities(t.documents, "doc_id", "text", {"insult": ["idiot", "moron", "scum"], "secret": ["token"]})
 
 
-_STATUS = r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\bof the\b') THEN 'CURRENT' ELSE 'NOT_MENTIONED' END AS status FROM documents"""
+_SAYS = lambda words: f"regexp_matches({_DOUBLED}, {_whole(words)})"
+_STATUS = f"""SELECT doc_id, CASE WHEN {_SAYS('of the|en la')} THEN 'CURRENT' WHEN {_SAYS('of|mit')} THEN 'FORMER' WHEN {_SAYS('and|und')} THEN 'DENIES' ELSE 'NOT_MENTIONED' END AS status FROM documents"""
 
 
 @q("status_levels", _STATUS)
 def _(t):
-    hits = text.lexicon_hits(t.documents, "doc_id", "text", {"x": ["of the"]})
-    flags = hits.select("doc_id", *(F.lit(False).alias(a) for a in text.ASSERTIONS))
+    # entities whose label says what is asserted of them
+    hits = text.lexicon_hits(t.documents, "doc_id", "text", {"stated": ["of the", "en la"], "historical": ["of", "mit"], "negated": ["and", "und"], "family": ["the", "la"]})
+    flags = hits.select("doc_id", *((F.col("label") == a).alias(a) for a in text.ASSERTIONS))
     return text.status_levels(flags, "doc_id", t.documents)
 
 

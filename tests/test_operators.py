@@ -1,6 +1,7 @@
 """Operators on small tables with results worked out by hand."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +218,68 @@ def test_two_source_merge_keeps_the_rest(spark, tmp_path):
     refresh.merge_two_sources(spark, path, src.where("k = 2"), "k", make(src, 2))
     spark.catalog.refreshByPath(path)
     assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, 1), (2, 2)}
+
+
+def test_radiology_rules(spark):
+    df = spark.createDataFrame([
+        (1, "EXAM: CT abdomen. Indication: fever; concern for abscess rule out stone\nmore", "CT ABDOMEN with biopsy and Biopsy, lumbar puncture K85.9 and N20.0, K85.9"),
+        (2, "no cue", "portable chest pa"), (3, None, None), (4, "", "a walk"),
+    ], "k long, note string, exam string")
+    got = {r.k: r for r in df.select("k", text.modality(F.col("exam")).alias("m"), text.body_region(F.col("exam")).alias("b"), text.procedure_terms(F.col("exam")).alias("p"), text.reasons(F.col("note")).alias("r")).collect()}
+    assert (got[1].m, got[1].b, got[1].p, got[1].r) == ("CT", "spine", ["biopsy", "lumbar puncture"], ["fever", "abscess", "stone"])
+    assert (got[2].m, got[2].b, got[2].r) == ("XR", "chest", []) and (got[3].m, got[3].b, got[3].p) == ("OTHER", None, []) and got[4].m == "OTHER"
+    codes = sorted((r.k, r.code) for r in text.cited_codes(df, "k", "exam").collect())
+    assert codes == [(1, "K85.9"), (1, "N20.0")]
+
+
+def test_payload_is_in_order_of_place(spark):
+    notes = spark.createDataFrame([(1, "No fever. History of asthma, fever."), (2, "well")], "k long, note string")
+    rows = text.payload(text.tag_entities(notes, "k", "note", {"s": ["fever"], "d": ["asthma"]}), "k").collect()
+    assert [(r.k, r.n_entities) for r in rows] == [(1, 3)]
+    found = json.loads(rows[0].entities)
+    assert [(e["term"], e["negated"], e["historical"]) for e in found] == [("fever", True, False), ("asthma", False, True), ("fever", False, True)]
+
+
+def test_lexicon_bounds_hold_in_every_script(spark):
+    df = spark.createDataFrame([(1, "in éin inn In. ín in"), (2, "begin")], "k long, t string")
+    assert [(r.k, r.n_hits) for r in text.lexicon_hits(df, "k", "t", {"x": ["in"]}).collect()] == [(1, 3)]
+
+
+def test_compaction_keeps_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 5 < 4, F.col("id") % 5).alias("p"))
+    df.repartition(40).write.partitionBy("p").parquet(path)
+    checks.compact(spark, path, partition="p")
+    out = spark.read.schema(df.schema).parquet(path)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert sorted(x.name for x in (tmp_path / "t").iterdir() if x.is_dir()) == ["p=0", "p=1", "p=2", "p=3", "p=__HIVE_DEFAULT_PARTITION__"]
+    assert checks.file_profile(spark, path).count() == 5
+
+
+def test_first_after_and_range_last_are_brute_force(spark):
+    import datetime as dt
+    import random
+
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    at = lambda: start + dt.timedelta(hours=rng.randint(0, 200))
+    keys = [1, 1, 1, 2, 3, None]
+    anchors = [(i, rng.choice(keys), rng.choice([at(), at(), at(), None])) for i in range(80)]
+    events = [(rng.choice(keys), rng.choice([at(), at(), at(), None]), float(i), i) for i in range(150)]
+    a = spark.createDataFrame(anchors, "a long, k long, t timestamp_ntz")
+    e = spark.createDataFrame(events, "k long, u timestamp_ntz, v double, e long")
+    first = {r.a: r.f for r in joins.first_after(a, e.select("k", "u"), "k", "t", "u", "f").collect()}
+    last = {r.a: r.last_value for r in joins.range_last(a, e, "k", "t", "u", "v", "e", 2).collect()}
+    for i, k, t in anchors:
+        later = [u for kk, u, *_ in events if k is not None and kk == k and t and u and u >= t]
+        assert first[i] == min(later, default=None)
+        near = [(u, n, v) for kk, u, v, n in events if k is not None and kk == k and t and u and t - dt.timedelta(days=2) <= u < t]
+        assert last[i] == (max(near)[2] if near else None)
+
+
+def test_overlay_keeps_untouched_partitions(spark):
+    of_key = lambda k: F.pmod(k, F.lit(4))
+    old = spark.createDataFrame([(i, 0, i % 4) for i in range(10)], "k long, v long, bucket long")
+    touched = spark.createDataFrame([(1,), (9,)], "k long")
+    new = spark.createDataFrame([(1, 7, 1)], "k long, v long, bucket long")  # 9 is gone
+    out = refresh.overlay(refresh.carry_forward(new, old, touched, "k", "bucket", of_key), old, touched, "k", "bucket", of_key)
+    assert sorted((r.k, r.v) for r in out.collect()) == [(i, 7 if i == 1 else 0) for i in range(9)]
