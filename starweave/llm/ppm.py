@@ -12,9 +12,10 @@ holds all contexts that end in the same order - 2 bytes, so at most 2^24 longest
 contexts (at most 2^16 symbols at order 4) go to every block. Word counts likewise: at most WORD_NODES words, those with at
 least N / WORD_NODES occurrences, are broadcast; the other words of each document meet their exact counts in a join.
 
-Edge cases: null and empty texts have one token, the end. With no training document all counts are 0 and the base score
-is log10(1) = 0 a token; the trie is empty and all bytes are equally likely. Repeated rows are scored each; other columns
-are not read.
+Edge cases: null and empty texts have one token, the end. Very long texts and words are read whole (words are told apart by
+64-bit hashes). Grams of equal counts are all broadcast or all looked up. With no training document all counts are 0 and the base score
+is log10(1) = 0 a token; the trie is empty and all bytes are equally likely. Repeated rows are scored each; an empty table
+gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def _streams(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray,
     return grams[own], first
 
 
-class _Counter:
+class Counter:
     """Exact counts of 64-bit keys."""
 
     def __init__(self):
@@ -80,7 +81,7 @@ class _Counter:
 def _gatherer(order: int):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of one partition: kind 0 words, kind 1 grams, kind 2 (key 0) documents."""
-        both, docs = (_Counter(), _Counter()), 0
+        both, docs = (Counter(), Counter()), 0
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
             docs += batch.num_rows

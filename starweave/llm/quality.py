@@ -2,12 +2,17 @@
 
 Each document's histogram of character classes and of common words is compared with its language's reference by the
 Jensen-Shannon distance; short documents are guarded by minimum lengths. References come from all documents of the language
-that pass the base rules and hold at most one symbol in 50 word characters, in one aggregation of fixed width: character
-classes, and words in WORD_BINS hash bins of which the WORD_TOP fullest are the language's common words.
-
-Edge cases: null and empty texts have no words and fail the base rules. A null language is a language of its own ('').
-Texts under MIN_CHARS characters or MIN_WORDS words skip the comparison that needs them. A language with no document that
-passes the base rules has no reference and rejects nothing. Repeated ids are judged row by row.
+that pass the base rules and hold at most one symbol in 50 word characters, in one aggregation: character classes, and the
+exact counts of all words (told apart by 64-bit hashes), of which the WORD_TOP most frequent are the language's common ones.
+The references come from the corpus itself: where most documents of a language are junk that passes the base rules, junk is
+the norm there.
+
+Edge cases: null and empty texts have no words and fail the base rules. A null language is a language of its own (''),
+that of all rows of a table without the column.
+Texts under MIN_CHARS characters or MIN_WORDS words skip the comparison that needs them; very long texts are measured
+whole. A language with no document that passes the base rules has no reference and rejects nothing. Words of equal counts
+rank by their hashes. Repeated rows are judged row by row. An empty table gives an empty one. Extra columns are not read;
+`keep` passes them through.
 """
 
 from __future__ import annotations
@@ -19,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ppm import Counter
 from .scratch import small_batches
 from .words import NOT_SPACE, chunks, hash_words, split_words, text_bytes, whole_windows, windows
 
 MIN_RULE_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
 MIN_CHARS, MIN_WORDS = 40, 20
-WORD_BINS, WORD_TOP = 4096, 48
+WORD_TOP = 48
 #: Largest Jensen-Shannon distance (base 2, 0 to 1) to the reference. Both rise for short texts by SLACK / sqrt(length).
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.14, 1.0
 MAX_WORD_DISTANCE, WORD_SLACK = 0.45, 2.5
@@ -67,8 +73,9 @@ def _dup_lines(text: str) -> int:
     return n
 
 
-def measure(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(base columns, class histogram [rows, classes], word bins, row of each word) of a chunk of texts."""
+def measure(raw: np.ndarray, off: np.ndarray, lines: bool = True) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(base columns, class histogram [rows, classes], word hashes, row of each word) of a chunk of texts; without lines,
+    repeated ones are not counted."""
     n = len(off) - 1
     words = split_words(raw, off, NOT_SPACE)
     hashes = hash_words(raw, words)
@@ -91,7 +98,7 @@ def measure(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np
 
     newline = _sums(raw == 10, off)
     dup = np.zeros(n, dtype=np.int64)
-    for row in np.flatnonzero(newline):
+    for row in np.flatnonzero(newline) if lines else ():
         dup[row] = _dup_lines(raw[off[row] : off[row + 1]].tobytes().decode())
     base = {
         "n_words": n_words,
@@ -107,8 +114,7 @@ def measure(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np
     trimmed = words.ends - _EDGE[raw[words.ends - 1]] if len(words.ends) else words.ends
     trimmed = np.maximum(trimmed, words.starts + 1)
     bare = type(words)(words.starts, trimmed, words.doc, words.first)
-    bins = (hash_words(raw, bare) & np.uint64(WORD_BINS - 1)).astype(np.int64)
-    return base, classes, bins, words.doc
+    return base, classes, hash_words(raw, bare), words.doc
 
 
 def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
@@ -123,40 +129,50 @@ def _each(batches: Iterator[pa.RecordBatch]):
             yield batch.column(0).slice(a, b - a), langs[a:b], raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+_CLASS_ROW, _WORD_ROW, _TOTAL_ROW = range(3)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a language and bin of each partition."""
-    total: dict[str, np.ndarray] = {}
+    """Counts of one partition by language: of classes, of words, and of all words."""
+    classes_of: dict[str, np.ndarray] = {}
+    words_of: dict[str, Counter] = {}
     for _, langs, raw, off in _each(batches):
-        base, classes, bins, doc = measure(raw, off)
+        base, classes, hashes, doc = measure(raw, off, lines=False)
         good = ~base_failed(base) & (base["n_symbols"] * 50 <= base["word_chars"])
         for lang in set(langs[good]):
             of = good & (langs == lang)
-            sums = total.setdefault(lang, np.zeros(N_CLASSES + WORD_BINS, dtype=np.int64))
-            sums[:N_CLASSES] += classes[of].sum(0)
-            sums[N_CLASSES:] += np.bincount(bins[of[doc]], minlength=WORD_BINS)
-    for lang, sums in total.items():
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["lang", "bin", "n"])
+            classes_of[lang] = classes_of.get(lang, 0) + classes[of].sum(0)
+            words_of.setdefault(lang, Counter()).add(hashes[of[doc]])
+    for lang, counter in words_of.items():
+        counter.merge()
+        words, n = counter.keys[0].astype(np.int64), counter.counts[0]
+        kinds = np.concatenate([np.full(N_CLASSES, _CLASS_ROW), np.full(len(words), _WORD_ROW), [_TOTAL_ROW]]).astype(np.int32)
+        keys, counts = np.concatenate([np.arange(N_CLASSES), words, [0]]), np.concatenate([classes_of[lang], n, [n.sum()]])
+        for at in range(0, len(keys), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys[part])), pa.array(kinds[part]), pa.array(keys[part]), pa.array(counts[part])], names=["lang", "kind", "key", "n"])
+
+
+def _lang(docs: DataFrame, lang_col: str):
+    """The language column; a table without one is of one language."""
+    return F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
 
 
 def references(docs: DataFrame, text_col="text", lang_col="lang", doc_col="doc_id") -> dict[str, dict]:
-    """{language: {"classes": shares, "bins": common bins, "shares": their shares and the rest's}}; size bounded per language."""
+    """{language: {"classes": shares, "words": hashes of the common words, sorted, "shares": theirs and the rest's}}; of
+    bounded size per language."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_gather, "lang string, bin int, n long")
-    sums = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    kind = F.when(F.col("bin") < N_CLASSES, 0).otherwise(1)
-    by = Window.partitionBy("lang", kind)
-    top = sums.withColumn("total", F.sum("n").over(by)).withColumn("at", F.row_number().over(by.orderBy(F.desc("n"), "bin"))).where(F.col("at") <= WORD_TOP)
+    rows = docs.select(F.col(doc_col).alias("doc_id"), _lang(docs, lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_gather, "lang string, kind int, key long, n long")
+    sums = rows.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
+    top = sums.withColumn("at", F.row_number().over(by)).where(F.col("at") <= WORD_TOP).select("lang", "kind", "key", "n").collect()
     out: dict[str, dict] = {}
-    for lang, b, n, total in top.select("lang", "bin", "n", "total").orderBy("lang", "bin").collect():
-        ref = out.setdefault(lang, {"classes": np.zeros(N_CLASSES), "bins": [], "shares": []})
-        if b < N_CLASSES:
-            ref["classes"][b] = n / total
-        else:
-            ref["bins"].append(b - N_CLASSES)
-            ref["shares"].append(n / total)
-    for ref in out.values():
-        ref["bins"], ref["shares"] = np.array(ref["bins"], dtype=np.int64), np.array([*ref["shares"], max(0.0, 1 - sum(ref["shares"]))])
+    for lang in {r["lang"] for r in top}:
+        own = {kind: {r["key"]: r["n"] for r in top if r["lang"] == lang and r["kind"] == kind} for kind in range(3)}
+        classes = np.array([own[_CLASS_ROW].get(c, 0) for c in range(N_CLASSES)], dtype=float)
+        words = np.sort(np.array(list(own[_WORD_ROW]), dtype=np.int64).astype(np.uint64))
+        shares = np.array([own[_WORD_ROW][w] for w in words.astype(np.int64).tolist()]) / max(1, own[_TOTAL_ROW].get(0, 0))
+        out[lang] = {"classes": classes / max(1.0, classes.sum()), "words": words, "shares": np.append(shares, max(0.0, 1 - shares.sum()))}
     return out
 
 
@@ -169,7 +185,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def divergences(base, classes, bins, doc, langs, refs) -> tuple[np.ndarray, np.ndarray]:
+def divergences(base, classes, hashes, doc, langs, refs) -> tuple[np.ndarray, np.ndarray]:
     """Distances to the references; 0 where a guard or a missing reference skips the comparison."""
     n = len(langs)
     chars, word = np.zeros(n), np.zeros(n)
@@ -184,12 +200,13 @@ def divergences(base, classes, bins, doc, langs, refs) -> tuple[np.ndarray, np.n
             chars[rows] = js_distance(classes[rows] / n_chars[rows, None], ref["classes"])
         rows = np.flatnonzero(of & (base["n_words"] >= MIN_WORDS))
         if len(rows):
-            slot = np.full(WORD_BINS, len(ref["bins"]), dtype=np.int64)
-            slot[ref["bins"]] = np.arange(len(ref["bins"]))
-            width, place = len(ref["bins"]) + 1, np.full(n, -1)
+            width, place = len(ref["words"]) + 1, np.full(n, -1)
             place[rows] = np.arange(len(rows))
             mine = place[doc] >= 0
-            hist = np.bincount(place[doc[mine]] * width + slot[bins[mine]], minlength=len(rows) * width).reshape(len(rows), width)
+            h = hashes[mine]
+            slot = np.searchsorted(ref["words"], h)
+            slot[ref["words"][np.minimum(slot, width - 2)] != h] = width - 1  # no common word
+            hist = np.bincount(place[doc[mine]] * width + slot, minlength=len(rows) * width).reshape(len(rows), width)
             word[rows] = js_distance(hist / hist.sum(1, keepdims=True), ref["shares"])
     return chars, word
 
@@ -203,8 +220,8 @@ def accepted(base, classes, chars: np.ndarray, word: np.ndarray) -> np.ndarray:
 def _judge(refs):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, langs, raw, off in _each(batches):
-            base, classes, bins, doc = measure(raw, off)
-            chars, word = divergences(base, classes, bins, doc, langs, refs.value)
+            base, classes, hashes, doc = measure(raw, off)
+            chars, word = divergences(base, classes, hashes, doc, langs, refs.value)
             failed = base_failed(base)
             kept = ~failed & accepted(base, classes, chars, word)
             yield pa.RecordBatch.from_arrays(
@@ -221,18 +238,19 @@ _OUT = f"doc_id long, {', '.join(f'{c} long' for c in BASE_COLUMNS)}, base_faile
 def judge(docs: DataFrame, text_col="text", lang_col="lang", doc_col="doc_id") -> DataFrame:
     """Per document: the base columns, base_failed, kept and both distances."""
     refs = docs.sparkSession.sparkContext.broadcast(references(docs, text_col, lang_col, doc_col))
-    return docs.select(F.col(doc_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_judge(refs), _OUT)
+    return docs.select(F.col(doc_col).alias("doc_id"), _lang(docs, lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_judge(refs), _OUT)
 
 
-def _keeper(refs, lang_at: int, text_at: int):
+def _keeper(refs, lang_at: int | None, text_at: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array([x or "" for x in batch.column(lang_at).to_pylist()], dtype=object)
+            own = [None] * batch.num_rows if lang_at is None else batch.column(lang_at).to_pylist()
+            langs = np.array([x or "" for x in own], dtype=object)
             raw, offsets = text_bytes(batch.column(text_at))
             for a, b in chunks(offsets):
                 part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                base, classes, bins, doc = measure(part, off)
-                chars, word = divergences(base, classes, bins, doc, langs[a:b], refs.value)
+                base, classes, hashes, doc = measure(part, off)
+                chars, word = divergences(base, classes, hashes, doc, langs[a:b], refs.value)
                 yield batch.slice(a, b - a).filter(pa.array(~base_failed(base) & accepted(base, classes, chars, word)))
 
     return keep
@@ -241,4 +259,4 @@ def _keeper(refs, lang_at: int, text_at: int):
 def keep(docs: DataFrame, text_col="text", lang_col="lang", doc_col="doc_id") -> DataFrame:
     """docs without the rejected rows, judged in place: no join, all columns stay."""
     refs = docs.sparkSession.sparkContext.broadcast(references(docs, text_col, lang_col, doc_col))
-    return docs.mapInArrow(_keeper(refs, docs.columns.index(lang_col), docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(_keeper(refs, docs.columns.index(lang_col) if lang_col in docs.columns else None, docs.columns.index(text_col)), docs.schema)

@@ -157,8 +157,46 @@ def test_quality_base_columns(request, which):
     assert not any(r.kept and r.base_failed for r in rows)
 
 
+def _quality_words(t):
+    """Words in lower case without one sign at their end."""
+    return [w[:-1] if len(w) > 1 and w[-1] in ".,;:!?\"'()|" else w for w in SPACED.findall((t or "").translate(LOWER))]
+
+
+def _word_distance(t, common):
+    """Distance of a text's common words to {word: share}, the rest being one more."""
+    words = _quality_words(t)
+    if len(words) < quality.MIN_WORDS:
+        return 0
+    c = collections.Counter(w if w in common else None for w in words)
+    p, q = {k: n / len(words) for k, n in c.items()}, {**common, None: max(0.0, 1 - sum(common.values()))}
+    kl = lambda a, b: sum(x * math.log2(2 * x / (x + b.get(k, 0))) for k, x in a.items() if x > 0)
+    return math.sqrt(max(0, (kl(p, q) + kl(q, p)) / 2))
+
+
+def _common_words(docs):
+    """{language: {word: share}} of the most frequent words of the documents that references read."""
+    counts = collections.defaultdict(collections.Counter)
+    for d in docs.collect():
+        base = _quality_base(d.text)
+        if not base[-1] and base[2] * 50 <= base[1]:
+            counts[d.lang or ""].update(_quality_words(d.text))
+    out = {}
+    for lang, c in counts.items():
+        # equal counts rank by hash, which this version leaves out: take all that the last place's count reaches
+        least = sorted(c.values(), reverse=True)[: quality.WORD_TOP][-1]
+        out[lang] = {w: n / sum(c.values()) for w, n in c.items() if n >= least}
+    return out
+
+
 def test_quality_verdict_is_the_distance_rule(docs, texts):
     refs = quality.references(docs)
+    common = _common_words(docs)
+    for lang, own in common.items():
+        assert sorted(refs[lang]["shares"][:-1], reverse=True) == pytest.approx(sorted(own.values(), reverse=True)[: quality.WORD_TOP])
+        # keep the words that the reference has, where the last place is shared
+        hashed = {w: int(quality.hash_words(np.frombuffer(w.encode(), np.uint8), quality.split_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])))[0]) for w in own}
+        common[lang] = {w: x for w, x in own.items() if hashed[w] in set(refs[lang]["words"].tolist())}
+        assert len(common[lang]) == len(refs[lang]["words"])
     assert set(refs) == {"en", "de", "fr", "es"}
     langs = {r.doc_id: r.lang for r in docs.collect()}
     for r in quality.judge(docs).collect():
@@ -174,6 +212,7 @@ def test_quality_verdict_is_the_distance_rule(docs, texts):
         kl = lambda a, m=m: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
         want = math.sqrt(max(0, (kl(p) + kl(q)) / 2)) if n >= quality.MIN_CHARS else 0
         assert r.char_distance == pytest.approx(want, abs=1e-9)
+        assert r.word_distance == pytest.approx(_word_distance(t, common[langs[r.doc_id]]), abs=1e-9)
         ok = r.char_distance <= quality.MAX_CHAR_DISTANCE + quality.CHAR_SLACK / math.sqrt(max(n, 1)) and r.word_distance <= quality.MAX_WORD_DISTANCE + quality.WORD_SLACK / math.sqrt(max(r.n_words, 1))
         assert r.kept == (ok and not r.base_failed)
 
@@ -882,6 +921,27 @@ def test_pipeline_is_its_stages(spark, docs, texts):
     assert {r.doc_id for r in last.select("doc_id").collect()} == {r.doc_id for r in rows}
 
 
+def test_pipeline_stages_on_edges(spark, edge):
+    import corpus_pipeline as cp
+
+    line = "this is a line of some ten words or a few more "
+    more = [(20, line + "mail a@b.cd now", "en"), (21, line + "mail a@b.cd now", "en"), (21, line + "mail a@b.cd now", "en"), (None, line + "call +1 (377) 555-0271", None), (22, "   ", "en"), (23, line * 3000, "en")]
+    extra = spark.createDataFrame(more, "doc_id long, text string, lang string")
+    df = edge.unionByName(extra, allowMissingColumns=True).withColumns({"kept_id": F.lit(1), "_row_key": F.lit("r"), "hit_from": F.lit(2), "_spans": F.lit(None).cast("int")})
+    for rows in (df, df.drop("lang")):
+        assert {r.doc_id for r in cp.quality_rules(spark, rows, FOLDER).collect()} <= {7, 8, 20, 21, None, 23}
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, extra, FOLDER).collect()), key=str)
+    assert collections.Counter(k for k, _ in got) == {20: 1, None: 1, 22: 1, 23: 1}
+    assert {r.doc_id for r in cp.benchmark_decontamination(spark, df, FOLDER).collect()} == {3, 4, 5, 7, 8, 9, 10, 20, 21, None, 23}
+    out = {r.doc_id: r.text for r in cp.personal_data(spark, df, FOLDER).collect()}
+    assert out[20] == line + "mail [EMAIL] now" and out[None] == line + "call [PHONE]" and out[2] is None and out[1] == ""
+    assert [r.ids for r in cp.sentencepiece(spark, df.where("doc_id = 2"), FOLDER).collect()] == [[]]
+    for name, stage in cp.STAGES:
+        done = stage(spark, df, FOLDER)
+        assert name == "sentencepiece" or done.schema.names == df.columns
+        assert stage(spark, empty(df), FOLDER).count() == 0
+
+
 def test_entry_lists_all():
     import __spark_entry__ as e
 
