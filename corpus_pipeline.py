@@ -6,7 +6,14 @@ decontaminate        words inside benchmark windows are cut; a document with not
 pii                  spans become their kind in brackets
 sentencepiece        up to two sampled segmentations a document: ids, log probability, inclusion score
 
-All but the last return the columns of documents, with n_chars kept true to the text.
+All but the last return the columns of documents, with n_chars kept true to the text where there is such a column.
+
+Edge cases, stage by stage (the operators' docstrings have the rest):
+null, empty and blank texts fail quality_rules, as they have fewer than 10 words; near_dedup by itself keeps them, decontaminate
+drops them, pii leaves them as they are and sentencepiece gives them one row without pieces.
+Very long texts pass whole. Null ids pass all stages (near_dedup cannot link them and keeps them); a null or missing language
+is one of its own. Of repeated rows and of equal similarity near_dedup keeps one row, with the least id, then the least text;
+other stages judge each row. An empty table gives empty ones. Extra columns pass, whatever their names, up to sentencepiece.
 """
 
 from __future__ import annotations
