@@ -45,8 +45,9 @@ REPORTS = frozenset("said says wrote quoted called reported claims sagte schrieb
 NEGATION_SCOPE, REPORT_SCOPE, INTENT_SCOPE, TARGET_SCOPE = 3, 6, 3, 3
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_ENDS = ".,;:!?\n|"
-_CLAUSE_END = re.compile(f"[{_ENDS}]")
+_CLAUSE_END = re.compile(r"[.,;:!?\n|]")
+#: Words whose class a worker keeps at a time.
+KNOWN_WORDS = 1 << 18
 TAPES = ("direct", "targeted", "negated", "reported", "threat")
 FEATURES = (*(f"log_{t}" for t in TAPES), "any", "rate", "distinct", "log_words")
 #: Factor of a hit's weight by tape; a threat without a target counts half.
@@ -58,6 +59,9 @@ THREAT_WEIGHT = 2.0
 OTHER, INSULT, THREAT, BOTH, INTENT, TARGET, NEGATION, REPORT = "other", "insult", "threat", "both", "intent", "target", "negation", "report"
 
 
+_HITS, _NOTHING = frozenset((INSULT, THREAT, BOTH)), (OTHER, 0.0)
+
+
 class Transducer:
     """arcs: {(state, input): [(output, factor, next state)]}. An arc emits its output with factor times the weight of what it
     reads; factors multiply along composed arcs."""
@@ -166,12 +170,9 @@ class Grammar:
     def __init__(self, terms: dict[str, float]):
         self.words = {t: w for t, w in terms.items() if not t.endswith("*")}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
-        seeds = sorted({*self.words, *THREATS}, key=lambda t: (-len(t), t))
-        stems = sorted(self.stems, key=lambda t: (-len(t), t))
-        parts = [rf"{re.escape(w)}(?![^\W\d_])" for w in seeds] + [rf"{re.escape(s)}[^\W\d_]+" for s in stems]
-        self.pattern = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(parts)})")
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
         self.machine = grammar()
+        self.known: dict[str, tuple[str, float]] = {}
 
     def weight(self, word: str) -> float:
         if word in self.words:
@@ -182,28 +183,34 @@ class Grammar:
         return 0.0
 
     def read(self, word: str) -> tuple[str, float]:
-        """The class and weight of a word. Words of the grammar itself keep their class."""
-        if word in _SAID:
-            return _SAID[word], 0.0
-        weight = self.weight(word)
-        if word in THREATS:
-            return (BOTH, weight) if weight else (THREAT, THREAT_WEIGHT)
-        return (INSULT, weight) if weight else (OTHER, 0.0)
+        """The class and weight of a word, kept for its next occurrence. Words of the grammar itself keep their class."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            weight = self.weight(word)
+            if word in _SAID:
+                found = _SAID[word], 0.0
+            elif word in THREATS:
+                found = (BOTH, weight) if weight else (THREAT, THREAT_WEIGHT)
+            else:
+                found = (INSULT, weight) if weight else _NOTHING
+            self.known[word] = found
+        return found
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
-        tapes, seen, at = dict.fromkeys(TAPES, 0.0), set(), 0
-        while (m := self.pattern.search(low, at)) is not None:
-            # the clause around a match, from its real begin to its real end
-            begin = max(at, *(low.rfind(c, at, m.start()) + 1 for c in _ENDS))
-            end = _CLAUSE_END.search(low, m.end())
-            at = end.end() if end else len(low)
-            read = [(w, *self.read(w)) for w in _WORD.findall(low, begin, at)]
-            total, sums = self.machine.best((c, x) for _, c, x in read)
+        tapes, seen = dict.fromkeys(TAPES, 0.0), set()
+        hits = {w for w in set(_WORD.findall(low)) if self.read(w)[0] in _HITS}
+        for clause in _CLAUSE_END.split(low) if hits else ():
+            words = _WORD.findall(clause)
+            if hits.isdisjoint(words):
+                continue  # no path emits anything
+            total, sums = self.machine.best(map(self.read, words))
             for tape, x in sums.items():
                 tapes[tape] += x
             if total:
-                seen.update(w for w, c, _ in read if c in (INSULT, THREAT, BOTH))
+                seen.update(hits.intersection(words))
         n_words = low.count(" ") + low.count("\n") + 1
         total = sum(tapes.values())
         return [*(math.log1p(t) for t in tapes.values()), float(total > 0), math.log1p(100 * total / (n_words + 20)), math.log1p(len(seen)), math.log1p(n_words)]
