@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starweave.functions import measures as M
 from starweave.operators import joins, windows
 from starweave.operators.refresh import bucket
+from starweave.sources import io
 
 # The published data model's names and types. Raw name to gold name, where they differ.
 RENAMES = {
@@ -145,6 +146,26 @@ FACTS = {
 }
 
 
+# The published calendar's columns; dates of the model are shifted, so it marks no holidays and its fiscal year is
+# the calendar's.
+CALENDAR = {
+    "date_key": "date_key", "full_date": "full_date", "day_of_week": "day_of_week", "day_name": "day_name", "day_of_month": "day_of_month", "day_of_year": "day_of_year",
+    "week_of_year": "week_of_year", "week_start": "week_start_date", "week_end": "week_end_date", "month": "month_number", "month_name": "month_name",
+    "month_start": "first_day_of_month", "month_end": "last_day_of_month", "quarter": "quarter_number", "year": "year", "is_weekend": "is_weekend",
+}
+
+
+def dim_date(spark: SparkSession, start: str = "2100-01-01", end: str = "2230-12-31", actor: str | None = None) -> DataFrame:
+    """The calendar dimension: weeks begin on Sunday."""
+    days = io.date_spine(spark, start, end, "sunday").select(*(F.col(s).alias(g) for s, g in CALENDAR.items()))
+    out = days.withColumns({
+        "day_name_short": F.date_format("full_date", "EEE"), "month_name_short": F.date_format("full_date", "MMM"), "quarter_name": F.concat(F.lit("Q"), F.col("quarter_number")),
+        "is_weekday": ~F.col("is_weekend"), "is_holiday": F.lit(False), "holiday_name": F.lit(None).cast("string"),
+        "fiscal_month": F.col("month_number"), "fiscal_quarter": F.col("quarter_number"), "fiscal_year": F.col("year"),
+    })
+    return M.add_audit(out, actor) if actor else out
+
+
 def build_all(raws: dict[str, DataFrame], names: list[str] | None = None, actor: str | None = None) -> dict[str, DataFrame]:
     """The gold tables whose raw sources are given, each after the tables it needs."""
     specs, done = DIMENSIONS | FACTS, {}

@@ -47,15 +47,16 @@ def cap(df: DataFrame, n: int, parts: int | None = None) -> DataFrame:
     return df.limit(n).repartition(parts or max(8, min(200, n // 5000)))
 
 
-def date_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """One row a day with calendar columns."""
+def date_spine(spark: SparkSession, start: str, end: str, first_day: str = "monday") -> DataFrame:
+    """One row a day with calendar columns; weeks begin on first_day, monday or sunday."""
     d = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr("interval 1 day"))).alias("full_date"))
     c = F.col("full_date")
     q0 = F.trunc(c, "quarter")
+    week0 = F.date_sub(c, {"monday": F.weekday(c), "sunday": F.dayofweek(c) - 1}[first_day])
     return d.select(
         F.date_format(c, "yyyyMMdd").cast("int").alias("date_key"), "full_date",
         F.dayofweek(c).alias("day_of_week"), F.date_format(c, "EEEE").alias("day_name"), F.dayofmonth(c).alias("day_of_month"), F.dayofyear(c).alias("day_of_year"),
-        F.weekofyear(c).alias("week_of_year"), F.date_sub(c, F.weekday(c)).alias("week_start"), F.date_add(F.date_sub(c, F.weekday(c)), 6).alias("week_end"),
+        F.weekofyear(c).alias("week_of_year"), week0.alias("week_start"), F.date_add(week0, 6).alias("week_end"),
         F.month(c).alias("month"), F.date_format(c, "MMMM").alias("month_name"), F.trunc(c, "month").alias("month_start"), F.last_day(c).alias("month_end"),
         F.quarter(c).alias("quarter"), q0.alias("quarter_start"), F.date_sub(F.add_months(q0, 3), 1).alias("quarter_end"),
         F.year(c).alias("year"), F.trunc(c, "year").alias("year_start"), F.date_sub(F.add_months(F.trunc(c, "year"), 12), 1).alias("year_end"),

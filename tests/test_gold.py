@@ -56,3 +56,12 @@ def test_daily_aggregates(spark):
 def test_every_spec_names_a_source_and_grain():
     specs = gold.DIMENSIONS | gold.FACTS
     assert len(gold.FACTS) == 23 and len(gold.DIMENSIONS) == 8 and all(s.source.endswith("_raw") and s.grain for s in specs.values())
+
+
+def test_calendar_dimension(spark):
+    rows = {r.date_key: r for r in gold.dim_date(spark, "2100-01-01", "2100-12-31").collect()}
+    assert len(rows) == 365
+    r = rows[21000210]  # a Wednesday
+    assert (str(r.week_start_date), str(r.week_end_date), r.day_name_short, r.month_name_short, r.quarter_name) == ("2100-02-07", "2100-02-13", "Wed", "Feb", "Q1")
+    assert r.is_weekday and not r.is_weekend and not r.is_holiday and r.holiday_name is None and (r.fiscal_month, r.fiscal_quarter, r.fiscal_year) == (2, 1, 2100)
+    assert rows[21000207].week_start_date == rows[21000207].full_date and rows[21000213].is_weekend
