@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,23 +30,32 @@ def clean(text: str | Column, n: int = CLEAN_CHARS) -> Column:
     return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, n)
 
 
+def clean_lines(text: Column, n: int = CLEAN_CHARS) -> Column:
+    """Lines kept: runs of blanks become one, of three and more newlines two."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), "\n{3,}", "\n\n"), "[ \t]+", " ")
+    return F.substring(F.regexp_replace(plain, r"^\s+|\s+$", ""), 1, n)
+
+
 def guard(text: str, n: int = MAX_CHARS) -> Column:
     return F.substring(F.col(text), 1, n)
 
 
 def sections(text: str | Column, headers: dict[str, str]) -> Column:
-    """map<name, body>: a line that starts with capitals and a colon opens a section; headers maps a fragment of the heading
-    (lower case) to its name. Bodies of a repeated section are joined; an unknown heading ends the body before it and is
-    dropped with its own; what comes before the first heading is _preamble, a text without headings is _body."""
+    """map<name, body>: a line that starts with capitals and a colon opens a section; headers maps a heading (lower case) to its
+    name, and a heading that is none of them takes the first that it begins or ends with. Bodies of a repeated section are joined;
+    an unknown heading ends the body before it and is dropped with its own; what comes before the first heading is _preamble, a
+    text without headings is _body."""
     c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    mark = r"(?m)^([A-Z][A-Z /&-]{2,}):"
+    mark = r"(?m)^[ \t]*([A-Z][A-Z0-9 /&()_.-]{2,45}?):[ \t]*"
     titles = F.regexp_extract_all(c, F.lit(mark), F.lit(1))
-    bodies = F.transform(F.split(c, mark, -1), lambda b: F.trim(F.regexp_replace(b, r"^\s+|\s+$", "")))
+    bodies = F.transform(F.split(c, mark, -1), lambda b: F.regexp_replace(F.regexp_replace(b, r"\s+\n", "\n"), r"^\s+|\s+$", ""))
 
     def name(title: Column) -> Column:
-        low, out = F.lower(title), F.lit("")
-        for fragment, canonical in reversed(list(headers.items())):
-            out = F.when(low.contains(fragment), canonical).otherwise(out)
+        low, out = F.lower(F.trim(title)), F.lit("")
+        for heading, canonical in reversed(list(headers.items())):
+            out = F.when(low.startswith(heading) | low.endswith(heading), canonical).otherwise(out)
+        for heading, canonical in headers.items():
+            out = F.when(low == heading, canonical).otherwise(out)
         return out
 
     named = F.zip_with(titles, F.slice(bodies, 2, F.greatest(F.size(titles), F.lit(1))), lambda t, b: F.struct(name(t).alias("k"), b.alias("b")))
@@ -100,43 +109,54 @@ def assertions(sentence: str, start: int, end: int) -> dict[str, bool]:
     return {k: bool(re.search(_BEFORE[k], before, re.I)) or (k in _AFTER and bool(re.search(_AFTER[k], after, re.I))) for k in ASSERTIONS}
 
 
+ENTITY = "struct<sentence_no int, start_char int, end_char int, term string, label string, sentence string, " + ", ".join(f"{a} boolean" for a in ASSERTIONS) + ">"
+
+
+def tagger(lexicon: dict[str, list[str]]) -> Callable[[Column], Column]:
+    """A column function from a text to its entities in order of place, whole Arrow batches at a time. Entities of a text do not
+    overlap: from left to right the longest phrase of any label is one; a phrase under two labels has the first. Null: none."""
+    label_of = {p.lower(): label for label in reversed(lexicon) for p in lexicon[label]}
+
+    @F.arrow_udf(f"array<{ENTITY}>")
+    def tag(texts: pa.Array) -> pa.Array:
+        pattern, cut = re.compile(lexicon_pattern(list(label_of), "i")), re.compile(r"(?<=[.!?])\s+|\n+")
+        fields = [("sentence_no", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("term", pa.string()), ("label", pa.string()), ("sentence", pa.string())]
+        kind = pa.struct(fields + [(a, pa.bool_()) for a in ASSERTIONS])
+        out = []
+        for t in texts.to_pylist():
+            rows, at = [], 0
+            for n, s in enumerate(cut.split(t or "")):
+                at = t.find(s, at) if t else 0
+                for m in pattern.finditer(s):
+                    row = {"sentence_no": n, "start_char": at + m.start(), "end_char": at + m.end(), "term": m[0], "label": label_of[m[0].lower()], "sentence": s}
+                    rows.append(row | assertions(s, m.start(), m.end()))
+                at += len(s)
+            out.append(rows)
+        return pa.array(out, pa.list_(kind))
+
+    return tag
+
+
 def tag_entities(df: DataFrame, key: str, text: str, lexicon: dict[str, list[str]]) -> DataFrame:
-    """One row an entity: key, sentence, place, label and assertions. One vectorised pass; patterns are compiled once a task."""
-    key_type = dict(df.dtypes)[key]
-    flags = ", ".join(f"{a} boolean" for a in ASSERTIONS)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = {label: re.compile(lexicon_pattern(p, "i")) for label, p in lexicon.items()}
-        cut = re.compile(r"(?<=[.!?])\s+|\n+")
-        for frame in frames:
-            rows = []
-            for k, t in zip(frame[key], frame[text], strict=True):
-                at = 0
-                for n, s in enumerate(cut.split(t or "")):
-                    at = (t or "").find(s, at)
-                    for label, pattern in patterns.items():
-                        for m in pattern.finditer(s):
-                            rows.append((k, n, at + m.start(), at + m.end(), m[0], label, s, *assertions(s, m.start(), m.end()).values()))
-                    at += len(s)
-            yield pd.DataFrame(rows, columns=[key, "sentence_no", "start_char", "end_char", "term", "label", "sentence", *ASSERTIONS])
-
-    return df.select(key, text).mapInPandas(run, f"{key} {key_type}, sentence_no int, start_char int, end_char int, term string, label string, sentence string, {flags}")
+    """One row an entity: key, sentence, place, label and assertions."""
+    return df.select(key, F.inline(tagger(lexicon)(F.col(text))))
+
+
+def status_of(now: Column, past: Column, denied: Column) -> Column:
+    return F.when(now, "CURRENT").when(past, "FORMER").when(denied, "DENIES").otherwise("NOT_MENTIONED")
 
 
 def status_levels(entities: DataFrame, key: str, base: DataFrame) -> DataFrame:
     """NOT_MENTIONED, CURRENT, FORMER or DENIES per key, current over former over denied."""
     own = ~F.col("family") & ~F.col("hypothetical")
     flags = entities.where(own).groupBy(key).agg(
-        F.max(F.when(~F.col("negated") & ~F.col("historical"), 1).otherwise(0)).alias("now"),
-        F.max(F.when(~F.col("negated") & F.col("historical"), 1).otherwise(0)).alias("past"),
-        F.max(F.when(F.col("negated"), 1).otherwise(0)).alias("no"),
+        F.bool_or(~F.col("negated") & ~F.col("historical")).alias("now"), F.bool_or(~F.col("negated") & F.col("historical")).alias("past"), F.bool_or("negated").alias("no")
     )
-    status = F.when(F.col("now") == 1, "CURRENT").when(F.col("past") == 1, "FORMER").when(F.col("no") == 1, "DENIES").otherwise("NOT_MENTIONED")
-    return base.select(key).distinct().join(flags, key, "left").select(key, status.alias("status"))
+    return base.select(key).distinct().join(flags, key, "left").select(key, status_of(F.col("now"), F.col("past"), F.col("no")).alias("status"))
 
 
 def cessation(status: Column, drug: Column, counsel: Column) -> Column:
-    return F.when(drug, "PHARM").when(counsel, "COUNSEL").when(status.isin("CURRENT", "FORMER"), "NONE").otherwise("NA")
+    return F.when(drug, "PHARMACOTHERAPY").when(counsel, "COUNSELED").when(status.isin("CURRENT", "FORMER"), "NONE").otherwise("NA")
 
 
 def severity(text: Column) -> Column:
@@ -207,9 +227,17 @@ def reasons(text: Column, cue: str = r"(?i)\b(?:reason for exam|indication|histo
     return F.when(text.rlike(cue), F.slice(parts, 1, 3)).otherwise(F.array().cast("array<string>"))
 
 
+def indication_reasons(text: Column) -> Column:
+    """The first three pieces of 3 to 200 characters after the last cue of an indication, or of all of it where none is."""
+    tail = F.element_at(F.split(F.coalesce(text, F.lit("")), REASON_CUES), -1)
+    parts = F.transform(F.split(tail, r"[.;\n]"), lambda p: F.btrim(F.regexp_replace(p, "_{2,}", ""), F.lit(" -\t\r\n")))
+    return F.slice(F.filter(parts, lambda p: F.length(p).between(3, 200)), 1, 3)
+
+
 def exam_title(text: Column) -> Column:
-    first = F.substring_index(F.ltrim(text), "\n", 1)
-    return F.substring(F.trim(F.regexp_replace(first, r"[_]+|[^\w\s]+$", " ")), 1, 200)
+    """The first line without runs of underscores and outer points and dashes, 200 characters at most; null if empty."""
+    line = F.regexp_replace(F.substring_index(clean_lines(text), "\n", 1), "_{2,}", "")
+    return F.nullif(F.substring(F.btrim(line, F.lit(" .-\t")), 1, 200), F.lit(""))
 
 
 def dedup_first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
