@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, merkle, neardup, pii, ppm, quality, segment, token_counts, tokens, toxicity, urls, whitening
+from . import decontaminate, merkle, neardup, pii, ppm, quality, segment, simhash, token_counts, tokens, toxicity, urls, whitening
 from .oracles import OP6
 from .scratch import table
 
@@ -57,6 +57,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components_of(table(spark, sf_dir, "embeddings"))
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_ppm, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op7_arrow_ids, op8_token_counts, op9_sentencepiece, op10_url_filter, op12_whitening, op13_merkle, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_ppm, op4_minhash_near_dedup, op5_pii, op6_decontaminate, op7_arrow_ids, op8_token_counts, op9_sentencepiece, op10_url_filter, op11_simhash, op12_whitening, op13_merkle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
