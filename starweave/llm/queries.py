@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, merkle, neardup, pii, ppm, quality, segment, simhash, token_counts, tokens, toxicity, urls, whitening
-from .oracles import OP6
+from .oracles import OP6, OP13
 from .scratch import table
 
 
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6}
+    return {"op6_decontaminate": OP6, "op13_merkle": OP13}
