@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles. HALVES small collections of HA
 a table key is a pair of half keys, so HALVES * HALF_HASHES minhashes serve HALVES * (HALVES - 1) / 2 tables of twice
 HALF_HASHES hashes. A pair of similarity 0.75 shares no table key with probability under 4e-5.
 
-1. Documents with equal sets (by a 128-bit fingerprint and the size) are one class; its least id stands for it.
+1. Rows with equal sets (by a 128-bit fingerprint and the size) are one class, with a number of its own and one text.
 2. Half keys that only one class has are dropped, which loses nothing; pairs of the rest are the table keys.
 3. In every table bucket each member is compared with one centre only, the member whose half keys are the most shared: as
    many candidates as rows. Exact Jaccard similarity on whole sets confirms links.
@@ -18,8 +18,9 @@ Words and shingles are compared by 64-bit hashes, in which all bytes of a word c
 
 Edge cases: lower-casing touches A-Z only. A text with 1 to 4 words is one shingle, its whole sequence. Texts without
 words, and nulls, are empty: n_shingles 0, linked with nothing, kept. Very long texts give their whole sets. Repeated rows
-of one id are one document (the id's classes meet in one component); `dedup` keeps one row of it, the one with the least
-text. Equal similarities are no ties: all links count, and a component is named after its least id. An empty table gives
+of one id are one document: all their texts count, in whatever order they come, and their classes meet in one component;
+`dedup` keeps one row of it, the one with the least text. Rows with a null id have the component of the rows with an id and
+the same set, else none, and link nothing. Equal similarities are no ties: all links count, and a component is named after its least id. An empty table gives
 an empty one. Extra columns are not read; `dedup` passes them through, whatever their names.
 """
 
@@ -54,22 +55,31 @@ _LONGS = -(-_N // 16)
 _SIGNED = "doc_id long, n_shingles int, fp1 long, fp2 long, halves array<long>, sketch array<long>"
 
 
+def _sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's shingle set: a 128-bit fingerprint, its size, and all shingles and first places."""
+    gram, first = shingle_sets(raw, offsets, SHINGLE)
+    sizes = np.diff(first)
+    full = np.flatnonzero(sizes)
+    fps = np.zeros((len(sizes), 2), dtype=np.uint64)
+    if len(full):
+        at = first[:-1][full]
+        fps[full, 0] = np.add.reduceat(mix(gram), at)
+        fps[full, 1] = np.add.reduceat(mix(gram ^ _A[0]), at)
+    return fps, sizes, gram, first
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = text_bytes(batch.column(1))
         for a, b in chunks(offsets):
-            gram, first = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SHINGLE)
-            sizes = np.diff(first)
+            fps, sizes, gram, first = _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             full = np.flatnonzero(sizes)
             at = first[:-1][full]
             sig = np.zeros((b - a, _N), dtype=np.uint64)
-            fps = np.zeros((b - a, 2), dtype=np.uint64)
             if len(full):
                 for k in range(_N):
                     h = gram * _A[k] + _B[k]
                     sig[full, k] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), at)
-                fps[full, 0] = np.add.reduceat(mix(gram), at)
-                fps[full, 1] = np.add.reduceat(mix(gram ^ _A[0]), at)
             parts = sig.reshape(b - a, HALVES, HALF_HASHES)
             halves = np.zeros((b - a, HALVES), dtype=np.uint64)
             for k in range(HALF_HASHES):
@@ -104,13 +114,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to one row a distinct shingle."""
+    """(cls, text) to one row a distinct shingle."""
     for batch in batches:
         raw, offsets = text_bytes(batch.column(1))
         for a, b in chunks(offsets):
             gram, first = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SHINGLE)
             ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(first))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(gram.astype(np.int64))], names=["rep", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(gram.astype(np.int64))], names=["cls", "gram"])
 
 
 def signatures(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
@@ -131,82 +141,112 @@ def _agree(x: str, y: str) -> Column:
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that whole sets confirm."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to the key of the text's class and the text."""
+    for batch in batches:
+        raw, offsets = text_bytes(batch.column(1))
+        for a, b in chunks(offsets):
+            fps, sizes, _, _ = _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield pa.RecordBatch.from_arrays([pa.array(fps[:, 0].astype(np.int64)), pa.array(fps[:, 1].astype(np.int64)), pa.array(sizes.astype(np.int32)), batch.column(1).slice(a, b - a)], names=["fp1", "fp2", "n_shingles", "text"])
+
+
+_KEY = ["fp1", "fp2", "n_shingles"]
+
+
+def _texts(docs: DataFrame, doc_col: str, text_col: str, signed: DataFrame, members: DataFrame) -> DataFrame:
+    """(cls, text): one text of each class. members: cls, least (its least id) and the key of each class.
+
+    Most ids have one class, so that the id names the text; rows of the other ids are told apart by their sets."""
+    several = signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct(*_KEY)).alias("lo"), F.max(F.struct(*_KEY)).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("least"))
+    several = materialize(several, "several")
+    rows = docs.select(F.col(doc_col).cast("long").alias("least"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    one = rows.join(members.join(several, "least", "left_anti").select("cls", "least"), "least").select("cls", "text")
+    own = members.join(several, "least", "left_semi")
+    keyed = rows.join(own.select("least").distinct(), "least", "left_semi").mapInArrow(_keyed, "fp1 long, fp2 long, n_shingles int, text string")
+    texts = materialize(one.unionByName(keyed.join(own.select("cls", *_KEY), _KEY).select("cls", "text")).dropDuplicates(["cls"]), "texts")
+    drop(several)
+    return texts
+
+
 def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id."""
     signed = materialize(signatures(docs, doc_col, text_col), "signatures")
-    key = ["fp1", "fp2", "n_shingles"]
-    filled = signed.where("n_shingles > 0")
-    reps = materialize(filled.groupBy(key).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "classes")
+    filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = filled.groupBy(_KEY).agg(F.min("doc_id").alias("least"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+    reps = materialize(reps.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    half = reps.select("rep", "n_shingles", F.explode("halves").alias("half"))
+    half = reps.select("cls", "n_shingles", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    own = half.join(shared, "half").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list("half")).alias("h"), F.sum("n").alias("weight")).where(F.size("h") > 1)
+    own = half.join(shared, "half").groupBy("cls", "n_shingles").agg(F.sort_array(F.collect_list("half")).alias("h"), F.sum("n").alias("weight")).where(F.size("h") > 1)
     own = materialize(own, "halves")
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("h") - 1), lambda i: F.transform(F.slice("h", i + 1, F.size("h")), lambda y: F.xxhash64(F.element_at("h", i), y))))
-    rows = own.select("rep", "n_shingles", "weight", F.explode(pairs).alias("key"))
-    centre = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("c")).where("n > 1").select("key", (-F.col("c.minus")).alias("centre"))
-    buckets = materialize(rows.join(centre, "key").select("key", "rep", "n_shingles", "centre"), "buckets")
+    rows = own.select("cls", "n_shingles", "weight", F.explode(pairs).alias("key"))
+    centre = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("cls")).alias("minus"))).alias("c")).where("n > 1").select("key", (-F.col("c.minus")).alias("centre"))
+    buckets = materialize(rows.join(centre, "key").select("key", "cls", "n_shingles", "centre"), "buckets")
 
-    members = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    members = reps.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "least", *_KEY)
+    texts = _texts(docs, doc_col, text_col, signed, members)
 
-    star = buckets.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    star = buckets.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(_links(star, texts), "confirmed")
     label = materialize(components(links, "a", "b"), "labels")
 
-    named = buckets.join(label, buckets["rep"] == label["node"], "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+    named = buckets.join(label, buckets["cls"] == label["node"], "left").select("key", "cls", "n_shingles", F.coalesce("component", "cls").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = materialize(named.join(open_keys, "key", "left_semi"), "open")
     # how many holders among the open documents a shingle has: up to RARE, pairs come from the shingle itself; what a
     # document has of the others bounds every other intersection
-    grams = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_grams, "rep long, gram long")
-    rare = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("rep").alias("one")).where(F.col("n") <= RARE), "rare")
-    alone = rare.where("n = 1").groupBy(F.col("one").alias("rep")).agg(F.count("*").cast("int").alias("alone"))
+    grams = texts.join(rest.select("cls").distinct(), "cls", "left_semi").mapInArrow(_grams, "cls long, gram long")
+    rare = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("cls").alias("one")).where(F.col("n") <= RARE), "rare")
+    alone = rare.where("n = 1").groupBy(F.col("one").alias("cls")).agg(F.count("*").cast("int").alias("alone"))
     held = materialize(grams.join(rare.where("n > 1").select("gram"), "gram"), "rare")
-    some = held.groupBy("rep").agg(F.count("*").cast("int").alias("held"))
-    about = rest.select("rep", "n_shingles", "comp").distinct().join(alone, "rep", "left").join(some, "rep", "left").join(reps.select("rep", "sketch"), "rep").join(own.select("rep", "h"), "rep")
+    some = held.groupBy("cls").agg(F.count("*").cast("int").alias("held"))
+    about = rest.select("cls", "n_shingles", "comp").distinct().join(alone, "cls", "left").join(some, "cls", "left").join(reps.select("cls", "sketch"), "cls").join(own.select("cls", "h"), "cls")
     about = materialize(about.withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.coalesce("held", F.lit(0))).drop("alone", "held"), "open")
 
     def side(rows: DataFrame, key: str, tag: str) -> DataFrame:
-        return rows.select(key, *(F.col(c).alias(f"{c}_{tag}") for c in ("rep", "n_shingles", "comp", "sketch", "common", "h")))
+        return rows.select(key, *(F.col(c).alias(f"{c}_{tag}") for c in ("cls", "n_shingles", "comp", "sketch", "common", "h")))
 
     near = (
-        (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b"))
+        (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b"))
         & (100 * F.least("n_shingles_a", "n_shingles_b") >= 75 * F.greatest("n_shingles_a", "n_shingles_b"))
     )
     # without a rare shingle in common: 175 * intersection >= 75 * (size + size) must fit into what is common
     fits = near & (175 * F.least("common_a", "common_b") >= 75 * (F.col("n_shingles_a") + F.col("n_shingles_b"))) & (_agree("sketch_a", "sketch_b") >= MIN_AGREE)
     both = F.array_intersect("h_a", "h_b")
     first = F.xxhash64(both[0], both[1])  # of the keys that a pair shares, only the first makes a row
-    wide = rest.select("key", "rep").join(about.where("100 * common >= 75 * n_shingles"), "rep")
+    wide = rest.select("key", "cls").join(about.where("100 * common >= 75 * n_shingles"), "cls")
     # a large bucket is dealt out in blocks: each pair of blocks meets in a task of its own
     large = wide.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
-    wide = wide.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    wide = wide.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     wide = wide.select("*", every.alias("other"))
     x = side(wide.withColumn("cell", F.struct("key", F.col("block").alias("i"), F.col("other").alias("j"))), "cell", "a")
     y = side(wide.withColumn("cell", F.struct("key", F.col("other").alias("i"), F.col("block").alias("j"))), "cell", "b")
-    across = x.join(y, (x["cell"] == y["cell"]) & fits & (first == x["cell"]["key"])).select("rep_a", "rep_b")
-    shared = held.join(about, "rep")
+    across = x.join(y, (x["cell"] == y["cell"]) & fits & (first == x["cell"]["key"])).select("cls_a", "cls_b")
+    shared = held.join(about, "cls")
     x, y = side(shared, "gram", "a"), side(shared, "gram", "b")
-    across = across.union(x.join(y, (x["gram"] == y["gram"]) & near & (_agree("sketch_a", "sketch_b") >= MIN_AGREE)).select("rep_a", "rep_b"))
-    across = across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    across = across.union(x.join(y, (x["gram"] == y["gram"]) & near & (_agree("sketch_a", "sketch_b") >= MIN_AGREE)).select("cls_a", "cls_b"))
+    across = across.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(_links(across.join(tried, ["a", "b"], "left_anti"), texts), "confirmed")
-    # repeated rows of one id with different texts are one document
-    same_id = filled.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.collect_set(F.struct(*key)).alias("k")).where(F.size("k") > 1).select("doc_id", F.explode("k").alias("k")).select("doc_id", "k.*")
-    same_id = same_id.join(reps.select(*key, "rep"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # the classes of one id are one document: each is linked with the first
+    classed = filled.select("doc_id", *_KEY).distinct().join(reps.select(*_KEY, "cls"), _KEY).select("doc_id", "cls")
+    same_id = classed.join(classed.groupBy("doc_id").agg(F.min("cls").alias("b")), "doc_id").where("cls > b").select(F.col("cls").alias("a"), "b").distinct()
     label = materialize(components(links.union(more).union(same_id), "a", "b"), "labels")
 
-    for table in (own, buckets, texts, links, rest, rare, held, about, more):
-        drop(table)  # the result reads signatures, classes and labels only
-    named = signed.join(reps.select(*key, "rep"), key, "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    return named.join(label, named["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # a component is named after its least id
+    named = reps.join(label, reps["cls"] == label["node"], "left").select(*_KEY, "least", F.coalesce("component", "cls").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = materialize(named.join(least, "comp").select(*_KEY, "component_id"), "named")
+    for table in (reps, own, buckets, texts, links, rest, rare, held, about, more, label):
+        drop(table)  # the result reads signatures and names only
+    return signed.join(named, _KEY, "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int = BLOCK_ROWS) -> DataFrame:
