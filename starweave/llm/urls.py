@@ -3,8 +3,9 @@
 Everything is DataFrame functions; the regression is fitted by Spark's own ML library on a small labelled table
 (at most MAX_LABELLED rows, the ones with the least hash of their url) and applied as an array of weights.
 
-Edge cases: a null url, or one without `://`, has empty host and path, fits no rule and is judged by the regression's
-bias. Ties between rules of one length cannot occur, as one url cannot start two different hosts' rules of equal length.
+Edge cases: a null url, or one without `://`, has empty host and path, fits no rule and is judged by what `^$` weighs. Very
+long urls are read whole, in time that grows with their length. An empty table gives an empty one; a column of any other name
+may stand beside. Ties between rules of one length cannot occur, as one url cannot start two different hosts' rules of equal length.
 Repeated rows are judged each; other columns are not read.
 """
 
@@ -55,12 +56,17 @@ def rule_index(h: Column, p: Column, rules=RULES) -> Column:
     return out
 
 
+def _runs(text: Column, n: int) -> Column:
+    """All runs of n neighbouring characters, by a look-ahead from each: time grows with the length. A search that starts
+    inside a surrogate pair finds its second half, which no run begins with."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}].{%d}))" % (n - 1)), F.lit(1))
+
+
 def grams(h: Column, p: Column) -> Column:
     """Distinct hash buckets of the character n-grams of ^host$ and ^path$."""
 
     def of(tag: str, text: Column, n: int) -> Column:
-        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.pmod(F.xxhash64(F.lit(tag), F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+        return F.transform(_runs(text, n), lambda g: F.pmod(F.xxhash64(F.lit(tag), g), F.lit(BUCKETS)).cast("int"))
 
     framed = (("h", F.concat(F.lit("^"), h, F.lit("$"))), ("p", F.concat(F.lit("^"), p, F.lit("$"))))
     return F.array_distinct(F.flatten(F.array(*(of(tag, text, n) for tag, text in framed for n in GRAMS))))
@@ -79,14 +85,34 @@ def fit(labelled: DataFrame) -> tuple[list[float], float]:
     return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
 
 
+def block_probability(h: Column, p: Column, weights: list[float], bias: float) -> Column:
+    table = F.array(*(F.lit(w) for w in weights))
+    total = F.aggregate(grams(h, p), F.lit(bias), lambda acc, g: acc + F.element_at(table, g + 1))
+    return 1 / (1 + F.exp(-total))
+
+
+def held_out(labelled: DataFrame, fold_of: Column, folds: int) -> DataFrame:
+    """(url, label, fold, probability): every url judged by a regression that saw no url of its fold.
+
+    fold_of gives a url's fold (0 to folds - 1); put urls of one site name in one fold to learn how names never seen fare."""
+    parts = []
+    rows = labelled.select("url", "label", fold_of.cast("int").alias("fold"))
+    for k in range(folds):
+        weights, bias = fit(rows.where(F.col("fold") != k).select("url", "label"))
+        own = rows.where(F.col("fold") == k)
+        parts.append(own.withColumn("probability", block_probability(host(F.col("url")), path(F.col("url")), weights, bias)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def judge(pages: DataFrame, labelled: DataFrame | None = None, id_col="page_id", url_col="url", rules=RULES) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict and the regression's probability to block."""
     weights, bias = fit(default_labelled(pages.sparkSession) if labelled is None else labelled)
-    table = F.array(*(F.lit(w) for w in weights))
     rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rows = rows.withColumn("_rule", rule_index(F.col("host"), F.col("path"), rules))
-    total = F.aggregate(grams(F.col("host"), F.col("path")), F.lit(bias), lambda acc, g: acc + F.element_at(table, g + 1))
-    p = 1 / (1 + F.exp(-total))
+    p = block_probability(F.col("host"), F.col("path"), weights, bias)
     name, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (verdict, rule_host, rule_path) in enumerate(rules):
         name = F.when(F.col("_rule") == i, rule_host + rule_path).otherwise(name)
