@@ -10,8 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starweave.functions import measures as M
-from starweave.operators import joins, windows
+from starweave.operators import arrays, joins, quantiles, windows
 from starweave.plans.registry import Registry
+from starweave.sources.io import staged
 
 R = Registry()
 q = R.query
@@ -35,15 +36,56 @@ def _(t):
  round(quantile_cont(o_totalprice, 0.5), 4) AS median_price, round(quantile_cont(o_totalprice, 0.9), 4) AS p90_price, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS mean_finished FROM orders GROUP BY 1""")
 def _(t):
     done = C("o_orderstatus") == "F"
-    return t.orders.groupBy("o_orderpriority").agg(
-        F.count_if(done).alias("finished"), M.percent(done).alias("pct"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 4).alias("median_price"), F.round(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("p90_price"),
-        F.round(F.avg(F.when(done, C("o_totalprice"))), 4).alias("mean_finished"),
-    )
+    counts = t.orders.groupBy("o_orderpriority").agg(F.count_if(done).alias("finished"), M.percent(done).alias("pct"), F.round(F.avg(F.when(done, C("o_totalprice"))), 4).alias("mean_finished"))
+    ranks = quantiles.exact(t.orders, ["o_orderpriority"], {"median_price": ("o_totalprice", 0.5), "p90_price": ("o_totalprice", 0.9)}, written=True)
+    return _beside(counts, ranks, ["o_orderpriority"])
 
 
-@q("Q02_approx")
+def _beside(counts, ranks, by):
+    """counts and the rounded percentiles of the same groups."""
+    ranks = ranks.withColumnsRenamed({b: f"_{b}" for b in by})
+    on = F.lit(True)
+    for b in by:
+        on = on & C(b).eqNullSafe(C(f"_{b}"))
+    values = [c for c in ranks.columns if not c.startswith("_")]
+    return counts.join(ranks, on).select(*counts.columns, *(F.round(v, 4).alias(v) for v in values))
+
+
+#: Compaction in a sketch is random: three times the bound that one quantile keeps with 99 % confidence is kept by all groups.
+_K = 200
+_BOUND = 3 * quantiles.rank_error(_K)
+
+
+def _in_bound(rows, by, column, sketch):
+    """Per group: n, and whether the exact ranks of the sketch's median and ninth decile are within the stated bound."""
+    marks = sketch.select(*(C(b).alias(f"_{b}") for b in by), *(quantiles.quantile("sketch", p).alias(f"_q{i}") for i, p in enumerate((0.5, 0.9))))
+    on = F.lit(True)
+    for b in by:
+        on = on & C(b).eqNullSafe(C(f"_{b}"))
+    ok = lambda i, p: (F.avg((C(column) < C(f"_q{i}")).cast("double")) <= p + _BOUND) & (F.avg((C(column) <= C(f"_q{i}")).cast("double")) >= p - _BOUND)
+    return rows.where(C(column).isNotNull()).join(marks, on).groupBy(*by).agg(F.count("*").alias("n"), ok(0, 0.5).alias("median_in_bound"), ok(1, 0.9).alias("p90_in_bound"))
+
+
+@q("Q02_approx", "SELECT o_orderpriority, count(*) AS n, TRUE AS median_in_bound, TRUE AS p90_in_bound FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1")
 def _(t):
-    return t.orders.groupBy("o_orderpriority").agg(F.percentile_approx("o_totalprice", [0.5, 0.9], 10000).alias("median_p90"))
+    sketch = quantiles.sketches(t.orders, ["o_orderpriority"], "o_totalprice", "sketch", _K)
+    return _in_bound(t.orders, ["o_orderpriority"], "o_totalprice", sketch)
+
+
+@q("percentile_rollup", "SELECT CAST(strftime(o_orderdate, '%Y%m') AS INTEGER) AS year_month, o_orderpriority, count(*) AS n, TRUE AS median_in_bound, TRUE AS p90_in_bound FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    # sketches of the daily aggregate are stored with it, and months come from them alone
+    orders = t.orders.select(M.date_key("o_orderdate").alias("date_key"), "o_orderpriority", "o_totalprice").withColumn("year_month", M.year_month("date_key"))
+    daily = staged(quantiles.sketches(orders, ["date_key", "o_orderpriority"], "o_totalprice", "sketch", _K), "daily-sketches")
+    monthly = quantiles.merged(daily, [M.year_month("date_key").alias("year_month"), "o_orderpriority"], "sketch", _K)
+    return _in_bound(orders, ["year_month", "o_orderpriority"], "o_totalprice", monthly)
+
+
+@q("percentile_exact", """SELECT event_type, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.999), 6) AS p999 FROM events GROUP BY 1""")
+def _(t):
+    # brackets of few values, so that several rounds are needed
+    ranks = quantiles.exact(t.events, ["event_type"], {"p01": ("value", 0.01), "p50": ("value", 0.5), "p999": ("value", 0.999)}, few=256, accuracy=400, written=True)
+    return ranks.select("event_type", *(F.round(c, 6).alias(c) for c in ("p01", "p50", "p999")))
 
 
 @q("Q03", """SELECT prior, o_orderpriority, count(*) AS n FROM (SELECT o_orderpriority, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prior FROM orders)
@@ -137,7 +179,10 @@ def _(t):
 def _(t):
     rows = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).join(t.part, C("l_partkey") == C("p_partkey"))
     rows = rows.select("p_brand", F.coalesce("o_orderpriority", F.lit("none")).alias("o_orderpriority"), M.duration("o_orderdate", "l_shipdate", "minute").alias("mins")).where("mins >= 0")
-    return rows.groupBy("p_brand", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.percentile("mins", F.lit(0.5)), 4).alias("median_min"), F.round(F.percentile("mins", F.lit(0.9)), 4).alias("p90_min"), M.percent(C("mins") <= 43200).alias("in_month")).where("n >= 20")
+    rows = staged(rows, "turnaround")
+    counts = rows.groupBy("p_brand", "o_orderpriority").agg(F.count("*").alias("n"), M.percent(C("mins") <= 43200).alias("in_month")).where("n >= 20")
+    by = ["p_brand", "o_orderpriority"]
+    return _beside(counts, quantiles.exact(rows, by, {"median_min": ("mins", 0.5), "p90_min": ("mins", 0.9)}, written=True), by)
 
 
 @q("Q14", """WITH a AS (SELECT user_id, min(ts) AS s FROM events WHERE event_type = 'signup' GROUP BY 1), f AS (SELECT a.user_id, s, min(ts) AS p, max(CASE WHEN strpos(props, '1') > 0 THEN 1 ELSE 0 END) AS concordant FROM a LEFT JOIN events e ON e.user_id = a.user_id AND e.event_type = 'purchase' AND e.ts >= s GROUP BY 1, 2)
@@ -217,7 +262,9 @@ def _(t):
  SELECT date_key, count(*) AS users, round(avg(n), 6) AS mean_n, round(quantile_cont(total, 0.5), 4) AS median_total, round(quantile_cont(total, 0.9), 4) AS p90_total FROM w GROUP BY 1""")
 def _(t):
     w = t.events.groupBy("user_id", M.date_key("ts").alias("date_key")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return w.groupBy("date_key").agg(F.count("*").alias("users"), F.round(F.avg("n"), 6).alias("mean_n"), F.round(F.percentile("total", F.lit(0.5)), 4).alias("median_total"), F.round(F.percentile("total", F.lit(0.9)), 4).alias("p90_total"))
+    w = staged(w, "daily-users")
+    counts = w.groupBy("date_key").agg(F.count("*").alias("users"), F.round(F.avg("n"), 6).alias("mean_n"))
+    return _beside(counts, quantiles.exact(w, ["date_key"], {"median_total": ("total", 0.5), "p90_total": ("total", 0.9)}, written=True), ["date_key"])
 
 
 _NET = "sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) - sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END)"
@@ -292,10 +339,34 @@ def _(t):
     return rows.groupBy("p_brand", "o_orderpriority").agg(F.count("*").alias("n"), M.percent(C("l_returnflag") == "R", 4).alias("rate"))
 
 
-@q("bench_json", """SELECT c_mktsegment, CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS kind, count(*) AS n FROM events JOIN customer ON user_id = c_custkey WHERE event_type <> 'error' GROUP BY 1, 2""")
+def _day_features(t):
+    """A user's readings of a day as a JSON array, as a text tool leaves its findings: kind, k, and negated (of small value).
+    Kinds other than errors are findings; a day of errors only has an empty array, and one without props a null."""
+    e = t.events.select("user_id", C("ts").cast("date").alias("day"), "event_id", C("event_type").alias("kind"), F.from_json("props", "k int")["k"].alias("k"), (C("value") < 20).alias("negated"))
+    found = F.sort_array(F.collect_list(F.when(C("kind") != "error", F.struct("event_id", F.struct("kind", "k", "negated").alias("item")))))
+    return e.groupBy("user_id", "day").agg(F.when(F.count("k") > 0, F.to_json(F.transform(found, lambda x: x["item"]))).alias("items"))
+
+
+_FEATURES = """SELECT user_id, day, CASE WHEN count(k) > 0 THEN coalesce(to_json(list({'kind': kind, 'k': k, 'negated': negated} ORDER BY event_id) FILTER (WHERE kind <> 'error')), '[]') END AS items
+ FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value < 20 AS negated FROM events) GROUP BY 1, 2"""
+_ITEMS = "unnest(CAST(items AS STRUCT(kind VARCHAR, k INTEGER, negated BOOLEAN)[])) AS x"
+
+
+@q("bench_json", f"""SELECT c_mktsegment, x.kind AS kind, x.k % 10 AS k, count(*) AS n FROM (SELECT user_id, {_ITEMS} FROM ({_FEATURES})) JOIN customer ON user_id = c_custkey WHERE NOT x.negated GROUP BY ALL""")
+def _(t):
+    items = arrays.elements(_day_features(t), "items", {"kind": "string", "k": "int", "negated": "boolean"}, ["user_id"]).where("NOT negated")
+    items = items.groupBy("user_id", "kind", (C("k") % 10).alias("k")).agg(F.count("*").alias("n"))  # before the join
+    return items.join(t.customer.select("c_custkey", "c_mktsegment"), C("user_id") == C("c_custkey")).groupBy("c_mktsegment", "kind", "k").agg(F.sum("n").alias("n"))
+
+
+@q("json_features_outer", f"""SELECT items IS NULL AS no_text, n_items = 0 AS no_item, count(*) AS days, CAST(sum(coalesce(n_items, 0)) AS BIGINT) AS n_items, CAST(sum(coalesce(n_negated, 0)) AS BIGINT) AS n_negated
+ FROM (SELECT user_id, day, items, coalesce(len(list), 0) AS n_items, len(list_filter(list, lambda x: x.negated)) AS n_negated FROM (SELECT *, CAST(items AS STRUCT(kind VARCHAR, k INTEGER, negated BOOLEAN)[]) AS list FROM ({_FEATURES}))) GROUP BY ALL""")
 def _(t):
-    x = t.events.where("event_type <> 'error'").select("user_id", F.from_json("props", "k int")["k"].alias("k"))
-    return x.join(t.customer, C("user_id") == C("c_custkey")).groupBy("c_mktsegment", (C("k") % 10).alias("kind")).agg(F.count("*").alias("n"))
+    # days without an item stay, as VARIANT this time
+    days = _day_features(t).select("user_id", "day", C("items").isNull().alias("no_text"), F.parse_json("items").alias("items"))
+    items = arrays.elements(days, "items", {"kind": "string", "negated": "boolean"}, ["user_id", "day", "no_text"], outer=True)
+    by_day = items.groupBy("user_id", "day", "no_text").agg(F.count("kind").alias("n_items"), F.count_if("negated").alias("n_negated"))
+    return by_day.groupBy("no_text", (C("n_items") == 0).alias("no_item")).agg(F.count("*").alias("days"), F.sum("n_items").alias("n_items"), F.sum("n_negated").alias("n_negated"))
 
 
 @q("Q19_paths", "SELECT prev, event_type, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NOT NULL GROUP BY 1, 2")

@@ -77,6 +77,21 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read back: the plan ends there, and any executor can read it again."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, what: DataFrame | str) -> None:
+    """Remove a folder, or the files of a staged table that no later plan reads."""
+    folders = {what} if isinstance(what, str) else {f.rsplit("/", 1)[0] for f in what.inputFiles()}
+    for folder in folders:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cluster_for_write(df: DataFrame, column: str, n: int) -> DataFrame:
     """All rows of one partition value in one task, sorted, so each value gets one file."""
     return df.repartition(n, column).sortWithinPartitions(column)
