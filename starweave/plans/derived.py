@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starweave.functions import measures as M
-from starweave.operators import joins, refresh, windows
+from starweave.operators import joins, many_sources, refresh, windows
 from starweave.plans.registry import Registry
+from starweave.sources import snapshots
+from starweave.sources.io import work_path
 
 R = Registry()
 q = R.query
@@ -121,6 +123,41 @@ def _(t):
     return out.select("c_custkey", "c_mktsegment", "n_orders", "first_order", "last_order", "distinct_parts", "ever_finished", F.round("total", 2).alias("total"))
 
 
+def subject_totals(orders: DataFrame, customer: DataFrame, lineitem: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Per customer, kept by nation: orders, their value, and the lines of these orders. only: the customers to build."""
+    among = lambda df, key: df if only is None else df.join(only.select(C("c_custkey").alias(key)), key, "left_semi")
+    own = among(orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey")
+    lines = lineitem.select("l_orderkey", "l_quantity").join(own.select("o_orderkey", "o_custkey"), C("l_orderkey") == C("o_orderkey"))
+    children = {
+        "orders": (own, "o_custkey", [F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total")]),
+        "lines": (lines, "o_custkey", [F.count("*").alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity")]),
+    }
+    base = among(customer.select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
+    return joins.star_rollup(base, children, "c_custkey", {"n_orders": 0, "total": 0.0, "n_lines": 0, "quantity": 0.0})
+
+
+@q("refresh_many_sources", """SELECT c_custkey, c_nationkey, c_mktsegment, coalesce(n_orders, 0) AS n_orders, round(coalesce(total, 0), 2) AS total, coalesce(n_lines, 0) AS n_lines, round(coalesce(quantity, 0), 2) AS quantity FROM customer
+ LEFT JOIN (SELECT o_custkey AS k, count(*) AS n_orders, sum(o_totalprice) AS total FROM orders GROUP BY 1) ON k = c_custkey
+ LEFT JOIN (SELECT o_custkey AS j, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) ON j = c_custkey""")
+def _(t):
+    # yesterday's tables: some orders and lines were not there, and some customers lived in another nation
+    stamp = lambda late: F.when(late, F.lit("2024-01-02")).otherwise(F.lit("2024-01-01")).cast("timestamp")
+    orders, lineitem = t.orders.withColumn("updated_ts", stamp(C("o_orderkey") % 500 == 7)), t.lineitem.withColumn("updated_ts", stamp((C("l_orderkey") % 300 == 5) & (C("l_linenumber") == 1)))
+    customer = t.customer.withColumn("updated_ts", stamp(C("c_custkey") % 400 == 3))
+    before = lambda df: df.where("updated_ts < '2024-01-02'")
+    moved = customer.withColumn("c_nationkey", F.when(C("updated_ts") >= "2024-01-02", (C("c_nationkey") + 1) % 25).otherwise(C("c_nationkey"))).withColumn("updated_ts", F.lit("2024-01-01").cast("timestamp"))
+    spark, path = orders.sparkSession, work_path(orders.sparkSession, "subject-totals")
+
+    def run(o, c, i):
+        of_order = lambda d: o.join(d.select(C("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi").select("o_custkey")
+        sources = {"orders": many_sources.by_column(o, "o_custkey"), "customer": many_sources.by_column(c, "c_custkey"), "lineitem": many_sources.Source(i, of_order)}
+        return many_sources.refresh_many(spark, path, sources, c, "c_custkey", "c_nationkey", lambda only: subject_totals(o, c, i, only))
+
+    run(before(orders), moved, before(lineitem))
+    run(orders, customer, lineitem)
+    return snapshots.read(spark, path)
+
+
 @q("obt_window", """SELECT user_id, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS date_key, count(*) AS n_readings, CAST(count_if(value > 150) AS BIGINT) AS abnormal, round(CAST(count_if(value > 150) AS DOUBLE) / count(*), 8) AS abnormal_rate, round(sum(value), 6) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1, 2""")
 def _(t):
     e = M.add_date_keys(t.events, [("date_key", "ts")])

@@ -6,12 +6,13 @@ build to some keys: the base and all children meet it by semi-joins, so a refres
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starweave.functions import measures as M
 from starweave.operators import joins
-from starweave.operators.refresh import changed, touched_keys
+from starweave.operators.many_sources import Outcome, Source, by_column, refresh_many
+from starweave.operators.refresh import bucket, changed, touched_keys
 
 Tables = dict[str, DataFrame]
 ADMISSION_SOURCES = ("fact_admission", "fact_diagnosis", "fact_procedure", "fact_drg_assignment", "fact_icu_stay_accumulating", "fact_lab_result", "fact_medication_administration", "fact_microbiology_result", "fact_transfer")
@@ -134,3 +135,29 @@ def stay_features(t: Tables, only: DataFrame | None = None) -> DataFrame:
         "chart_observation_count", "abnormal_chart_count", M.share(F.col("abnormal_chart_count"), F.col("chart_observation_count")).alias("abnormal_chart_rate"), "datetime_event_count",
         "procedure_event_count", "total_procedure_duration_minutes", now.alias("created_ts"), now.alias("updated_ts"),
     )
+
+
+# -- refresh: one bound a source, whole partitions, one commit
+
+PATIENT_BUCKETS = 64
+
+
+def refresh_admissions(spark: SparkSession, path: str, t: Tables, **how) -> Outcome:
+    """obt_admission_features by month of admission: a changed row of any source touches its admission, a patient all of theirs."""
+    of_patient = lambda d: t["fact_admission"].join(d.select("subject_id").distinct(), "subject_id", "left_semi").select("hadm_id")
+    sources = {n: by_column(t[n], "hadm_id") for n in ADMISSION_SOURCES} | {"dim_patient": Source(t["dim_patient"], of_patient)}
+    return refresh_many(spark, path, sources, admission_base(t), "hadm_id", "admit_year_month", lambda only: admission_features(t, only), **how)
+
+
+def refresh_patients(spark: SparkSession, path: str, t: Tables, **how) -> Outcome:
+    """obt_patient_360 by a hash bucket of the patient. t has the refreshed obt_admission_features."""
+    placed = lambda df: df.withColumn("subject_bucket", bucket("subject_id", PATIENT_BUCKETS))
+    sources = {n: by_column(t[n], "subject_id") for n in ("dim_patient", "obt_admission_features", "fact_diagnosis")}
+    return refresh_many(spark, path, sources, placed(t["dim_patient"]), "subject_id", "subject_bucket", lambda only: placed(patient_360(t, only)), **how)
+
+
+def refresh_stays(spark: SparkSession, path: str, t: Tables, **how) -> Outcome:
+    """obt_icu_stay_features by month of the stay; changed admission features touch the stays of the admission."""
+    of_admission = lambda d: t["fact_icu_stay_accumulating"].join(d.select("hadm_id").distinct(), "hadm_id", "left_semi").select("stay_id")
+    sources = {n: by_column(t[n], "stay_id") for n in STAY_SOURCES} | {"obt_admission_features": Source(t["obt_admission_features"], of_admission)}
+    return refresh_many(spark, path, sources, stay_base(t), "stay_id", "in_year_month", lambda only: stay_features(t, only), **how)
