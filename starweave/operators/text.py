@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,48 +94,95 @@ _BEFORE = {
     "uncertain": r"\b(?:possible|probable|may|might|compatible with|suspicious for|cannot exclude)\b",
 }
 _AFTER = {"negated": r"\b(?:is ruled out|was ruled out|unlikely)\b"}
-_STOP = re.compile(r"\b(?:but|however|although|except|which)\b|;", re.I)
+_STOP = r"\b(?:but|however|although|except|which)\b|;"
+_CUT = r"(?<=[.!?])\s+|\n+"
 ASSERTIONS = ("negated", "historical", "hypothetical", "family", "uncertain")
 
 
-def assertions(sentence: str, start: int, end: int) -> dict[str, bool]:
-    """Which triggers hold for the span: before it back to a terminator, or after it up to one."""
-    before, after = sentence[:start], sentence[end:]
-    stops = list(_STOP.finditer(before))
-    before = before[stops[-1].end() :] if stops else before
-    stop = _STOP.search(after)
-    after = after[: stop.start()] if stop else after
-    return {k: bool(re.search(_BEFORE[k], before, re.I)) or (k in _AFTER and bool(re.search(_AFTER[k], after, re.I))) for k in ASSERTIONS}
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row, however often use names it, also inside other functions of elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-ENTITY = "struct<sentence_no int, start_char int, end_char int, term string, label string, sentence string, " + ", ".join(f"{a} boolean" for a in ASSERTIONS) + ">"
+def running(lengths: Column) -> Column:
+    """What comes before each element of an array of numbers, summed; blocks of sqrt(n) elements keep n elements at n * sqrt(n)."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
+
+    def blocks(x: Column, size: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(x) / size).cast("int") - 1)
+        part = lambda i: F.slice(x, i * size + 1, size)
+        offset = lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, 1, i)))
+        inside = lambda y, before: F.transform(y, lambda _, j: before + total(F.slice(y, 1, j)))
+        return let(offset(F.transform(numbers, lambda i: total(part(i)))), lambda o: F.flatten(F.transform(numbers, lambda i: let(part(i), lambda y: inside(y, F.get(o, i))))))
+
+    return let(lengths, lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda size: blocks(x, size))))
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """What lies between the matches of a pattern: an array of (at, body), at being the place of the first character from 0."""
+    cut = F.split(text, pattern, -1)
+    between = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
+    return let(cut, lambda c: F.arrays_zip(running(F.zip_with(F.transform(c, lambda p: F.length(p)), between, lambda p, m: p + F.coalesce(m, F.lit(0)))).alias("at"), c.alias("body")))
+
+
+def _first_end(clause: Column, pattern: str) -> Column:
+    """Where the first match ends, in characters; null without one."""
+    return F.length(F.element_at(F.split(clause, pattern, 2), 1)) + F.length(F.regexp_substr(clause, F.lit(pattern)))
+
+
+def _last_start(clause: Column, pattern: str) -> Column:
+    rest, found = F.element_at(F.split(clause, pattern, -1), -1), F.regexp_extract_all(clause, F.lit(pattern), F.lit(0))
+    return F.when(F.size(found) > 0, F.length(clause) - F.length(rest) - F.length(F.try_element_at(found, F.lit(-1))))
 
 
 def tagger(lexicon: dict[str, list[str]]) -> Callable[[Column], Column]:
-    """A column function from a text to its entities in order of place, whole Arrow batches at a time. Entities of a text do not
-    overlap: from left to right the longest phrase of any label is one; a phrase under two labels has the first. Null: none."""
-    label_of = {p.lower(): label for label in reversed(lexicon) for p in lexicon[label]}
+    """A column function from a text to its entities in order of place, in DataFrame functions only: sentence_no, start_char,
+    end_char, term, label, sentence, and what is asserted of each. From left to right the longest phrase of any label is one
+    entity; a phrase under two labels has the first. Null: none.
 
-    @F.arrow_udf(f"array<{ENTITY}>")
-    def tag(texts: pa.Array) -> pa.Array:
-        pattern, cut = re.compile(lexicon_pattern(list(label_of), "i")), re.compile(r"(?<=[.!?])\s+|\n+")
-        fields = [("sentence_no", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("term", pa.string()), ("label", pa.string()), ("sentence", pa.string())]
-        kind = pa.struct(fields + [(a, pa.bool_()) for a in ASSERTIONS])
-        out = []
-        for t in texts.to_pylist():
-            rows, at = [], 0
-            for n, s in enumerate(cut.split(t or "")):
-                at = t.find(s, at) if t else 0
-                for m in pattern.finditer(s):
-                    row = {"sentence_no": n, "start_char": at + m.start(), "end_char": at + m.end(), "term": m[0], "label": label_of[m[0].lower()], "sentence": s}
-                    rows.append(row | assertions(s, m.start(), m.end()))
-                at += len(s)
-            out.append(rows)
-        return pa.array(out, pa.list_(kind))
+    A sentence is cut at terminators (but, however, a semicolon) into clauses, which bound the scope of triggers: one holds for
+    an entity if it ends before it in its clause (or, for triggers that follow, begins after it). Triggers are looked up once
+    a clause, whatever its entities; a phrase does not reach over a terminator."""
+    label_of = {p.lower(): label for label in reversed(lexicon) for p in lexicon[label]}
+    names = F.create_map(*(F.lit(x) for pair in label_of.items() for x in pair))
+    pattern = lexicon_pattern(list(label_of))
+
+    def of_clause(number: Column, sentence: Column, clause: Column, before: Column) -> Column:
+        """before: characters of the text before the clause."""
+        # one place a trigger: where the first one ends, or the last one that may follow begins
+        marks = F.struct(*(_first_end(clause, f"(?iU){p}").alias(f"to_{k}") for k, p in _BEFORE.items()), *(_last_start(clause, f"(?iU){p}").alias(f"from_{k}") for k, p in _AFTER.items()))
+        terms = F.regexp_extract_all(clause, F.lit(pattern), F.lit(1))
+
+        def entity(term: Column, at: Column, mark: Column) -> Column:
+            end = at + F.length(term)
+            holds = lambda a: F.coalesce(mark[f"to_{a}"] <= at, F.lit(False)) | (F.coalesce(mark[f"from_{a}"] >= end, F.lit(False)) if a in _AFTER else F.lit(False))
+            return F.struct(
+                number.alias("sentence_no"), (before + at).alias("start_char"), (before + end).alias("end_char"), term.alias("term"), F.element_at(names, F.lower(term)).alias("label"), sentence.alias("sentence"),
+                *(holds(a).alias(a) for a in ASSERTIONS),
+            )
+
+        def placed(t: Column, mark: Column) -> Column:
+            # a match begins where the piece before it ends
+            starts = F.transform(F.slice(pieces(clause, pattern), 1, F.size(t)), lambda p: p["at"] + F.length(p["body"]))
+            return F.transform(F.arrays_zip(t.alias("t"), starts.alias("s")), lambda x: entity(x["t"], x["s"], mark))
+
+        none = F.array().cast(f"array<{ENTITY}>")
+        return let(terms, lambda t: F.when(F.size(t) == 0, none).otherwise(let(marks, lambda mark: placed(t, mark))))
+
+    def of_sentence(piece: Column, number: Column) -> Column:
+        body = piece["body"]
+        return F.flatten(F.transform(pieces(body, f"(?iU){_STOP}"), lambda c: of_clause(number, body, c["body"], piece["at"] + c["at"])))
+
+    def tag(text: Column) -> Column:
+        found = let(F.coalesce(text, F.lit("")), lambda x: F.flatten(F.transform(pieces(x, _CUT), of_sentence)))
+        return F.when(F.coalesce(text, F.lit("")).rlike(pattern), found).otherwise(F.array().cast(f"array<{ENTITY}>"))
 
     return tag
 
 
+ENTITY = "struct<sentence_no:int,start_char:int,end_char:int,term:string,label:string,sentence:string," + ",".join(f"{a}:boolean" for a in ASSERTIONS) + ">"
+
+
 def tag_entities(df: DataFrame, key: str, text: str, lexicon: dict[str, list[str]]) -> DataFrame:
     """One row an entity: key, sentence, place, label and assertions."""
     return df.select(key, F.inline(tagger(lexicon)(F.col(text))))

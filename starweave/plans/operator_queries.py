@@ -362,9 +362,35 @@ def _(t):
     return text.sentences(rows, "k", "text").groupBy("k").agg(F.count("*").alias("n_sentences")).select("k.conv_id", "k.turn", "n_sentences")
 
 
-@q("tag_entities")
-def _(t):
-    return text.tag_entities(t.documents, "doc_id", "text", {"insult": ["idiot", "moron", "scum"], "secret": ["token"]})
+def _sql_trigger(*phrases: str) -> str:
+    """Whether a trigger begins at a word: phrases of one to three words with one blank between."""
+    parts = []
+    for phrase in phrases:
+        first, *rest = phrase.split(" ")
+        more = "".join(f" AND lead(t, {2 * k + 1}) OVER d = ' ' AND lower(lead(t, {2 * k + 2}) OVER d) = '{w}'" for k, w in enumerate(rest))
+        parts.append(f"(lower(t) = '{first}'{more})")
+    return " OR ".join(parts)
+
+
+# The text as runs of word signs and runs of others; cuts of sentences and terminators of clauses are counted along the runs.
+_LABELS = {"insult": ["idiot", "moron", "scum", "of", "und"], "secret": ["token", "de"]}
+_TAG_SQL = f"""WITH runs AS (SELECT doc_id, unnest(r) AS t, generate_subscripts(r, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS r FROM documents)),
+ marked AS (SELECT *, regexp_full_match(t, '[\\p{{L}}\\p{{N}}_]+') AS word, len(regexp_extract_all(t, '[.!?][ \\t\\n\\r\\f\\v]+|\\n+')) AS cuts, length(t) - length(replace(t, ';', '')) AS semis, lower(t) IN ('but', 'however', 'although', 'except', 'which') AS stop,
+  {_sql_trigger("no", "not", "denies", "denied", "without", "never", "negative for", "no evidence of", "absence of")} AS neg, {_sql_trigger("is ruled out", "was ruled out", "unlikely")} AS neg_after,
+  {_sql_trigger("history of", "former", "previous", "prior", "past")} AS hist, {_sql_trigger("if", "should", "in case of", "return for")} AS hypo,
+  {_sql_trigger("father", "mother", "brother", "sister", "family", "grandmother", "grandfather")} AS fam, {_sql_trigger("possible", "probable", "may", "might", "compatible with", "suspicious for", "cannot exclude")} AS uncert
+  FROM runs WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ placed AS (SELECT *, CAST(coalesce(sum(length(t)) OVER b, 0) AS INTEGER) AS start_char, CAST(coalesce(sum(cuts) OVER b, 0) AS INTEGER) AS sentence_no, coalesce(sum(cuts + semis + CAST(stop AS INTEGER)) OVER b, 0) AS clause
+  FROM marked WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ said AS (SELECT *, min(i) FILTER (WHERE neg) OVER c < i OR max(i) FILTER (WHERE neg_after) OVER c > i AS negated, min(i) FILTER (WHERE hist) OVER c < i AS historical, min(i) FILTER (WHERE hypo) OVER c < i AS hypothetical,
+  min(i) FILTER (WHERE fam) OVER c < i AS family, min(i) FILTER (WHERE uncert) OVER c < i AS uncertain FROM placed WINDOW c AS (PARTITION BY doc_id, clause))
+ SELECT doc_id, sentence_no, start_char, CAST(start_char + length(t) AS INTEGER) AS end_char, t AS term, CASE {" ".join(f"WHEN lower(t) IN ({', '.join(repr(w) for w in words)}) THEN '{label}'" for label, words in _LABELS.items())} END AS label,
+  {", ".join(f"coalesce({a}, FALSE) AS {a}" for a in text.ASSERTIONS)} FROM said WHERE lower(t) IN ({", ".join(repr(w) for words in _LABELS.values() for w in words)})"""
+
+
+@q("tag_entities", _TAG_SQL)
+def _(t):
+    return text.tag_entities(t.documents, "doc_id", "text", _LABELS).drop("sentence")
 
 
 _SAYS = lambda words: f"regexp_matches({_DOUBLED}, {_whole(words)})"
