@@ -59,6 +59,38 @@ def first_after(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: str,
     return anchors.join(e, on, "left").groupBy(*anchors.columns).agg(F.min(event_ts).alias(out))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters; a search that starts inside a surrogate pair finds its second half, which begins no run."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}].{%d}))" % (n - 1)), F.lit(1)))
+
+
+def containment(texts: DataFrame, phrases: DataFrame, text: str, phrase: str, on: list[str] | None = None, n: int = 3) -> DataFrame:
+    """Pairs of a text and a phrase that is part of it (case counts), beside equal values of the columns in on.
+
+    An inverted index makes the candidates: each phrase is entered once, under the one of its n-character runs that the fewest
+    texts hold; texts look up their own runs among these entries. A phrase with a run that no text holds is gone before. So a
+    candidate pair shares the phrase's rarest run, and only such pairs are compared in full. Phrases of fewer than n
+    characters are entered under all of themselves, and looked up by runs of that length, if there are any. Empty and null
+    phrases are in no text. Columns of both sides stay; names must differ but for those in on. The sides are read twice.
+    """
+    on = on or []
+    words = phrases.where(F.length(phrase) > 0)
+    lengths = [r[0] for r in words.select(F.least(F.length(phrase), F.lit(n)).alias("n")).distinct().collect()]  # at most n numbers
+    if not lengths:
+        return texts.join(words.drop(*on), F.lit(False))
+    runs = lambda c: F.array_distinct(F.flatten(F.array(*(_grams(F.col(c), k) for k in sorted(lengths)))))
+    own = words.withColumn("_gram", F.explode(F.when(F.length(phrase) < n, F.array(phrase)).otherwise(_grams(F.col(phrase), n))))
+    asked = own.select(*on, "_gram").distinct()
+    # how many texts hold each run that any phrase has
+    held = texts.select(*on, F.explode(runs(text)).alias("_gram")).groupBy(*on, "_gram").agg(F.count("*").alias("_held")).join(asked, [*on, "_gram"], "left_semi")
+    row = F.struct(*on, *(c for c in words.columns if c not in on))
+    entry = own.join(held, [*on, "_gram"], "left").groupBy(row.alias("_row")).agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), F.col("_gram").alias("gram"))).alias("_least"), F.count("*").alias("_all"))
+    copies = words.groupBy(row.alias("_row")).agg(F.count("*").alias("_copies"))  # rows that are equal stay as many
+    entry = entry.where("_least.held > 0").join(copies, "_row").select("_row.*", F.col("_least.gram").alias("_gram"), F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_one")).drop("_one")
+    found = texts.select("*", F.explode(runs(text)).alias("_gram")).join(entry, [*on, "_gram"])
+    return found.where(F.contains(F.col(text), F.col(phrase))).drop("_gram")
+
+
 def full_merge(frames: dict[str, DataFrame], keys: list[str], zero: list[str]) -> DataFrame:
     """Full outer join on keys of pre-aggregated frames; missing measures are 0."""
     out: DataFrame | None = None

@@ -29,10 +29,14 @@ def clean(text: str | Column, n: int = CLEAN_CHARS) -> Column:
     return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, n)
 
 
-def clean_lines(text: Column, n: int = CLEAN_CHARS) -> Column:
-    """Lines kept: runs of blanks become one, of three and more newlines two."""
+def _cut(text: Column, n: int | None) -> Column:
+    return text if n is None else F.substring(text, 1, n)
+
+
+def clean_lines(text: Column, n: int | None = CLEAN_CHARS) -> Column:
+    """Lines kept: runs of blanks become one, of three and more newlines two; n characters of it (None: all)."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), "\n{3,}", "\n\n"), "[ \t]+", " ")
-    return F.substring(F.regexp_replace(plain, r"^\s+|\s+$", ""), 1, n)
+    return _cut(F.regexp_replace(plain, r"^\s+|\s+$", ""), n)
 
 
 def guard(text: str, n: int = MAX_CHARS) -> Column:
@@ -45,6 +49,7 @@ def sections(text: str | Column, headers: dict[str, str]) -> Column:
     an unknown heading ends the body before it and is dropped with its own; what comes before the first heading is _preamble, a
     text without headings is _body."""
     c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    # fixed value: the heading rule of the published model, with a stop allowed
     mark = r"(?m)^[ \t]*([A-Z][A-Z0-9 /&()_.-]{2,45}?):[ \t]*"
     titles = F.regexp_extract_all(c, F.lit(mark), F.lit(1))
     bodies = F.transform(F.split(c, mark, -1), lambda b: F.regexp_replace(F.regexp_replace(b, r"\s+\n", "\n"), r"^\s+|\s+$", ""))
@@ -273,17 +278,19 @@ def reasons(text: Column, cue: str = r"(?i)\b(?:reason for exam|indication|histo
     return F.when(text.rlike(cue), F.slice(parts, 1, 3)).otherwise(F.array().cast("array<string>"))
 
 
-def indication_reasons(text: Column) -> Column:
-    """The first three pieces of 3 to 200 characters after the last cue of an indication, or of all of it where none is."""
+def indication_reasons(text: Column, most: int | None = 3) -> Column:
+    """The first `most` pieces (None: all) of 3 to 200 characters after the last cue of an indication, or of all of it where
+    none is."""
     tail = F.element_at(F.split(F.coalesce(text, F.lit("")), REASON_CUES), -1)
     parts = F.transform(F.split(tail, r"[.;\n]"), lambda p: F.btrim(F.regexp_replace(p, "_{2,}", ""), F.lit(" -\t\r\n")))
-    return F.slice(F.filter(parts, lambda p: F.length(p).between(3, 200)), 1, 3)
+    kept = F.filter(parts, lambda p: F.length(p).between(3, 200))
+    return kept if most is None else F.slice(kept, 1, most)
 
 
-def exam_title(text: Column) -> Column:
-    """The first line without runs of underscores and outer points and dashes, 200 characters at most; null if empty."""
-    line = F.regexp_replace(F.substring_index(clean_lines(text), "\n", 1), "_{2,}", "")
-    return F.nullif(F.substring(F.btrim(line, F.lit(" .-\t")), 1, 200), F.lit(""))
+def exam_title(text: Column, n: int | None = 200) -> Column:
+    """The first line without runs of underscores and outer points and dashes, n characters at most (None: all); null if empty."""
+    line = F.regexp_replace(F.substring_index(clean_lines(text, None if n is None else CLEAN_CHARS), "\n", 1), "_{2,}", "")
+    return F.nullif(_cut(F.btrim(line, F.lit(" .-\t")), n), F.lit(""))
 
 
 def dedup_first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starweave.sources.io import staged
+
 
 def _by(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -30,23 +32,28 @@ def repeat_flag(df: DataFrame, by: list[str], order: list[str], out: str) -> Dat
     return df.withColumn(out, F.row_number().over(_by(by, order)) > 1)
 
 
-def quartile(df: DataFrame, column: str, tie: str, out: str, parts: int = 32) -> DataFrame:
-    """ntile(4) by (column, tie) over all rows, without one task for all: rows are ranked within value ranges, whose bounds
-    are approximate quantiles (parts numbers on the driver), and the ranges' exact sizes give the offsets."""
-    bounds = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.005)))
-    part = F.lit(0)
-    for bound in bounds:
-        part = part + F.when(F.col(column) > bound, 1).otherwise(0)
-    spread = df.withColumn("_part", part)
-    ranked = spread.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(column).asc_nulls_first(), tie)))
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    rank = F.col("_rn") + F.col("_before")
+def ranked(df: DataFrame, order: list[Column], rank: str, total: str) -> DataFrame:
+    """df with each row's place (from 1) in one order over all rows, and their number; written to the shared folder once.
+
+    Rows are dealt out by range of the whole order, so that one frequent value (nulls too) is split by what follows it, and
+    sorted there; a place is the row's own in its range, moved by the sizes of the ranges before. No task has all rows. The
+    order should end with a unique column."""
+    at = "_place"
+    rows = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(at, 33)  # such an id is a partition's number, and below it 33 bits of the row's place there
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min(at).alias("_first"))  # a row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("_part", (before - F.col("_first") + 1).alias("_shift"), F.sum("_n").over(Window.partitionBy()).alias(total))
+    return rows.join(F.broadcast(shifts), part == F.col("_part")).withColumn(rank, F.col(at) + F.col("_shift")).drop(at, "_part", "_shift")
+
+
+def quartile(df: DataFrame, column: str, tie: str, out: str) -> DataFrame:
+    """ntile(4) by (column, tie) over all rows, nulls first, without one task for all."""
+    rows = ranked(df, [F.col(column).asc_nulls_first(), F.col(tie).asc_nulls_first()], "_rank", "_all")
     size, rest = F.floor(F.col("_all") / 4), F.col("_all") % 4
     head = rest * (size + 1)  # the first groups have one row more
-    tile = F.when(rank <= head, F.ceil(rank / (size + 1))).otherwise(rest + F.ceil((rank - head) / F.greatest(size, F.lit(1))))
-    return ranked.join(offsets, "_part").withColumn(out, tile.cast("int")).drop("_part", "_rn", "_before", "_n", "_all")
+    tile = F.when(F.col("_rank") <= head, F.ceil(F.col("_rank") / (size + 1))).otherwise(rest + F.ceil((F.col("_rank") - head) / F.greatest(size, F.lit(1))))
+    return rows.withColumn(out, tile.cast("int")).drop("_rank", "_all")
 
 
 def prior_visits(df: DataFrame, by: list[str], value: str, order: list[str], out: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starweave.functions import measures as M
+from starweave.operators import joins
 from starweave.operators import text as T
 from starweave.operators.refresh import bucket
 
@@ -58,6 +59,30 @@ CODES = {
 }
 
 
+# The two tables of whole notes: name to hash buckets of the admission.
+NOTE_TABLES = {"fact_discharge_note": 4, "fact_radiology_note": 8}
+
+
+def note_table(raw: DataFrame, admissions: DataFrame, name: str, actor: str | None = None) -> DataFrame:
+    """fact_discharge_note or fact_radiology_note: per subject and admission the texts of its raw notes in order of note_seq
+    (then of the text), a blank line between, their number, the last times, and the admission's provider and date.
+
+    Raw notes have text columns; times that cannot be read are null, and a null text adds nothing but counts. Notes without
+    a subject or an admission are left out; an admission that is unknown has null keys. admissions is expected to have one
+    row an hadm_id. An admission's texts meet in one task: they become one value.
+    """
+    raw = raw.where("subject_id IS NOT NULL AND hadm_id IS NOT NULL").select(
+        F.col("subject_id").cast("long"), F.col("hadm_id").cast("long"), F.col("note_seq").cast("int"), "text", *(F.try_to_timestamp(F.col(c)).alias(c) for c in ("charttime", "storetime"))
+    )
+    texts = F.sort_array(F.collect_list(F.struct("note_seq", "text")))
+    out = raw.groupBy("subject_id", "hadm_id").agg(
+        F.array_join(F.transform(texts, lambda n: n["text"]), "\n\n").alias("text"), F.count("*").alias("notes_count"), F.max("charttime").alias("last_charttime"), F.max("storetime").alias("last_storetime")
+    )
+    out = joins.lookup(out, admissions, "hadm_id", "hadm_id", ["admit_provider_id", "admit_date_key"]).withColumn("bucket", bucket("hadm_id", NOTE_TABLES[name]))
+    out = out.select("subject_id", "hadm_id", "admit_provider_id", "admit_date_key", "text", "notes_count", "last_charttime", "last_storetime", "bucket")
+    return M.add_audit(out, actor) if actor else out
+
+
 def _json(c: Column) -> Column:
     return F.to_json(c, {"ignoreNullFields": "false"})
 
@@ -70,12 +95,14 @@ def _entity(e: Column) -> Column:
     return F.struct(e["term"].alias("text"), e["label"].alias("label"), e["start_char"].alias("start_char"), e["end_char"].alias("end_char"), *(e[a].alias(a) for a in T.ASSERTIONS), e["sentence"].alias("sentence"))
 
 
-def discharge_features(notes: DataFrame, n_buckets: int = 64, actor: str | None = None) -> DataFrame:
+def discharge_features(notes: DataFrame, n_buckets: int = 64, actor: str | None = None, max_chars: int | None = T.MAX_CHARS) -> DataFrame:
     """fact_discharge_note_nlp: per admission tobacco and alcohol use, obesity level, cessation code and all entities as JSON.
 
-    The first 100,000 characters of a note are read, as the table defines. Repeated rows are one.
+    The first max_chars characters of a note are read, 100,000 as the published table defines; None reads all. Repeated rows
+    are one.
     """
-    tagged = _noted(notes).withColumn("text", T.guard("text")).withColumn("e", T.tagger(HABITS)(F.col("text")))
+    cut = _noted(notes) if max_chars is None else _noted(notes).withColumn("text", T.guard("text", max_chars))
+    tagged = cut.withColumn("e", T.tagger(HABITS)(F.col("text")))
     any_of = lambda label, test: F.bool_or(F.exists("e", lambda e: (e["label"] == label) & test(e)))
     own = lambda e: ~e["hypothetical"] & ~e["family"]
     now, past, denied = lambda e: own(e) & ~e["negated"] & ~e["historical"], lambda e: own(e) & ~e["negated"] & e["historical"], lambda e: own(e) & e["negated"]
@@ -102,15 +129,21 @@ LISTS = {
 }
 
 
-def radiology_items(notes: DataFrame) -> DataFrame:
-    """One row a note, with a list of structs for every name of LISTS."""
+# Characters and pieces that the published model keeps.
+SUMMARY_CHARS, PROCEDURE_CHARS, TITLE_CHARS, MAX_REASONS = T.CLEAN_CHARS, 400, 200, 3
+
+
+def radiology_items(notes: DataFrame, whole: bool = False) -> DataFrame:
+    """One row a note, with a list of structs for every name of LISTS. Summaries are cut to 2,500 characters, procedures to 400,
+    titles to 200, reasons to the first three, as the published model has them; with whole nothing is cut."""
+    summary_chars, procedure_chars, title_chars, most = (None,) * 4 if whole else (SUMMARY_CHARS, PROCEDURE_CHARS, TITLE_CHARS, MAX_REASONS)
     cut = _noted(notes).withColumn("s", T.sections("text", HEADINGS))
     body = lambda name: F.coalesce(F.try_element_at("s", F.lit(name)), F.lit(""))
     part = lambda c: F.nullif(F.col(c), F.lit(""))
     cut = cut.select("*", *(body(n).alias(n) for n in ("technique", "indication", "findings", "impression", "procedure")), F.coalesce(F.nullif(body("examination"), F.lit("")), body("_preamble")).alias("examination"))
     cut = cut.withColumn("e", T.tagger(SIGNS)(F.concat_ws("\n", part("indication"), part("findings"), part("impression"))))
 
-    exam, what = T.exam_title(F.coalesce(part("examination"), part("technique"))), F.concat_ws(" ", "examination", "technique")
+    exam, what = T.exam_title(F.coalesce(part("examination"), part("technique")), title_chars), F.concat_ws(" ", "examination", "technique")
     kind = F.struct(exam.alias("exam"), T.modality(what).alias("modality"), T.body_region(what).alias("body_region"), "note_id")
     one = lambda item, on: F.filter(F.array(item), lambda i: on(i))
     of = lambda label: F.filter("e", lambda e: e["label"] == label)
@@ -120,23 +153,23 @@ def radiology_items(notes: DataFrame) -> DataFrame:
     table = F.create_map(*(F.lit(v) for pair in CODES.items() for v in pair))
     looked = F.filter(F.transform(F.filter(of("DISORDER"), lambda e: ~e["negated"]), lambda e: code(F.try_element_at(table, F.lower(e["term"])), F.lower(e["term"]), "lookup")), lambda c: c["code"].isNotNull())
     named = lambda t: F.struct(t.alias("text"), F.col("note_id").alias("note_id"))
-    summary = lambda c: one(F.struct("note_id", T.clean_lines(F.col(c)).alias("text")), lambda i: i["text"] != "")
+    summary = lambda c: one(F.struct("note_id", T.clean_lines(F.col(c), summary_chars).alias("text")), lambda i: i["text"] != "")
     entity = lambda e: F.struct(F.lower(e["term"]).alias("text"), e["label"].alias("label"), *(e[a].alias(a) for a in ("negated", "historical", "hypothetical", "family")), e["sentence"].alias("sentence"), F.col("note_id").alias("note_id"))
     lists = {
         "radiology_procedure_types": one(kind, lambda i: i["exam"].isNotNull() | (i["modality"] != "OTHER")),
-        "radiology_reasons": F.transform(T.indication_reasons(F.col("indication")), lambda r: F.struct(r.alias("reason"), F.col("note_id").alias("note_id"))),
+        "radiology_reasons": F.transform(T.indication_reasons(F.col("indication"), most), lambda r: F.struct(r.alias("reason"), F.col("note_id").alias("note_id"))),
         "symptoms": said("SYMPTOM"), "disorders": said("DISORDER"), "icd_codes": F.concat(cited, looked),
-        "procedures": F.concat(one(named(T.clean_lines(F.col("procedure"), 400)), lambda i: i["text"] != ""), F.transform(T.procedure_terms(F.concat_ws(" ", "examination", "technique", "procedure")), named)),
+        "procedures": F.concat(one(named(T.clean_lines(F.col("procedure"), procedure_chars)), lambda i: i["text"] != ""), F.transform(T.procedure_terms(F.concat_ws(" ", "examination", "technique", "procedure")), named)),
         "findings_summary": summary("findings"), "indication_summary": summary("indication"), "conclusion": summary("impression"),
         "notes": F.array(F.struct("note_id", F.transform("e", entity).alias("entities"))),
     }
     return cut.select("hadm_id", *KEYS, "note_id", *(lists[n].alias(n) for n in LISTS))
 
 
-def radiology_features(notes: DataFrame, n_buckets: int = 128, actor: str | None = None) -> DataFrame:
+def radiology_features(notes: DataFrame, n_buckets: int = 128, actor: str | None = None, whole: bool = False) -> DataFrame:
     """fact_radiology_note_nlp: per admission examinations, reasons, symptoms, disorders, codes, procedures and summaries, each a
-    JSON list without repeats in order of note_id and place. Rows that repeat a note_id count as one note."""
-    rows = radiology_items(notes)
+    JSON list without repeats in order of note_id and place. Rows that repeat a note_id count as one note. whole: see radiology_items."""
+    rows = radiology_items(notes, whole)
     item = lambda name: F.transform(name, lambda i, at: F.struct(F.lit(name).alias("list"), _json(F.struct(LISTS[name](i).alias("k"))).alias("same"), at.alias("at"), _json(i).alias("item")))
     flat = rows.select("hadm_id", *KEYS, "note_id", F.inline(F.concat(*(item(n) for n in LISTS))))
     first = flat.groupBy("hadm_id", "list", "same").agg(*(F.max(k).alias(k) for k in KEYS), F.min(F.struct("note_id", "at", "item")).alias("f"))

@@ -141,7 +141,14 @@ def _(t):
 def _(t):
     a = t.part.select(F.col("p_partkey").alias("a_key"), "p_brand", "p_size", F.col("p_type").alias("a_type"))
     b = t.part.select(F.col("p_partkey").alias("b_key"), "p_brand", "p_size", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("b_word"))
-    return a.join(b, ["p_brand", "p_size"]).where((F.col("a_key") < F.col("b_key")) & (F.instr(F.col("a_type"), F.col("b_word")) > 0)).select("a_key", "b_key")
+    return joins.containment(a, b, "a_type", "b_word", ["p_brand", "p_size"]).where("a_key < b_key").select("a_key", "b_key")
+
+
+@q("contains_passage", """SELECT doc_id, item_id FROM documents JOIN (SELECT item_id, regexp_extract(text, '^.{0,40}') AS opening FROM benchmark) ON opening <> '' AND contains(text, opening)""")
+def _(t):
+    # documents that hold the opening of a benchmark text
+    openings = t.benchmark.select("item_id", F.regexp_extract("text", "^.{0,40}", 0).alias("opening"))
+    return joins.containment(t.documents.select("doc_id", "text"), openings, "text", "opening", n=8).select("doc_id", "item_id")
 
 
 @q("role_dates", """SELECT o_orderkey, l_linenumber, l_partkey, CAST(quarter(o_orderdate) AS INTEGER) AS order_quarter, dayname(l_shipdate) AS ship_day FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
@@ -374,7 +381,9 @@ def _sql_trigger(*phrases: str) -> str:
 
 # The text as runs of word signs and runs of others; cuts of sentences and terminators of clauses are counted along the runs.
 _LABELS = {"insult": ["idiot", "moron", "scum", "of", "und"], "secret": ["token", "de"]}
-_TAG_SQL = f"""WITH runs AS (SELECT doc_id, unnest(r) AS t, generate_subscripts(r, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS r FROM documents)),
+def tag_sql(labels: dict[str, list[str]]) -> str:
+    """Entities of single words in documents, with what is asserted of them."""
+    return f"""WITH runs AS (SELECT doc_id, unnest(r) AS t, generate_subscripts(r, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS r FROM documents)),
  marked AS (SELECT *, regexp_full_match(t, '[\\p{{L}}\\p{{N}}_]+') AS word, len(regexp_extract_all(t, '[.!?][ \\t\\n\\r\\f\\v]+|\\n+')) AS cuts, length(t) - length(replace(t, ';', '')) AS semis, lower(t) IN ('but', 'however', 'although', 'except', 'which') AS stop,
   {_sql_trigger("no", "not", "denies", "denied", "without", "never", "negative for", "no evidence of", "absence of")} AS neg, {_sql_trigger("is ruled out", "was ruled out", "unlikely")} AS neg_after,
   {_sql_trigger("history of", "former", "previous", "prior", "past")} AS hist, {_sql_trigger("if", "should", "in case of", "return for")} AS hypo,
@@ -384,11 +393,11 @@ _TAG_SQL = f"""WITH runs AS (SELECT doc_id, unnest(r) AS t, generate_subscripts(
   FROM marked WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  said AS (SELECT *, min(i) FILTER (WHERE neg) OVER c < i OR max(i) FILTER (WHERE neg_after) OVER c > i AS negated, min(i) FILTER (WHERE hist) OVER c < i AS historical, min(i) FILTER (WHERE hypo) OVER c < i AS hypothetical,
   min(i) FILTER (WHERE fam) OVER c < i AS family, min(i) FILTER (WHERE uncert) OVER c < i AS uncertain FROM placed WINDOW c AS (PARTITION BY doc_id, clause))
- SELECT doc_id, sentence_no, start_char, CAST(start_char + length(t) AS INTEGER) AS end_char, t AS term, CASE {" ".join(f"WHEN lower(t) IN ({', '.join(repr(w) for w in words)}) THEN '{label}'" for label, words in _LABELS.items())} END AS label,
-  {", ".join(f"coalesce({a}, FALSE) AS {a}" for a in text.ASSERTIONS)} FROM said WHERE lower(t) IN ({", ".join(repr(w) for words in _LABELS.values() for w in words)})"""
+ SELECT doc_id, sentence_no, start_char, CAST(start_char + length(t) AS INTEGER) AS end_char, t AS term, CASE {" ".join(f"WHEN lower(t) IN ({', '.join(repr(w) for w in words)}) THEN '{label}'" for label, words in labels.items())} END AS label,
+  {", ".join(f"coalesce({a}, FALSE) AS {a}" for a in text.ASSERTIONS)} FROM said WHERE lower(t) IN ({", ".join(repr(w) for words in labels.values() for w in words)})"""
 
 
-@q("tag_entities", _TAG_SQL)
+@q("tag_entities", tag_sql(_LABELS))
 def _(t):
     return text.tag_entities(t.documents, "doc_id", "text", _LABELS).drop("sentence")
 

@@ -10,7 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starweave.functions import measures as M
-from starweave.operators import arrays, joins, quantiles, windows
+from starweave.operators import arrays, joins, quantiles, text, windows
+from starweave.plans.operator_queries import tag_sql
 from starweave.plans.registry import Registry
 from starweave.sources.io import staged
 
@@ -302,10 +303,17 @@ def _(t):
     return u.select("user_id", "days", F.round(C("spent") / F.greatest("days", F.lit(1)), 6).alias("per_day"))
 
 
-@q("Q27", """SELECT lang, status, count(*) AS n, CAST(count_if(toxic = 1) AS BIGINT) AS toxic, round(100.0 * CAST(count_if(toxic = 1) AS DOUBLE) / count(*), 2) AS pct FROM (SELECT doc_id, lang, CASE WHEN strpos(lower(text), 'idiot') > 0 THEN 'CURRENT' ELSE 'NOT_MENTIONED' END AS status FROM documents) JOIN labels USING (doc_id) GROUP BY 1, 2 HAVING count(*) >= 5""")
+_USE = {"USE": ["idiot", "moron", "scum", "the", "und"]}
+
+
+@q("Q27", f"""SELECT lang, status, count(*) AS n, CAST(count_if(toxic = 1) AS BIGINT) AS toxic, round(100.0 * CAST(count_if(toxic = 1) AS DOUBLE) / count(*), 2) AS pct FROM
+ (SELECT doc_id, lang, CASE WHEN bool_or(own AND NOT negated AND NOT historical) THEN 'CURRENT' WHEN bool_or(own AND NOT negated AND historical) THEN 'FORMER' WHEN bool_or(own AND negated) THEN 'DENIES' ELSE 'NOT_MENTIONED' END AS status
+  FROM documents LEFT JOIN (SELECT doc_id, NOT family AND NOT hypothetical AS own, negated, historical FROM ({tag_sql(_USE)})) USING (doc_id) GROUP BY 1, 2) JOIN labels USING (doc_id) GROUP BY 1, 2 HAVING count(*) >= 5""")
 def _(t):
-    status = F.when(F.lower("text").contains("idiot"), "CURRENT").otherwise("NOT_MENTIONED")
-    rows = t.documents.select("doc_id", "lang", status.alias("status")).join(t.labels, "doc_id")
+    # what a text says of the subject's use: its entities, then the strongest statement among them
+    docs = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    status = text.status_levels(text.tag_entities(docs, "doc_id", "text", _USE), "doc_id", docs)
+    rows = docs.select("doc_id", "lang").join(status, "doc_id").join(t.labels, "doc_id")
     return rows.groupBy("lang", "status").agg(F.count("*").alias("n"), F.count_if(C("toxic") == 1).alias("toxic"), M.percent(C("toxic") == 1).alias("pct")).where("n >= 5")
 
 
