@@ -7,10 +7,11 @@ lengths add up per document. Texts are lower-cased (A-Z); byte 0xFF, which no te
 
 Counts come from all training texts, in one aggregation that grows with them, and every symbol counts at every size. What
 tasks get is bounded: the whole trie where it has at most TRIE_NODES symbols an order, else the exact scores of the most
-frequent TRIE_NODES longest symbols. The other symbols of each document then meet the trie in blocks of contexts: a block
-holds all contexts that end in the same order - 2 bytes, so at most 2^24 longest symbols for one such end, and the shorter
-contexts (at most 2^16 symbols at order 4) go to every block. Word counts likewise: at most WORD_NODES words, those with at
-least N / WORD_NODES occurrences, are broadcast; the other words of each document meet their exact counts in a join.
+frequent TRIE_NODES longest symbols. The other symbols of the documents are then scored by joins, each distinct one once
+(`scores`): the trie is a table of symbols and a table of contexts for each order, and a symbol that its context does not
+have asks the next shorter one. Keys are whole symbols, or contexts that at most 2^16 distinct askers share, so no task grows
+with how often a symbol or an end of a context occurs. Word counts likewise: at most WORD_NODES words, those with at least
+N / WORD_NODES occurrences, are broadcast; the other words of each document meet their exact counts in a join.
 
 Edge cases: null and empty texts have one token, the end. Very long texts and words are read whole (words are told apart by
 64-bit hashes). Grams of equal counts are all broadcast or all looked up. With no training document all counts are 0 and the base score
@@ -27,12 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, small_batches
+from .scratch import drop, materialize, small_batches
 from .words import _FOLD, chunks, hash_words, split_words, text_bytes
 
 ORDER, TRIE_NODES, WORD_NODES = 4, 1 << 21, 1 << 22
-#: Longest symbols in one block of contexts, about.
-BLOCK_NODES = 1 << 19
 _END = 0xFF
 _FLUSH = 1 << 22
 
@@ -222,26 +221,6 @@ def _suffix_levels(grams: np.ndarray, counts: np.ndarray, orders) -> list[tuple[
     return levels
 
 
-def _block_scorer(short, order: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (uid, gram, n): first the block's training grams (uid null), then grams to score; sums by uid."""
-        keys, counts, trie = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
-        for batch in batches:
-            asked = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            gram, n = batch.column(1).to_numpy().astype(np.uint64), batch.column(2).to_numpy()
-            if not asked.all():
-                keys.append(gram[~asked])
-                counts.append(n[~asked])
-            if asked.any():
-                if trie is None:
-                    trie = Trie([*short.value, *_suffix_levels(np.concatenate(keys), np.concatenate(counts), range(len(short.value), order + 1))])
-                uid, at = np.unique(batch.column(0).drop_null().to_numpy(), return_inverse=True)
-                sums = np.bincount(at, weights=trie.score(gram[asked]) * n[asked], minlength=len(uid))
-                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(sums)], names=["uid", "s"])
-
-    return score
-
-
 def _scorer(model, words, order: int, end_count: int, tokens: int, vocabulary: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (whole, parts), (known, known_counts) = model.value, words.value
@@ -281,6 +260,68 @@ def _scorer(model, words, order: int, end_count: int, tokens: int, vocabulary: i
     return score
 
 
+def _suffix(key, size: int):
+    """The last size bytes."""
+    return F.col(key).bitwiseAND(F.lit((1 << (8 * size)) - 1))
+
+
+def _tables(grams: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
+    """By order, the symbols (g, n) and the contexts (ctx, n, t) of the trie; from order 1 on with rest_n and rest_t, what the
+    next shorter context has without the context's own symbols. Each order's tables are sums over the next longer ones'."""
+    symbols = [materialize(grams.select(F.col("key").alias("g"), "n"), "symbols")]
+    for k in range(order - 1, -1, -1):
+        symbols.insert(0, materialize(symbols[0].groupBy(_suffix("g", k + 1).alias("g")).agg(F.sum("n").alias("n")), "symbols"))
+    out: list[tuple[DataFrame, DataFrame]] = []
+    for k, own in enumerate(symbols):
+        contexts = own.groupBy(F.shiftrightunsigned("g", 8).alias("ctx")).agg(F.sum("n").alias("n"), F.count("*").alias("t"))
+        if k:
+            shorter, above = symbols[k - 1].select(F.col("g").alias("_g"), F.col("n").alias("_n")), out[k - 1][1].select(F.col("ctx").alias("_ctx"), F.col("n").alias("_n"), F.col("t").alias("_t"))
+            taken = own.join(shorter, _suffix("g", k) == F.col("_g")).groupBy(F.shiftrightunsigned("g", 8).alias("_of")).agg(F.sum("_n").alias("taken"))
+            contexts = contexts.join(taken, F.col("ctx") == F.col("_of")).join(above, _suffix("ctx", k - 1) == F.col("_ctx"))
+            contexts = contexts.select("ctx", "n", "t", (F.col("_n") - F.col("taken")).alias("rest_n"), (F.col("_t") - F.col("t")).alias("rest_t"))
+        out.append((own, materialize(contexts, "contexts")))
+    return out
+
+
+def scores(grams: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, p): log10 probability of the last byte of each distinct asked symbol (key: order + 1 bytes) after the others.
+    grams: (key, n), the training symbols.
+
+    Going down an order, askers become the distinct symbols of one byte less, with the context that they escaped from in front;
+    going up again, each adds what its own escape costs."""
+    trie = _tables(grams, order)
+    known = grams.select(_suffix("key", 1).alias("g")).distinct().count()  # at most 256
+    waiting = asked.select(F.col("key").alias("w")).distinct()
+    levels = []
+    for k in range(order, -1, -1):
+        symbols, contexts = trie[k]
+        rows = waiting.withColumn("g", _suffix("w", k + 1)).withColumn("ctx", F.shiftrightunsigned("g", 8))
+        rows = rows.join(symbols.select("g", F.col("n").alias("c")), "g", "left").join(contexts.select("ctx", "n", "t"), "ctx", "left")
+        fresh, escape = F.log10("c") - F.log10(F.col("n") + F.col("t")), F.log10("t") - F.log10(F.col("n") + F.col("t"))
+        if k < order:
+            came = trie[k + 1][1].select(F.col("ctx").alias("_from"), "rest_n", "rest_t")
+            rows = rows.join(came, F.shiftrightunsigned("w", 8) == F.col("_from"), "left")
+            some = F.col("rest_t") > 0
+            total = F.when(some, F.log10(F.col("rest_n") + F.col("rest_t"))).otherwise(0.0)
+            fresh = F.when(F.col("_from").isNull(), fresh).otherwise(F.log10("c") - total)
+            escape = F.when(F.col("_from").isNull(), escape).otherwise(F.when(some, F.log10("rest_t") - total).otherwise(0.0))
+        done = F.col("c").isNotNull()
+        cost = F.when(done, fresh).otherwise(F.when(F.col("n").isNotNull(), escape).otherwise(0.0))
+        levels.append(materialize(rows.select("w", "g", done.alias("done"), cost.alias("cost")), "asked"))
+        waiting = levels[-1].where("NOT done").select(F.col("g").alias("w")).distinct()
+    below = None
+    for rows in reversed(levels):
+        if below is None:
+            p = F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + F.lit(-float(np.log10(max(1, 256 - known)))))
+            below = rows.select("w", p.alias("p"))
+        else:
+            below = rows.join(below.select(F.col("w").alias("_w"), F.col("p").alias("_p")), (F.col("g") == F.col("_w")) & ~F.col("done"), "left").select("w", (F.col("cost") + F.coalesce("_p", F.lit(0.0))).alias("p"))
+    out = materialize(below.select(F.col("w").alias("key"), "p"), "gram-scores")
+    for table in [*levels, *(t for pair in trie for t in pair)]:
+        drop(table)
+    return out
+
+
 def _counted(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = grams.select("key", "n").toArrow()
     return got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy()
@@ -340,15 +381,10 @@ def score(docs: DataFrame, doc_col="doc_id", text_col="text", order: int = ORDER
     if whole:
         scored = scored.withColumn("by_block", F.lit(0.0))
     else:
-        end = max(0, order - 2)
-        shorter = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * end)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        short = broadcast(_suffix_levels(*_counted(shorter), range(end)))
-        asked = scored.select("uid", F.explode("other").alias("key"), F.lit(1).cast("long").alias("n"))
-        rows = grams.select(F.lit(None).cast("long").alias("uid"), "key", "n").unionByName(asked)
-        block = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * end)) - 1))
-        n_blocks = max(-(-distinct // BLOCK_NODES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-        blocks = rows.repartition(n_blocks, block).sortWithinPartitions(F.col("uid").asc_nulls_first())
-        sums_of = blocks.mapInArrow(_block_scorer(short, order), "uid long, s double").groupBy("uid").agg(F.sum("s").alias("by_block"))
+        # rows sum up by document and symbol before they meet the scores, by the whole symbol
+        each = scored.select("uid", F.explode("other").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("n"))
+        exact = scores(grams, scored.select(F.explode("other").alias("key")), order)
+        sums_of = each.join(exact, "key").groupBy("uid").agg(F.sum(F.col("p") * F.col("n")).alias("by_block"))
         scored = scored.join(sums_of, "uid", "left")
     return scored.join(more, "uid", "left").select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),

@@ -307,7 +307,6 @@ def test_ppm_bounded_broadcast_keeps_every_gram(request, which, nodes, monkeypat
     for r in ppm.score(df).collect():
         exact[r.doc_id].append(r.score)
     monkeypatch.setattr(ppm, "TRIE_NODES", nodes)
-    monkeypatch.setattr(ppm, "BLOCK_NODES", 1000)
     got = collections.defaultdict(list)
     for r in ppm.score(df).collect():
         got[r.doc_id].append(r.score)
