@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starweave.plans import derived, operator_queries, workflow
+from starweave.plans import clinical, derived, operator_queries, workflow
 
-_ALL = (operator_queries.R, derived.R, workflow.R)
+_ALL = (operator_queries.R, derived.R, workflow.R, clinical.R)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
