@@ -77,6 +77,38 @@ def test_a_record_that_was_cut_off_does_not_count(spark, tmp_path):
     assert two.version == 3 and rows(snapshots.read(spark, path)) == [(5, 0)]
 
 
+def test_compaction_packs_small_files_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    text = F.sha2(F.col("id").cast("string"), 256)
+    df = lambda a, b: spark.range(a, b).selectExpr("id", "CASE WHEN id % 4 < 3 THEN id % 4 END AS p").withColumn("s", text).coalesce(1)
+    snapshots.replace(spark, path, df(0, 20000), "p", {"m": "1"})
+    large = {r.file for r in snapshots.files(spark, path).collect()}
+    for i in range(5):
+        snapshots.append(spark, path, df(20000 + 40 * i, 20040 + 40 * i).where("p <> 1 OR p IS NULL"))
+    snapshots.append(spark, path, df(30000, 30040).where("p = 1"))  # one small file of a partition stays
+    listed = snapshots.files(spark, path)
+    assert "ReadSchema: struct<>" in listed._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.n_rows for r in listed.collect()) == spark.read.schema(df(0, 1).schema).parquet(f"{path}/data/*/*").count()
+    before = rows(snapshots.read(spark, path))
+    small = max(r.bytes for r in listed.collect() if r.file not in large) + 1
+    stopping(monkeypatch, snapshots, "publish")
+    with pytest.raises(Stop):
+        snapshots.compact(spark, path, small)
+    assert rows(snapshots.read(spark, path)) == before
+    assert snapshots.compact(spark, path, small) == (4 + 15 + 1, 4 + 3 + 1)
+    assert rows(snapshots.read(spark, path)) == before and snapshots.latest(spark, path).marks == {"m": "1"}
+    assert large <= {r.file for r in snapshots.files(spark, path).collect()}
+    assert snapshots.compact(spark, path, small) == (8, 8)
+    snapshots.vacuum(spark, path, 1)
+    assert rows(snapshots.read(spark, path)) == before
+    # files of several bins
+    for i in range(6):
+        snapshots.append(spark, path, df(40000 + 40 * i, 40040 + 40 * i).where("p = 0"))
+    one = min(r.bytes for r in snapshots.files(spark, path).collect())
+    n = snapshots.files(spark, path).count()
+    assert snapshots.compact(spark, path, small, 3 * one)[1] < n and len(rows(snapshots.read(spark, path))) == len(before) + 60
+
+
 def _sources(spark, facts, dims):
     f = spark.createDataFrame(facts, "id int, k int, v int, updated_ts timestamp")
     d = spark.createDataFrame(dims, "k int, p int, updated_ts timestamp")
