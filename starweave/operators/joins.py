@@ -16,9 +16,10 @@ def asof_last(events: DataFrame, facts: DataFrame, key: str, ts: str, fact_ts: s
     """events with the latest value of facts before each (strictly), no older than max_age_days.
 
     Both sides go once through one sorted window by key: no pair of rows is made, so a key with many rows costs a sort.
+    Rows without a key have no facts, and stay out of the window.
     """
-    left = events.select("*", F.col(ts).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("struct<at:timestamp_ntz,v:double>").alias("_fact"), F.lit(None).cast("long").alias("_tie"))
-    right = facts.select(F.col(key), F.col(fact_ts).alias("_at"), F.lit(1).alias("_side"), F.struct(F.col(fact_ts).cast("timestamp_ntz").alias("at"), F.col(value).cast("double").alias("v")).alias("_fact"), F.col(tie).cast("long").alias("_tie"))
+    left = events.where(F.col(key).isNotNull()).select("*", F.col(ts).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("struct<at:timestamp_ntz,v:double>").alias("_fact"), F.lit(None).cast("long").alias("_tie"))
+    right = facts.where(F.col(key).isNotNull()).select(F.col(key), F.col(fact_ts).alias("_at"), F.lit(1).alias("_side"), F.struct(F.col(fact_ts).cast("timestamp_ntz").alias("at"), F.col(value).cast("double").alias("v")).alias("_fact"), F.col(tie).cast("long").alias("_tie"))
     both = left.unionByName(right, allowMissingColumns=True)
     # at one time events come before facts, so a fact at the event's own time is not "before" it
     w = Window.partitionBy(key).orderBy(F.col("_at").asc_nulls_first(), "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -26,7 +27,8 @@ def asof_last(events: DataFrame, facts: DataFrame, key: str, ts: str, fact_ts: s
     found = F.col("_last.v")
     if max_age_days is not None:
         found = F.when(F.col("_last.at") >= F.col(ts).cast("timestamp_ntz") - F.make_dt_interval(F.lit(max_age_days)), found)
-    return out.withColumn("last_value", found).drop("_at", "_side", "_fact", "_tie", "_last")
+    out = out.withColumn("last_value", found).drop("_at", "_side", "_fact", "_tie", "_last")
+    return out.unionByName(events.where(F.col(key).isNull()).withColumn("last_value", F.lit(None).cast("double")), allowMissingColumns=True)
 
 
 def range_last(events: DataFrame, facts: DataFrame, key: str, ts: str, fact_ts: str, value: str, tie: str, days: int) -> DataFrame:
@@ -47,11 +49,13 @@ def first_after(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: str,
     """anchors with the earliest event at or after each anchor. condition may name columns of both sides and then makes pairs;
     without it, both sides go once through one window by key."""
     if condition is None:
-        side = anchors.select("*", F.col(anchor_ts).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(events.schema[event_ts].dataType).alias("_event"))
-        both = side.unionByName(events.select(F.col(key), F.col(event_ts).alias("_at"), F.lit(1).alias("_side"), F.col(event_ts).alias("_event")).where("_at IS NOT NULL"), allowMissingColumns=True)
+        keyed = F.col(key).isNotNull() & F.col(anchor_ts).isNotNull()  # the others have no event, and stay out of the window
+        side = anchors.where(keyed).select("*", F.col(anchor_ts).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(events.schema[event_ts].dataType).alias("_event"))
+        later = events.where(F.col(key).isNotNull() & F.col(event_ts).isNotNull()).select(F.col(key), F.col(event_ts).alias("_at"), F.lit(1).alias("_side"), F.col(event_ts).alias("_event"))
+        both = side.unionByName(later, allowMissingColumns=True)
         w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        found = F.when(F.col(key).isNotNull() & F.col(anchor_ts).isNotNull(), F.first("_event", ignorenulls=True).over(w))
-        return both.withColumn(out, found).where("_side = 0").drop("_at", "_side", "_event")
+        found = both.withColumn(out, F.first("_event", ignorenulls=True).over(w)).where("_side = 0").drop("_at", "_side", "_event")
+        return found.unionByName(anchors.where(~keyed).withColumn(out, F.lit(None).cast(events.schema[event_ts].dataType)), allowMissingColumns=True)
     e = events.withColumnRenamed(key, "_k")
     on = (F.col(key) == F.col("_k")) & (F.col(event_ts) >= F.col(anchor_ts))
     if condition is not None:

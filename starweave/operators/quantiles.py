@@ -22,6 +22,8 @@ from starweave.sources.io import delete, staged
 ACCURACY = 2000
 #: Values that one bracket holds at the end, at most.
 FEW = 1 << 16
+#: Tables that one task may hold.
+SMALL = 64 << 20
 
 
 def _ranked(p: float, n: str = "n") -> tuple[Column, Column]:
@@ -60,6 +62,25 @@ def exact(df: DataFrame, by: list[str], targets: dict[str, tuple[str, float]], f
     return out.select(*by, *names)
 
 
+def read_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, by the statistics that joins are planned with."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def grouped(df: DataFrame, by: list[str], aggs: list[Column], targets: dict[str, tuple[str, float]], digits: int, small_bytes: int = SMALL) -> DataFrame:
+    """by, aggs and the rounded exact percentiles of each group.
+
+    If all tables that df reads have at most small_bytes together, a group fits in a task, and one aggregation has it all;
+    else df is written once and the percentiles are selected (`exact`). The rows are the same."""
+    if read_bytes(df) <= small_bytes:
+        return df.groupBy(*by).agg(*aggs, *(F.round(F.percentile(F.col(c).cast("double"), F.lit(float(p))), digits).alias(n) for n, (c, p) in targets.items()))
+    rows = staged(df, "values")
+    ranks = exact(rows, by, targets, written=True).withColumnsRenamed({b: f"_of_{b}" for b in by})
+    counts = rows.groupBy(*by).agg(*aggs)
+    return counts.join(ranks, _same(by)).select(*counts.columns, *(F.round(n, digits).alias(n) for n in targets))
+
+
 def _same(by: list[str]) -> Column:
     on = F.lit(True)
     for b in by:

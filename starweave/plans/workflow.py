@@ -37,19 +37,8 @@ def _(t):
  round(quantile_cont(o_totalprice, 0.5), 4) AS median_price, round(quantile_cont(o_totalprice, 0.9), 4) AS p90_price, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS mean_finished FROM orders GROUP BY 1""")
 def _(t):
     done = C("o_orderstatus") == "F"
-    counts = t.orders.groupBy("o_orderpriority").agg(F.count_if(done).alias("finished"), M.percent(done).alias("pct"), F.round(F.avg(F.when(done, C("o_totalprice"))), 4).alias("mean_finished"))
-    ranks = quantiles.exact(t.orders, ["o_orderpriority"], {"median_price": ("o_totalprice", 0.5), "p90_price": ("o_totalprice", 0.9)}, written=True)
-    return _beside(counts, ranks, ["o_orderpriority"])
-
-
-def _beside(counts, ranks, by):
-    """counts and the rounded percentiles of the same groups."""
-    ranks = ranks.withColumnsRenamed({b: f"_{b}" for b in by})
-    on = F.lit(True)
-    for b in by:
-        on = on & C(b).eqNullSafe(C(f"_{b}"))
-    values = [c for c in ranks.columns if not c.startswith("_")]
-    return counts.join(ranks, on).select(*counts.columns, *(F.round(v, 4).alias(v) for v in values))
+    aggs = [F.count_if(done).alias("finished"), M.percent(done).alias("pct"), F.round(F.avg(F.when(done, C("o_totalprice"))), 4).alias("mean_finished")]
+    return quantiles.grouped(t.orders, ["o_orderpriority"], aggs, {"median_price": ("o_totalprice", 0.5), "p90_price": ("o_totalprice", 0.9)}, 4)
 
 
 #: Compaction in a sketch is random: three times the bound that one quantile keeps with 99 % confidence is kept by all groups.
@@ -82,6 +71,13 @@ def _(t):
     return _in_bound(orders, ["year_month", "o_orderpriority"], "o_totalprice", monthly)
 
 
+@q("Q13_selected", """SELECT p_brand, o_orderpriority, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_price, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90_price FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
+def _(t):
+    # whatever the size of the tables: written once, then selected
+    rows = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).join(t.part, C("l_partkey") == C("p_partkey")).select("p_brand", "o_orderpriority", "l_extendedprice")
+    return quantiles.grouped(rows, ["p_brand", "o_orderpriority"], [F.count("*").alias("n")], {"median_price": ("l_extendedprice", 0.5), "p90_price": ("l_extendedprice", 0.9)}, 4, small_bytes=0)
+
+
 @q("percentile_exact", """SELECT event_type, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.999), 6) AS p999 FROM events GROUP BY 1""")
 def _(t):
     # brackets of few values, so that several rounds are needed
@@ -180,10 +176,8 @@ def _(t):
 def _(t):
     rows = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).join(t.part, C("l_partkey") == C("p_partkey"))
     rows = rows.select("p_brand", F.coalesce("o_orderpriority", F.lit("none")).alias("o_orderpriority"), M.duration("o_orderdate", "l_shipdate", "minute").alias("mins")).where("mins >= 0")
-    rows = staged(rows, "turnaround")
-    counts = rows.groupBy("p_brand", "o_orderpriority").agg(F.count("*").alias("n"), M.percent(C("mins") <= 43200).alias("in_month")).where("n >= 20")
-    by = ["p_brand", "o_orderpriority"]
-    return _beside(counts, quantiles.exact(rows, by, {"median_min": ("mins", 0.5), "p90_min": ("mins", 0.9)}, written=True), by)
+    aggs = [F.count("*").alias("n"), M.percent(C("mins") <= 43200).alias("in_month")]
+    return quantiles.grouped(rows, ["p_brand", "o_orderpriority"], aggs, {"median_min": ("mins", 0.5), "p90_min": ("mins", 0.9)}, 4).where("n >= 20")
 
 
 @q("Q14", """WITH a AS (SELECT user_id, min(ts) AS s FROM events WHERE event_type = 'signup' GROUP BY 1), f AS (SELECT a.user_id, s, min(ts) AS p, max(CASE WHEN strpos(props, '1') > 0 THEN 1 ELSE 0 END) AS concordant FROM a LEFT JOIN events e ON e.user_id = a.user_id AND e.event_type = 'purchase' AND e.ts >= s GROUP BY 1, 2)
@@ -263,9 +257,8 @@ def _(t):
  SELECT date_key, count(*) AS users, round(avg(n), 6) AS mean_n, round(quantile_cont(total, 0.5), 4) AS median_total, round(quantile_cont(total, 0.9), 4) AS p90_total FROM w GROUP BY 1""")
 def _(t):
     w = t.events.groupBy("user_id", M.date_key("ts").alias("date_key")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    w = staged(w, "daily-users")
-    counts = w.groupBy("date_key").agg(F.count("*").alias("users"), F.round(F.avg("n"), 6).alias("mean_n"))
-    return _beside(counts, quantiles.exact(w, ["date_key"], {"median_total": ("total", 0.5), "p90_total": ("total", 0.9)}, written=True), ["date_key"])
+    aggs = [F.count("*").alias("users"), F.round(F.avg("n"), 6).alias("mean_n")]
+    return quantiles.grouped(w, ["date_key"], aggs, {"median_total": ("total", 0.5), "p90_total": ("total", 0.9)}, 4)
 
 
 _NET = "sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) - sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END)"
