@@ -20,7 +20,7 @@ Edge cases: lower-casing touches A-Z only. A text with 1 to 4 words is one shing
 words, and nulls, are empty: n_shingles 0, linked with nothing, kept. Very long texts give their whole sets. Repeated rows
 of one id are one document: all their texts count, in whatever order they come, and their classes meet in one component;
 `dedup` keeps one row of it, the one with the least text. Rows with a null id have the component of the rows with an id and
-the same set, else none, and link nothing. Equal similarities are no ties: all links count, and a component is named after its least id. An empty table gives
+the same set, else none, and link nothing. Ids are under 7 * 2^60. Equal similarities are no ties: all links count, and a component is named after its least id. An empty table gives
 an empty one. Extra columns are not read; `dedup` passes them through, whatever their names.
 """
 
@@ -158,27 +158,45 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEY = ["fp1", "fp2", "n_shingles"]
 
 
-def _texts(docs: DataFrame, doc_col: str, text_col: str, signed: DataFrame, members: DataFrame) -> DataFrame:
-    """(cls, text): one text of each class. members: cls, least (its least id) and the key of each class.
+#: Numbers of classes that cannot be named after their least id begin here; ids are below.
+_BEYOND = 7 << 60
 
-    Most ids have one class, so that the id names the text; rows of the other ids are told apart by their sets."""
-    several = signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct(*_KEY)).alias("lo"), F.max(F.struct(*_KEY)).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("least"))
-    several = materialize(several, "several")
+
+def _texts(docs: DataFrame, doc_col: str, text_col: str, several: DataFrame | None, members: DataFrame) -> DataFrame:
+    """(cls, text): one text of each class. members: cls, least (its least id) and the key of each class. several: the ids with
+    more than one class, if there are any; their rows are told apart by their sets, and for all others the id names the text."""
     rows = docs.select(F.col(doc_col).cast("long").alias("least"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    one = rows.join(members.join(several, "least", "left_anti").select("cls", "least"), "least").select("cls", "text")
-    own = members.join(several, "least", "left_semi")
-    keyed = rows.join(own.select("least").distinct(), "least", "left_semi").mapInArrow(_keyed, "fp1 long, fp2 long, n_shingles int, text string")
-    texts = materialize(one.unionByName(keyed.join(own.select("cls", *_KEY), _KEY).select("cls", "text")).dropDuplicates(["cls"]), "texts")
-    drop(several)
-    return texts
+    one = members if several is None else members.join(several, F.col("least") == F.col("doc_id"), "left_anti")
+    texts = rows.join(one.select("cls", "least"), "least").dropDuplicates(["least"]).select("cls", "text")  # by the join's key: one shuffle
+    if several is not None:
+        own = members.join(several, F.col("least") == F.col("doc_id"), "left_semi")
+        keyed = rows.join(own.select("least").distinct(), "least", "left_semi").mapInArrow(_keyed, "fp1 long, fp2 long, n_shingles int, text string")
+        texts = texts.unionByName(keyed.join(own.select("cls", *_KEY), _KEY).dropDuplicates(["cls"]).select("cls", "text"))
+    return materialize(texts, "texts")
+
+
+def _classes(filled: DataFrame, several: DataFrame | None) -> DataFrame:
+    """One row a class: its key, least id, halves, sketch, and cls, its number: the least id, or, where an id is the least of
+    several classes, that of the first only, and a number beyond all ids for the others (the id links them with the first)."""
+    reps = filled.groupBy(_KEY).agg(F.min("doc_id").alias("least"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+    if several is None:
+        return materialize(reps.withColumn("cls", F.col("least")), "classes")
+    reps = materialize(reps, "classes")
+    first = reps.groupBy(F.col("least").alias("_least")).agg(F.min(F.struct(*_KEY)).alias("_first"))
+    named = reps.join(first, F.col("least") == F.col("_least"))
+    cls = F.when(F.struct(*_KEY) == F.col("_first"), F.col("least")).otherwise(F.lit(_BEYOND) + F.monotonically_increasing_id())
+    out = materialize(named.select(*reps.columns, cls.alias("cls")), "classes")
+    drop(reps)
+    return out
 
 
 def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id."""
     signed = materialize(signatures(docs, doc_col, text_col), "signatures")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = filled.groupBy(_KEY).agg(F.min("doc_id").alias("least"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
-    reps = materialize(reps.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    repeated = materialize(filled.groupBy("doc_id").agg(F.min(F.struct(*_KEY)).alias("lo"), F.max(F.struct(*_KEY)).alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    several = None if repeated.isEmpty() else repeated
+    reps = _classes(filled, several)
 
     half = reps.select("cls", "n_shingles", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
@@ -190,10 +208,11 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int
     buckets = materialize(rows.join(centre, "key").select("key", "cls", "n_shingles", "centre"), "buckets")
 
     members = reps.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "least", *_KEY)
-    texts = _texts(docs, doc_col, text_col, signed, members)
+    texts = _texts(docs, doc_col, text_col, several, members)
 
     star = buckets.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(_links(star, texts), "confirmed")
+    found = [links]
     label = materialize(components(links, "a", "b"), "labels")
 
     named = buckets.join(label, buckets["cls"] == label["node"], "left").select("key", "cls", "n_shingles", F.coalesce("component", "cls").alias("comp"))
@@ -235,18 +254,19 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int
     across = across.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(_links(across.join(tried, ["a", "b"], "left_anti"), texts), "confirmed")
-    # the classes of one id are one document: each is linked with the first
-    classed = filled.select("doc_id", *_KEY).distinct().join(reps.select(*_KEY, "cls"), _KEY).select("doc_id", "cls")
-    same_id = classed.join(classed.groupBy("doc_id").agg(F.min("cls").alias("b")), "doc_id").where("cls > b").select(F.col("cls").alias("a"), "b").distinct()
-    label = materialize(components(links.union(more).union(same_id), "a", "b"), "labels")
-
-    # a component is named after its least id
-    named = reps.join(label, reps["cls"] == label["node"], "left").select(*_KEY, "least", F.coalesce("component", "cls").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(least, "comp").select(*_KEY, "component_id"), "named")
-    for table in (reps, own, buckets, texts, links, rest, rare, held, about, more, label):
-        drop(table)  # the result reads signatures and names only
-    return signed.join(named, _KEY, "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found.append(more)
+    links = links.union(more)
+    if several is not None:
+        # the classes of one id are one document: each is linked with the first
+        classed = filled.select("doc_id", *_KEY).join(several, "doc_id", "left_semi").distinct().join(reps.select(*_KEY, "cls"), _KEY).select("doc_id", "cls")
+        links = links.union(classed.join(classed.groupBy("doc_id").agg(F.min("cls").alias("b")), "doc_id").where("cls > b").select(F.col("cls").alias("a"), "b").distinct())
+    label = materialize(components(links, "a", "b"), "labels")
+
+    named = materialize(reps.select(*_KEY, "cls"), "named")
+    for table in (reps, own, buckets, texts, *found, rest, rare, held, about, repeated):
+        drop(table)  # the result reads signatures, names and labels only
+    named = signed.join(named, _KEY, "left")
+    return named.join(label, named["cls"] == label["node"], "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "cls", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int = BLOCK_ROWS) -> DataFrame:
