@@ -67,7 +67,7 @@ def test_manifest_is_brute_force(spark):
     # columns of clashing names do not matter, nor does the number of partitions
     extra = df.selectExpr("*", "'x' AS digest", "1 AS pos", "2 AS grp", "'y' AS leaf", "0 AS uid").repartition(2)
     assert result(extra) == brute(EDGE)
-    for n in (0, 1, 2, 3, 4, 9, 10):
+    for n in (0, 1, 2, 4, 10):
         assert result(spark.createDataFrame(EDGE[:n], SCHEMA)) == brute(EDGE[:n])
     assert result(spark.createDataFrame([(i, "one", None, None, "") for i in range(28)], SCHEMA)) == brute([(i, "one", None, None, "") for i in range(28)])
 
