@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,36 +65,50 @@ def first_after(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: str,
     return anchors.join(e, on, "left").groupBy(*anchors.columns).agg(F.min(event_ts).alias(out))
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct runs of n characters; a search that starts inside a surrogate pair finds its second half, which begins no run."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}].{%d}))" % (n - 1)), F.lit(1)))
+#: Texts are cut into pieces of about so many characters before their blocks are taken: no array of blocks grows with a text.
+PIECE_CHARS = 4096
+#: Phrases of so many characters in all are broadcast; beyond that, blocks are joined by shuffles.
+BROADCAST_CHARS = 500_000
+
+
+def _blocks(text: Column, n: int) -> Column:
+    """Distinct runs of n characters that begin at every n-th character; what is left at the end is none."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s).{%d}" % n), F.lit(0)))
 
 
 def containment(texts: DataFrame, phrases: DataFrame, text: str, phrase: str, on: list[str] | None = None, n: int = 3) -> DataFrame:
     """Pairs of a text and a phrase that is part of it (case counts), beside equal values of the columns in on.
 
-    An inverted index makes the candidates: each phrase is entered once, under the one of its n-character runs that the fewest
-    texts hold; texts look up their own runs among these entries. A phrase with a run that no text holds is gone before. So a
-    candidate pair shares the phrase's rarest run, and only such pairs are compared in full. Phrases of fewer than n
-    characters are entered under all of themselves, and looked up by runs of that length, if there are any. Empty and null
-    phrases are in no text. Columns of both sides stay; names must differ but for those in on. The sides are read twice.
+    An inverted index makes the candidates. Texts are cut into blocks of k characters. Wherever a phrase of 2k - 1 characters or
+    more begins in a text, it covers a whole block; k is n, or less for phrases too short for that. So a phrase is entered k
+    times: for each place of its first whole block under the block from there on that the fewest texts hold, or not at all where
+    no text holds one of them. Only hashes go with the blocks: candidates meet the whole texts and phrases once, and are compared
+    in full. Empty and null phrases are in no text. Columns of both sides stay, equal rows as many; names must differ but for
+    those in on. The sides are read more than once.
     """
     on = on or []
     words = phrases.where(F.length(phrase) > 0)
-    lengths = [r[0] for r in words.select(F.least(F.length(phrase), F.lit(n)).alias("n")).distinct().collect()]  # at most n numbers
-    if not lengths:
+    width = F.least(F.lit(n), F.floor((F.length(phrase) + 1) / 2).cast("int"))
+    chars = {r[0]: r[1] for r in words.groupBy(width).agg(F.sum(F.length(phrase))).collect()}  # at most n rows
+    if not chars:
         return texts.join(words.drop(*on), F.lit(False))
-    runs = lambda c: F.array_distinct(F.flatten(F.array(*(_grams(F.col(c), k) for k in sorted(lengths)))))
-    own = words.withColumn("_gram", F.explode(F.when(F.length(phrase) < n, F.array(phrase)).otherwise(_grams(F.col(phrase), n))))
-    asked = own.select(*on, "_gram").distinct()
-    # how many texts hold each run that any phrase has
-    held = texts.select(*on, F.explode(runs(text)).alias("_gram")).groupBy(*on, "_gram").agg(F.count("*").alias("_held")).join(asked, [*on, "_gram"], "left_semi")
-    row = F.struct(*on, *(c for c in words.columns if c not in on))
-    entry = own.join(held, [*on, "_gram"], "left").groupBy(row.alias("_row")).agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), F.col("_gram").alias("gram"))).alias("_least"), F.count("*").alias("_all"))
-    copies = words.groupBy(row.alias("_row")).agg(F.count("*").alias("_copies"))  # rows that are equal stay as many
-    entry = entry.where("_least.held > 0").join(copies, "_row").select("_row.*", F.col("_least.gram").alias("_gram"), F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_one")).drop("_one")
-    found = texts.select("*", F.explode(runs(text)).alias("_gram")).join(entry, [*on, "_gram"])
-    return found.where(F.contains(F.col(text), F.col(phrase))).drop("_gram")
+    # blocks of texts look as small as the texts' files to the planner, but must never be what is broadcast
+    side = F.broadcast if sum(chars.values()) <= BROADCAST_CHARS else lambda df: df.hint("merge")
+    text_key, phrase_key = F.sha2(text, 256).alias("_text"), F.sha2(phrase, 256).alias("_phrase")
+    whole = math.lcm(*chars)  # no block lies in two pieces
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % (whole * max(1, PIECE_CHARS // whole))), F.lit(0))
+    blocks = F.flatten(F.array(*(_blocks(F.col("_piece"), k) for k in sorted(chars))))
+    parts = texts.select(*on, text_key, F.explode(pieces).alias("_piece")).select(*on, "_text", F.explode(blocks).alias("_gram"))
+
+    by_place = F.coalesce(*(F.when(width == k, F.array(*(_blocks(F.substr(F.col(phrase), F.lit(at + 1)), k) for at in range(k)))) for k in sorted(chars)))
+    own = words.select(*on, phrase).distinct().select(*on, phrase_key, F.posexplode(by_place).alias("_at", "_own")).select(*on, "_phrase", "_at", F.explode("_own").alias("_gram"))
+    # how many pieces of texts hold each block that any phrase has
+    held = parts.join(side(own.select(*on, "_gram").distinct()), [*on, "_gram"], "left_semi").groupBy(*on, "_gram").agg(F.count("*").alias("_held"))
+    entry = own.join(held, [*on, "_gram"], "left").groupBy(*on, "_phrase", "_at").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), F.col("_gram").alias("gram"))).alias("_least"))
+    entry = entry.where("_least.held > 0").select(*on, "_phrase", F.col("_least.gram").alias("_gram"))
+    found = parts.join(side(entry), [*on, "_gram"]).select(*on, "_text", "_phrase").distinct()
+    pairs = texts.withColumn("_text", text_key).join(found, [*on, "_text"]).join(words.withColumn("_phrase", phrase_key), [*on, "_phrase"])
+    return pairs.where(F.contains(F.col(text), F.col(phrase))).drop("_text", "_phrase")
 
 
 def full_merge(frames: dict[str, DataFrame], keys: list[str], zero: list[str]) -> DataFrame:

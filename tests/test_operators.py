@@ -1,7 +1,10 @@
 """Operators on small tables with results worked out by hand."""
 
 import datetime as dt
+import itertools
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -283,3 +286,30 @@ def test_overlay_keeps_untouched_partitions(spark):
     new = spark.createDataFrame([(1, 7, 1)], "k long, v long, bucket long")  # 9 is gone
     out = refresh.overlay(refresh.carry_forward(new, old, touched, "k", "bucket", of_key), old, touched, "k", "bucket", of_key)
     assert sorted((r.k, r.v) for r in out.collect()) == [(i, 7 if i == 1 else 0) for i in range(9)]
+
+
+def test_containment_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PIECE_CHARS", 12)  # texts of several pieces
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("ab\né😀") for _ in range(n))
+    texts = [(i, i % 2, some(rng.randint(0, 60))) for i in range(60)] + [(60, 0, None), (61, 1, "abab" * 9), (61, 1, "abab" * 9), (62, None, "aaa")]
+    phrases = [(i, i % 2, some(rng.randint(0, 4) if i % 3 else rng.randint(5, 9))) for i in range(80)] + [(80, 1, "abab"), (80, 1, "abab"), (81, 0, None), (82, None, "a")]
+    phrases += [(100 + i, g, t[k : k + 11]) for i, (_, g, t) in enumerate(texts[:60]) for k in [i % 13]]
+    a, b = spark.createDataFrame(texts, "t int, g int, text string"), spark.createDataFrame(phrases, "p int, g int, phrase string")
+    for n, on, most in itertools.product((1, 3, 4), ([], ["g"]), (0, 500_000)):
+        if most or n == 3:
+            monkeypatch.setattr(joins, "BROADCAST_CHARS", most)
+            right = b if on else b.withColumnRenamed("g", "h")
+            got = joins.containment(a, right, "text", "phrase", on, n).select("t", "p").collect()
+            want = [(t, p) for t, g, x in texts for p, h, y in phrases if x and y and y in x and (not on or g is not None and g == h)]
+            assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_containment_keeps_runs_and_texts_apart(spark):
+    # a text goes along with its candidates, not with each of its runs
+    a = spark.createDataFrame([(1, "some words " * 4_000 + "the end of a long text"), (2, "the end")], "t int, text string")
+    b = spark.createDataFrame([(1, "the end of a long text"), (2, "words some"), (3, "absent from all texts"), (4, "end")], "p int, phrase string")
+    out = joins.containment(a, b, "text", "phrase", n=8)
+    made = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x and "[_gram#" in x]
+    assert made and all(re.search(r", \[[\d, ]+\], false, \[_gram#", x) for x in made)  # the exploded array's columns end there
+    assert sorted(map(tuple, out.select("t", "p").collect())) == [(1, 1), (1, 2), (1, 4), (2, 4)]
