@@ -12,7 +12,8 @@ HALF_HASHES hashes. A pair of similarity 0.75 shares no table key with probabili
    across components are confirmed by their sets too, and components formed anew. Such a pair shares a shingle with at most
    RARE holders, and is found by it, or its intersection has common shingles only, and must fit into what either side has
    of those: copies of one line or passage in else different texts end there. Signatures of both must agree in at least
-   MIN_AGREE places (lost at 0.75: under 3e-5). No bucket, group or candidate list has a cap.
+   MIN_AGREE places (lost at 0.75: under 3e-5). The largest component of an open bucket is not compared with itself, and a
+   member outside it meets it bucket by bucket or all of it once, whichever is less. No bucket, group or candidate list has a cap.
 
 Words and shingles are compared by 64-bit hashes, in which all bytes of a word count, however long it is.
 
@@ -44,7 +45,7 @@ HALVES, HALF_HASHES = 24, 3
 RARE = 16
 #: Of the 72 four-bit places of two signatures, at least so many agree.
 MIN_AGREE = 40
-#: Members of an open bucket that one task compares with as many others.
+#: Members of one side of a meeting that one task compares with as many of the other.
 BLOCK_ROWS = 4096
 _N = HALVES * HALF_HASHES
 _rng = np.random.default_rng(4711)
@@ -190,6 +191,50 @@ def _classes(filled: DataFrame, several: DataFrame | None) -> DataFrame:
     return out
 
 
+#: Where two sides meet: a loose member with all of a main component, or with its part in one bucket, or loose ones of a bucket.
+MAIN, BUCKET, LOOSE = 0, 1, 2
+
+
+def _meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows: (key, cls, comp), the members of the open buckets. Two tables (kind, id, cls) in which each pair of one bucket whose
+    components differ meets by an equal (kind, id): the main component of a bucket, the one with most members there, is not
+    compared with itself, and where a loose member would meet a main component in bucket after bucket, as often as that has
+    members or more, it meets each of these once instead, whatever the buckets."""
+    size = rows.groupBy("key", "comp").agg(F.count("*").alias("s"))
+    main = size.groupBy("key").agg(F.max(F.struct("s", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"), F.col("m.s").alias("s"))
+    rows = materialize(rows.join(main, "key"), "placed")
+    loose, inner = rows.where("comp <> main"), rows.where("comp = main")
+    members = inner.select("main", "cls").distinct()
+    asked = loose.groupBy("cls", "main").agg(F.sum("s").alias("cost")).join(members.groupBy("main").agg(F.count("*").alias("n")), "main").where("cost >= n").select("cls", "main")
+    asked = materialize(asked, "asked")
+    single = loose.join(asked, ["cls", "main"], "left_anti")
+    mixed = loose.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    among = loose.join(mixed, "key", "left_semi")
+    of = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"), "cls")
+    left = of(asked, MAIN, "main").union(of(single, BUCKET, "key")).union(of(among, LOOSE, "key"))
+    right = of(members.join(asked.select("main").distinct(), "main", "left_semi"), MAIN, "main")
+    right = right.union(of(inner.join(single.select("key").distinct(), "key", "left_semi"), BUCKET, "key")).union(of(among, LOOSE, "key"))
+    left, right = materialize(left, "left"), materialize(right, "right")
+    drop(rows)
+    drop(asked)
+    return left, right
+
+
+def _cells(left: DataFrame, right: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the cell in which a row meets the other side's: large sides are dealt out in blocks, and each pair of
+    blocks meets in a task of its own."""
+    large = lambda df, c: df.groupBy("kind", "id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(c)).where(F.col(c) > 1)
+    large_left, large_right = large(left, "m"), large(right, "n")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.join(large_left, ["kind", "id"], "left").join(large_right, ["kind", "id"], "left").fillna(1, ["m", "n"])
+        df = df.withColumn("own", F.pmod(F.xxhash64("cls"), F.col(own)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"))
+        i, j = ("own", "other") if own == "m" else ("other", "own")
+        return df.select("cls", F.struct("kind", "id", F.col(i).alias("i"), F.col(j).alias("j")).alias("cell"))
+
+    return dealt(left, "m", "n"), dealt(right, "n", "m")
+
+
 def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id."""
     signed = materialize(signatures(docs, doc_col, text_col), "signatures")
@@ -231,27 +276,20 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int
     def side(rows: DataFrame, key: str, tag: str) -> DataFrame:
         return rows.select(key, *(F.col(c).alias(f"{c}_{tag}") for c in ("cls", "n_shingles", "comp", "sketch", "common", "h")))
 
-    near = (
-        (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b"))
-        & (100 * F.least("n_shingles_a", "n_shingles_b") >= 75 * F.greatest("n_shingles_a", "n_shingles_b"))
-    )
+    apart = (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= 75 * F.greatest("n_shingles_a", "n_shingles_b"))
+    alike = _agree("sketch_a", "sketch_b") >= MIN_AGREE
     # without a rare shingle in common: 175 * intersection >= 75 * (size + size) must fit into what is common
-    fits = near & (175 * F.least("common_a", "common_b") >= 75 * (F.col("n_shingles_a") + F.col("n_shingles_b"))) & (_agree("sketch_a", "sketch_b") >= MIN_AGREE)
+    fits = apart & (175 * F.least("common_a", "common_b") >= 75 * (F.col("n_shingles_a") + F.col("n_shingles_b"))) & alike
     both = F.array_intersect("h_a", "h_b")
     first = F.xxhash64(both[0], both[1])  # of the keys that a pair shares, only the first makes a row
-    wide = rest.select("key", "cls").join(about.where("100 * common >= 75 * n_shingles"), "cls")
-    # a large bucket is dealt out in blocks: each pair of blocks meets in a task of its own
-    large = wide.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
-    wide = wide.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    wide = wide.select("*", every.alias("other"))
-    x = side(wide.withColumn("cell", F.struct("key", F.col("block").alias("i"), F.col("other").alias("j"))), "cell", "a")
-    y = side(wide.withColumn("cell", F.struct("key", F.col("other").alias("i"), F.col("block").alias("j"))), "cell", "b")
-    across = x.join(y, (x["cell"] == y["cell"]) & fits & (first == x["cell"]["key"])).select("cls_a", "cls_b")
+    left, right = _meetings(rest.select("key", "cls", "comp").join(about.where("100 * common >= 75 * n_shingles").select("cls"), "cls"))
+    x, y = _cells(left, right, block_rows)
+    x, y = side(x.join(about, "cls"), "cell", "a"), side(y.join(about, "cls"), "cell", "b")
+    once = ((x["cell"]["kind"] == MAIN) | (first == x["cell"]["id"])) & ((x["cell"]["kind"] != LOOSE) | (F.col("cls_a") < F.col("cls_b")))
+    across = x.join(y, (x["cell"] == y["cell"]) & fits & once).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
     shared = held.join(about, "cls")
     x, y = side(shared, "gram", "a"), side(shared, "gram", "b")
-    across = across.union(x.join(y, (x["gram"] == y["gram"]) & near & (_agree("sketch_a", "sketch_b") >= MIN_AGREE)).select("cls_a", "cls_b"))
-    across = across.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    across = across.union(x.join(y, (x["gram"] == y["gram"]) & (F.col("cls_a") < F.col("cls_b")) & apart & alike).select("cls_a", "cls_b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(_links(across.join(tried, ["a", "b"], "left_anti"), texts), "confirmed")
     found.append(more)
@@ -263,7 +301,7 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int
     label = materialize(components(links, "a", "b"), "labels")
 
     named = materialize(reps.select(*_KEY, "cls"), "named")
-    for table in (reps, own, buckets, texts, *found, rest, rare, held, about, repeated):
+    for table in (reps, own, buckets, texts, *found, rest, rare, held, about, left, right, repeated):
         drop(table)  # the result reads signatures, names and labels only
     named = signed.join(named, _KEY, "left")
     return named.join(label, named["cls"] == label["node"], "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "cls", "doc_id").alias("component_id"))

@@ -84,3 +84,32 @@ def test_recall_of_sampled_queries(spark):
     asked = [d for d in sets if d % 100 == 0]
     links = [(q, d) for q in asked for d in sets if q != d and sets[q] and sets[d] and 100 * len(sets[q] & sets[d]) >= 75 * len(sets[q] | sets[d])]
     assert links and all(got[q] == got[d] for q, d in links)
+
+
+def _met(rows, left, right, block_rows):
+    """The pairs that meet in a cell, and the rows of both sides."""
+    x, y = (df.collect() for df in neardup._cells(left, right, block_rows))
+    cells = {}
+    for r in x:
+        cells.setdefault(r.cell, ([], []))[0].append(r.cls)
+    for r in y:
+        cells.setdefault(r.cell, ([], []))[1].append(r.cls)
+    return {tuple(sorted((a, b))) for p, q in cells.values() for a in p for b in q if a != b}, len(x) + len(y)
+
+
+@pytest.mark.parametrize("block_rows", [4096, 3])
+def test_pairs_across_components_meet(spark, block_rows):
+    rng = random.Random(5)
+    comp = {c: rng.choice([1, 1, 1, 1, 2, 3, c]) for c in range(40)}
+    rows = sorted({(rng.randint(0, 25) // rng.randint(1, 3), c, comp[c]) for c in comp for _ in range(8)})
+    got, _ = _met(rows, *neardup._meetings(spark.createDataFrame(rows, "key long, cls long, comp long")), block_rows)
+    want = {tuple(sorted((a, b))) for k, a, c in rows for m, b, d in rows if k == m and c != d}
+    assert want and want <= got
+
+
+def test_a_large_component_is_not_dealt_out_by_bucket(spark):
+    # one component in 50 buckets, and two documents outside it: 50 * 42 rows for each side where buckets are compared whole
+    rows = [(k, c, 1) for k in range(50) for c in range(40)] + [(k, 100, 100) for k in range(50)] + [(0, 200, 200)]
+    got, n = _met(rows, *neardup._meetings(spark.createDataFrame(rows, "key long, cls long, comp long")), 4096)
+    assert got == {(c, 100) for c in range(40)} | {(c, 200) for c in range(40)} | {(100, 200)}
+    assert n <= 2 + 40 + 40 + 4
