@@ -204,7 +204,7 @@ def _meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     main = size.groupBy("key").agg(F.max(F.struct("s", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"), F.col("m.s").alias("s"))
     rows = materialize(rows.join(main, "key"), "placed")
     loose, inner = rows.where("comp <> main"), rows.where("comp = main")
-    members = inner.select("main", "cls").distinct()
+    members = materialize(inner.select("main", "cls").distinct(), "members")  # else joins are pushed below the distinct, to a row a bucket
     asked = loose.groupBy("cls", "main").agg(F.sum("s").alias("cost")).join(members.groupBy("main").agg(F.count("*").alias("n")), "main").where("cost >= n").select("cls", "main")
     asked = materialize(asked, "asked")
     single = loose.join(asked, ["cls", "main"], "left_anti")
@@ -215,8 +215,8 @@ def _meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = of(members.join(asked.select("main").distinct(), "main", "left_semi"), MAIN, "main")
     right = right.union(of(inner.join(single.select("key").distinct(), "key", "left_semi"), BUCKET, "key")).union(of(among, LOOSE, "key"))
     left, right = materialize(left, "left"), materialize(right, "right")
-    drop(rows)
-    drop(asked)
+    for table in (rows, members, asked):
+        drop(table)
     return left, right
 
 

@@ -113,3 +113,31 @@ def test_a_large_component_is_not_dealt_out_by_bucket(spark):
     got, n = _met(rows, *neardup._meetings(spark.createDataFrame(rows, "key long, cls long, comp long")), 4096)
     assert got == {(c, 100) for c in range(40)} | {(c, 200) for c in range(40)} | {(100, 200)}
     assert n <= 2 + 40 + 40 + 4
+
+
+def _join_rows(spark, condition, run):
+    """Rows made by the joins that have condition in their description, while run() ran."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, made = store.executionsCount(), 0
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for i in range(before, runs.size()):
+        at = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for n in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in n.name() and condition in n.desc():
+                metrics = n.metrics()
+                rows = [m for m in (metrics.apply(j) for j in range(metrics.size())) if m.name() == "number of output rows"]
+                made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in rows if values.contains(m.accumulatorId()))
+    return made
+
+
+def test_members_of_a_main_component_are_joined_once_not_once_a_bucket(spark):
+    rows = [(k, c, 1) for k in range(50) for c in range(40)] + [(k, 100, 100) for k in range(50)] + [(0, 200, 200)]
+    df = spark.createDataFrame(rows, "key long, cls long, comp long")
+    made = _join_rows(spark, "LeftSemi", lambda: neardup._meetings(df))
+    alone = _join_rows(spark, "LeftSemi", lambda: df.where("key = 0").join(df.where("key = 1").select("cls"), "cls", "left_semi").collect())
+    assert alone == 41  # the count sees semi-joins
+    assert 40 <= made <= 40 + 4  # 2,000 bucket rows of the component before
