@@ -195,14 +195,17 @@ def _classes(filled: DataFrame, several: DataFrame | None) -> DataFrame:
 MAIN, BUCKET, LOOSE = 0, 1, 2
 
 
-def _meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _meetings(rows: DataFrame) -> tuple[DataFrame, ...]:
     """rows: (key, cls, comp), the members of the open buckets. Two tables (kind, id, cls) in which each pair of one bucket whose
     components differ meets by an equal (kind, id): the main component of a bucket, the one with most members there, is not
     compared with itself, and where a loose member would meet a main component in bucket after bucket, as often as that has
-    members or more, it meets each of these once instead, whatever the buckets."""
+    members or more, it meets each of these once instead, whatever the buckets. No table if no bucket has two components."""
     size = rows.groupBy("key", "comp").agg(F.count("*").alias("s"))
     main = size.groupBy("key").agg(F.max(F.struct("s", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"), F.col("m.s").alias("s"))
     rows = materialize(rows.join(main, "key"), "placed")
+    if rows.isEmpty():
+        drop(rows)
+        return ()
     loose, inner = rows.where("comp <> main"), rows.where("comp = main")
     members = materialize(inner.select("main", "cls").distinct(), "members")  # else joins are pushed below the distinct, to a row a bucket
     asked = loose.groupBy("cls", "main").agg(F.sum("s").alias("cost")).join(members.groupBy("main").agg(F.count("*").alias("n")), "main").where("cost >= n").select("cls", "main")
@@ -235,6 +238,43 @@ def _cells(left: DataFrame, right: DataFrame, block_rows: int) -> tuple[DataFram
     return dealt(left, "m", "n"), dealt(right, "n", "m")
 
 
+def _across(rest: DataFrame, texts: DataFrame, sketches: DataFrame, own: DataFrame, star: DataFrame, block_rows: int) -> DataFrame:
+    """The confirmed links (a, b) between components in the open buckets, rest: (key, cls, n_shingles, comp)."""
+    # how many holders among the open documents a shingle has: up to RARE, pairs come from the shingle itself; what a
+    # document has of the others bounds every other intersection
+    grams = texts.join(rest.select("cls").distinct(), "cls", "left_semi").mapInArrow(_grams, "cls long, gram long")
+    rare = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("cls").alias("one")).where(F.col("n") <= RARE), "rare")
+    alone = rare.where("n = 1").groupBy(F.col("one").alias("cls")).agg(F.count("*").cast("int").alias("alone"))
+    held = materialize(grams.join(rare.where("n > 1").select("gram"), "gram"), "rare")
+    some = held.groupBy("cls").agg(F.count("*").cast("int").alias("held"))
+    about = rest.select("cls", "n_shingles", "comp").distinct().join(alone, "cls", "left").join(some, "cls", "left").join(sketches, "cls").join(own.select("cls", "h"), "cls")
+    about = materialize(about.withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.coalesce("held", F.lit(0))).drop("alone", "held"), "open")
+
+    def side(rows: DataFrame, key: str, tag: str) -> DataFrame:
+        return rows.select(key, *(F.col(c).alias(f"{c}_{tag}") for c in ("cls", "n_shingles", "comp", "sketch", "common", "h")))
+
+    apart = (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= 75 * F.greatest("n_shingles_a", "n_shingles_b"))
+    alike = _agree("sketch_a", "sketch_b") >= MIN_AGREE
+    # without a rare shingle in common: 175 * intersection >= 75 * (size + size) must fit into what is common
+    fits = apart & (175 * F.least("common_a", "common_b") >= 75 * (F.col("n_shingles_a") + F.col("n_shingles_b"))) & alike
+    both = F.array_intersect("h_a", "h_b")
+    first = F.xxhash64(both[0], both[1])  # of the keys that a pair shares, only the first makes a row
+    shared = held.join(about, "cls")
+    x, y = side(shared, "gram", "a"), side(shared, "gram", "b")
+    across = x.join(y, (x["gram"] == y["gram"]) & (F.col("cls_a") < F.col("cls_b")) & apart & alike).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+    met = _meetings(rest.select("key", "cls", "comp").join(about.where("100 * common >= 75 * n_shingles").select("cls"), "cls"))
+    if met:
+        x, y = _cells(*met, block_rows)
+        x, y = side(x.join(about, "cls"), "cell", "a"), side(y.join(about, "cls"), "cell", "b")
+        once = ((x["cell"]["kind"] == MAIN) | (first == x["cell"]["id"])) & ((x["cell"]["kind"] != LOOSE) | (F.col("cls_a") < F.col("cls_b")))
+        across = across.union(x.join(y, (x["cell"] == y["cell"]) & fits & once).select(F.least("cls_a", "cls_b"), F.greatest("cls_a", "cls_b")))
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialize(_links(across.distinct().join(tried, ["a", "b"], "left_anti"), texts), "confirmed")
+    for table in (rare, held, about, *met):
+        drop(table)
+    return more
+
+
 def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id."""
     signed = materialize(signatures(docs, doc_col, text_col), "signatures")
@@ -263,45 +303,22 @@ def classes(docs: DataFrame, doc_col="doc_id", text_col="text", block_rows: int
     named = buckets.join(label, buckets["cls"] == label["node"], "left").select("key", "cls", "n_shingles", F.coalesce("component", "cls").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = materialize(named.join(open_keys, "key", "left_semi"), "open")
-    # how many holders among the open documents a shingle has: up to RARE, pairs come from the shingle itself; what a
-    # document has of the others bounds every other intersection
-    grams = texts.join(rest.select("cls").distinct(), "cls", "left_semi").mapInArrow(_grams, "cls long, gram long")
-    rare = materialize(grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("cls").alias("one")).where(F.col("n") <= RARE), "rare")
-    alone = rare.where("n = 1").groupBy(F.col("one").alias("cls")).agg(F.count("*").cast("int").alias("alone"))
-    held = materialize(grams.join(rare.where("n > 1").select("gram"), "gram"), "rare")
-    some = held.groupBy("cls").agg(F.count("*").cast("int").alias("held"))
-    about = rest.select("cls", "n_shingles", "comp").distinct().join(alone, "cls", "left").join(some, "cls", "left").join(reps.select("cls", "sketch"), "cls").join(own.select("cls", "h"), "cls")
-    about = materialize(about.withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.coalesce("held", F.lit(0))).drop("alone", "held"), "open")
-
-    def side(rows: DataFrame, key: str, tag: str) -> DataFrame:
-        return rows.select(key, *(F.col(c).alias(f"{c}_{tag}") for c in ("cls", "n_shingles", "comp", "sketch", "common", "h")))
-
-    apart = (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= 75 * F.greatest("n_shingles_a", "n_shingles_b"))
-    alike = _agree("sketch_a", "sketch_b") >= MIN_AGREE
-    # without a rare shingle in common: 175 * intersection >= 75 * (size + size) must fit into what is common
-    fits = apart & (175 * F.least("common_a", "common_b") >= 75 * (F.col("n_shingles_a") + F.col("n_shingles_b"))) & alike
-    both = F.array_intersect("h_a", "h_b")
-    first = F.xxhash64(both[0], both[1])  # of the keys that a pair shares, only the first makes a row
-    left, right = _meetings(rest.select("key", "cls", "comp").join(about.where("100 * common >= 75 * n_shingles").select("cls"), "cls"))
-    x, y = _cells(left, right, block_rows)
-    x, y = side(x.join(about, "cls"), "cell", "a"), side(y.join(about, "cls"), "cell", "b")
-    once = ((x["cell"]["kind"] == MAIN) | (first == x["cell"]["id"])) & ((x["cell"]["kind"] != LOOSE) | (F.col("cls_a") < F.col("cls_b")))
-    across = x.join(y, (x["cell"] == y["cell"]) & fits & once).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
-    shared = held.join(about, "cls")
-    x, y = side(shared, "gram", "a"), side(shared, "gram", "b")
-    across = across.union(x.join(y, (x["gram"] == y["gram"]) & (F.col("cls_a") < F.col("cls_b")) & apart & alike).select("cls_a", "cls_b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(_links(across.join(tried, ["a", "b"], "left_anti"), texts), "confirmed")
-    found.append(more)
-    links = links.union(more)
+    # each step ends where it has nothing left: small tables would else cost as many jobs and plans as large ones
+    if not rest.isEmpty():
+        found.append(_across(rest, texts, reps.select("cls", "sketch"), own, star, block_rows))
+    more = found[1:] and not found[1].isEmpty()
+    if more:
+        links = links.union(found[1])
     if several is not None:
         # the classes of one id are one document: each is linked with the first
         classed = filled.select("doc_id", *_KEY).join(several, "doc_id", "left_semi").distinct().join(reps.select(*_KEY, "cls"), _KEY).select("doc_id", "cls")
         links = links.union(classed.join(classed.groupBy("doc_id").agg(F.min("cls").alias("b")), "doc_id").where("cls > b").select(F.col("cls").alias("a"), "b").distinct())
-    label = materialize(components(links, "a", "b"), "labels")
+    if more or several is not None:
+        before, label = label, materialize(components(links, "a", "b"), "labels")
+        drop(before)
 
     named = materialize(reps.select(*_KEY, "cls"), "named")
-    for table in (reps, own, buckets, texts, *found, rest, rare, held, about, left, right, repeated):
+    for table in (reps, own, buckets, texts, *found, rest, repeated):
         drop(table)  # the result reads signatures, names and labels only
     named = signed.join(named, _KEY, "left")
     return named.join(label, named["cls"] == label["node"], "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "cls", "doc_id").alias("component_id"))

@@ -141,3 +141,17 @@ def test_members_of_a_main_component_are_joined_once_not_once_a_bucket(spark):
     alone = _join_rows(spark, "LeftSemi", lambda: df.where("key = 0").join(df.where("key = 1").select("cls"), "cls", "left_semi").collect())
     assert alone == 41  # the count sees semi-joins
     assert 40 <= made <= 40 + 4  # 2,000 bucket rows of the component before
+
+
+@pytest.mark.parametrize(
+    "rows, most",
+    [
+        ([(i, text(i // 2) + " end" * (i % 2)) for i in range(12)], {"labels": 1, "rare": 0, "placed": 0, "left": 0}),  # no bucket is open
+        ([(i, text(i)) for i in range(6)], {"labels": 1, "rare": 0, "placed": 0, "left": 0}),  # nothing is alike
+    ],
+)
+def test_steps_with_nothing_left_run_no_jobs(spark, monkeypatch, rows, most):
+    written, write = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    assert result(spark, rows) == brute(rows)
+    assert all(written.count(name) <= n for name, n in most.items())
